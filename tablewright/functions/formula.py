@@ -32,7 +32,7 @@ _TOKEN = re.compile(r"""(?P<text>"[^"]*"|'[^']*')|\{(?P<column>[^{}]+)\}|(?P<une
 
 def placeholders(formula: str) -> list[str]:
     """The columns a formula names, in order of first use."""
-    return list(dict.fromkeys(re.findall(r"\{([^{}]+)\}", formula)))
+    return list(dict.fromkeys(t["column"] for t in _TOKEN.finditer(formula) if t["column"]))
 
 
 def is_plain(formula: str) -> bool:

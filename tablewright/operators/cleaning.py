@@ -110,8 +110,6 @@ def drop_invalid(df: DataFrame, columns: Sequence[str], data_type: str | None =
 def offenders(df: DataFrame, name: str, kind: str = "number", count: int = 5) -> DataFrame:
     """Up to ``count`` distinct invalid values of a column, in the order they first appear."""
     bad = df.where(invalid(df, name, kind))
-    firsts = [F.struct(*[col(c) for c in order_columns(df)])] if order_columns(df) else []
-    found = bad.groupBy(col(name).cast("string").alias("value"))
-    if firsts:
-        return found.agg(F.min(firsts[0]).alias("first")).orderBy("first", "value").limit(count).select("value")
-    return found.agg().orderBy("value").limit(count)
+    place = [col(c) for c in order_columns(df)] or [F.lit(0)]
+    found = bad.groupBy(col(name).alias("value")).agg(F.min(F.struct(*place)).alias("first"))
+    return found.orderBy("first", "value").limit(count).select("value")

@@ -65,6 +65,8 @@ def apply_edits(df: DataFrame, edits: DataFrame, keys: Sequence[str], bounded: b
     says that the edits are known to be few, so that they are broadcast.
     """
     names = [r[0] for r in edits.select("column").distinct().collect()]  # at most the table's columns, or an error
+    if not names:
+        return df
     require_columns(df, names)
     require_scalar(df, names)
     targets = _targets(edits, df, names)
@@ -131,6 +133,23 @@ def located_edits(base: DataFrame, usable: Sequence[tuple], bits: int = BLOCK_BI
     return numbered.join(small(placed), [FILE, "__tw_block", "__tw_row"]).select(FILE, POS, "column", "value", "seq")
 
 
+def patch(df: DataFrame, usable: Sequence[tuple], bits: int = BLOCK_BITS) -> tuple[DataFrame, int]:
+    """Apply usable edits by row position; also tells how many of them hit a row.
+
+    The edits came from the driver as a list, so the located ones fit there too. Fixing them as a small
+    table leaves one join without a shuffle of the data.
+    """
+    if not usable:
+        return df, 0
+    base = addressed(df)
+    hits = located_edits(base, usable, bits)
+    found = hits.collect()
+    if not found:
+        return df, 0
+    fixed = df.sparkSession.createDataFrame(found, hits.schema)
+    return apply_edits(base, fixed, [FILE, POS], bounded=len(found) <= BROADCAST_EDITS), len(found)
+
+
 @exact_names
 def set_cells(df: DataFrame, edits: Sequence[Mapping], bits: int = BLOCK_BITS) -> DataFrame:
     """Apply edits ``{row, column, value}``, ``row`` being the 0-based position in the table's order.
@@ -138,9 +157,4 @@ def set_cells(df: DataFrame, edits: Sequence[Mapping], bits: int = BLOCK_BITS) -
     Values take the column's kind, a blank value clears the cell, the last edit of a cell wins, and rows
     outside the table are skipped.
     """
-    usable = usable_edits(df, edits)
-    if not usable:
-        return df
-    base = addressed(df)
-    return apply_edits(base, located_edits(base, usable, bits), [FILE, POS], bounded=len(usable) <= BROADCAST_EDITS)
-
+    return patch(df, usable_edits(df, edits), bits)[0]

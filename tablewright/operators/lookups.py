@@ -10,7 +10,7 @@ from tablewright.errors import OperationError
 from tablewright.functions.values import is_blank, norm_key, number_text, present
 from tablewright.operators.duplicates import first_per_key
 from tablewright.operators.profiling import require_scalar
-from tablewright.operators.roworder import order_columns, with_row_order
+from tablewright.operators.roworder import addressed, order_columns, with_row_order
 
 # Fixed value: what an unmatched row shows.
 NOT_FOUND = "Not found"
@@ -101,6 +101,8 @@ def match_first(
     salted shuffle.
     """
     check_lookup(df, source, key_column, source_key_column, return_column)
+    if df.isStreaming:
+        source = addressed(source)  # every micro-batch must see the same first rows
     keyed = _keyed_source(source, source_key_column, return_column)
     first = first_per_key(keyed, [F.col(KEY)]).select(KEY, VALUE)
     left_type = dtype(df, key_column)
@@ -131,8 +133,13 @@ def lookup(
     ``not_found=None`` they are NULL and the column keeps its type. A column of that name is replaced.
     """
     joined = match_first(df, source, key_column, source_key_column, return_column, broadcast_bytes)
-    value, t = F.col(VALUE), dtype(joined, VALUE)
+    return shown(joined, new_column or return_column, not_found)
+
+
+def shown(matched: DataFrame, new_column: str, not_found: str | None = NOT_FOUND) -> DataFrame:
+    """The outcome of :func:`match_first` as a named column."""
+    value = F.col(VALUE)
     if not_found is not None:
-        value = F.coalesce(number_text(value, t), F.lit(not_found))
-    return replace_columns(joined, {new_column or return_column: value}).drop(VALUE)
+        value = F.coalesce(number_text(value, dtype(matched, VALUE)), F.lit(not_found))
+    return replace_columns(matched, {new_column: value}).drop(VALUE)
 

@@ -108,6 +108,7 @@ def order_terms(df: DataFrame, reverse: bool = False) -> list[Column]:
     return terms
 
 
+@exact_names
 def ordered(df: DataFrame) -> DataFrame:
     """The table sorted into its order. The address that ends the key also splits equal sort values over
     several range partitions, so one frequent value does not end up in one task."""

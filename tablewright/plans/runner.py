@@ -190,8 +190,8 @@ def _lookup(df, op, context) -> Step:
     if name not in context.tables:
         raise OperationError(f"No such table: {name!r}. There are: {', '.join(context.tables)}.")
     source = context.tables[name]
-    out = lookups.lookup(df, source, key, source_key, wanted, op.get("new_column"))
     matched = lookups.match_first(df, source, key, source_key, wanted)
+    out = lookups.shown(matched, op.get("new_column") or wanted)
     source_keys = source.select(col(source_key).alias("__tw_k"))
     facts = [
         Fact("rows", matched, F.count(F.lit(1))),
@@ -284,16 +284,9 @@ def _format_cells(df, op, context) -> Step:
 
 @action("set_cells")
 def _set_cells(df, op, context) -> Step:
-    usable = edits.usable_edits(df, op.get("edits"))
-    out = edits.set_cells(df, op.get("edits"))
-    facts = []
-    if usable:
-        base = edits.addressed(df)
-        facts = [_rows("cells_updated", edits.located_edits(base, usable))]
-    return Step(
-        out, facts,
-        lambda n: f"Updated {plural(n['cells_updated'], 'cell')}." if n.get("cells_updated") else "No cell was updated: the rows are outside the table.",
-    )
+    out, updated = edits.patch(df, edits.usable_edits(df, op.get("edits")))
+    text = f"Updated {plural(updated, 'cell')}." if updated else "No cell was updated: the rows are outside the table."
+    return Step(out, [Fact("cells_updated", df.sparkSession.range(1), F.max(F.lit(updated)))], lambda n: text)
 
 
 ACTIONS = (*_ACTIONS, "merge", "combine_sheets")

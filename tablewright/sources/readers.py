@@ -145,9 +145,12 @@ def read_table(
     promote: bool = True,
     types: Mapping[str, str] | None = None,
     infer: bool = True,
+    order: bool = True,
 ) -> DataFrame:
     """Read a file, or a folder of files of one layout, as a table with row order.
 
+    ``order=False`` leaves the row-order columns of a columnar file out, for work that never asks for order.
+
     Delimited text: names are stripped, repeated ones numbered, blank ones lettered, empty unnamed columns
     dropped and a title line above the header skipped (``promote``). Every column gets the type all of its
     cells have, found in one pass; ``types`` (name to Spark type) or ``infer=False`` saves the pass.
@@ -158,7 +161,8 @@ def read_table(
         if kind == "csv":
             tabbed = path.lower().endswith(".tsv")
             return _read_csv(spark, path, separator or ("\t" if tabbed else ","), multiline, promote, types, infer)
-        return with_row_order(spark.read.format(kind).load(path))
+        df = spark.read.format(kind).load(path)
+        return with_row_order(df) if order else df
     except AnalysisException as problem:
         raise OperationError(f"Could not read '{path}': {problem.getCondition() or 'unreadable'}.") from problem
 

@@ -38,6 +38,7 @@ def write_table(df: DataFrame, path: str, fmt: str | None = None) -> str:
     writer = rows.write.mode("errorifexists")
     if kind == "csv":
         writer = writer.option("header", True).option("escape", '"')
+        writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     try:
         writer.format(kind).save(path)
     except AnalysisException as problem:
