@@ -21,7 +21,7 @@ from tablewright.operators.formulas import add_formula_column
 from tablewright.operators.lookups import lookup
 from tablewright.operators.merging import combine_sheets, merge
 from tablewright.operators.missing import drop_missing, fill_missing, flag_missing, missing_report
-from tablewright.operators.profiling import inspect, inspect_tables, preview, profile, profile_columns
+from tablewright.operators.profiling import inspect, inspect_tables, preview, profile
 from tablewright.operators.roworder import ordered, with_positions, with_row_order
 from tablewright.operators.selection import drop_columns, rename_columns, select_columns
 from tablewright.operators.sorting import limit, sort
@@ -36,7 +36,7 @@ __all__ = [
     "aggregate_answer", "aggregate_by", "aggregate_report", "aggregate_table", "apply_edits", "build_session",
     "combine_sheets", "drop_columns", "drop_invalid", "drop_missing", "fill_missing", "filter_rows", "find_replace",
     "flag_missing", "format_cells", "format_mismatches", "inspect", "inspect_tables", "limit", "lookup", "merge",
-    "missing_report", "offenders", "ordered", "preview", "profile", "profile_columns", "read_folder", "read_table",
+    "missing_report", "offenders", "ordered", "preview", "profile", "read_folder", "read_table",
     "read_tables", "remove_duplicates", "rename_columns", "result_path", "run_on_stream", "run_plan",
     "select_columns", "set_cells", "sort", "trim", "visible", "with_positions", "with_row_order", "write_table",
     "write_tables",

@@ -1,8 +1,8 @@
 """Mixed-format dates: one column may hold 01/31/2025, 2025-01-31, Jan 31 2025 and 31-Jan-2025.
 
-Each accepted shape is a pattern for the whole text and its ISO rewriting. The rewritings are applied one
-after the other - at most one fits - and the result is cast once; impossible dates and trailing text give
-NULL. The same rules read the dates that callers give as literals.
+Each accepted shape is a pattern for the whole text and its ISO rewriting. The first that fits rewrites the
+cell and the result is cast once; impossible dates and trailing text give NULL. The same rules read the
+dates that callers give as literals.
 """
 
 from __future__ import annotations
@@ -28,33 +28,53 @@ _WEEKDAY = r"(?:(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\
 _DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
 _LOW = r"(0?[1-9]|1[0-2])"  # can be a month
 _HIGH = r"(1[3-9]|2\d|3[01])"  # can only be a day
-_TIME = r"(?:(?:\s+|t)(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?))?"
+_TIME = r"(?:(?:\s+|t)(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)(?:\s*[ap]\.?m\.?)?)?"
 _YEARS = ((r"(\d{4})", ""), (r"([0-5]\d|6[0-8])", "20"), (r"(69|[7-9]\d)", "19"))
-_HALF_DAY = r"(?i)(\d{1,2})(:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)\s*([ap])\.?m\.?$"
+_HALF_DAY = r"(?i)(\d{1,2}):\d{2}(?::\d{2}(?:\.\d{1,6})?)?\s*([ap])\.?m\.?$"
+_HALF_DAY_ENDS = ("am", "pm", "m.")
+# Quick tests, so that other text costs no more than these.
+_LONGEST = 64
+_NUMERIC = r"(?i)^\d[\d./-]+(?:(?:\s+|t)\d|$)"
+_NAMED = r"(?i)(?:^|[^a-z])(?:" + "|".join(MONTHS) + ")"
 
+Rules = list[tuple[str, str]]
 
-def _rules(day_first: bool) -> list[tuple[str, str]]:
+
+def _whole(rules: Rules) -> Rules:
+    return [(f"(?i)^{pattern}$", iso) for pattern, iso in rules]
+
+
+def _numeric_rules(day_first: bool) -> Rules:
     rules = [(r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + _TIME, "$1-$2-$3 $4")]
     for year, century in _YEARS:
-        month_day = (rf"{_LOW}[-/.](\d{{1,2}})[-/.]{year}{_TIME}", f"{century}$3-$1-$2 $4")
-        day_month = (rf"(\d{{1,2}})[-/.]{_LOW}[-/.]{year}{_TIME}", f"{century}$3-$2-$1 $4")
         if day_first:
-            rules += [day_month, (rf"{_LOW}[-/.]{_HIGH}[-/.]{year}{_TIME}", f"{century}$3-$1-$2 $4")]
+            rules.append((rf"(\d{{1,2}})[-/.]{_LOW}[-/.]{year}{_TIME}", f"{century}$3-$2-$1 $4"))
+            rules.append((rf"{_LOW}[-/.]{_HIGH}[-/.]{year}{_TIME}", f"{century}$3-$1-$2 $4"))
         else:
-            rules += [month_day, (rf"{_HIGH}[-/.]{_LOW}[-/.]{year}{_TIME}", f"{century}$3-$2-$1 $4")]
+            rules.append((rf"{_LOW}[-/.](\d{{1,2}})[-/.]{year}{_TIME}", f"{century}$3-$1-$2 $4"))
+            rules.append((rf"{_HIGH}[-/.]{_LOW}[-/.]{year}{_TIME}", f"{century}$3-$2-$1 $4"))
     rules += [
+        (r"(\d{4})(\d{2})(\d{2})", "$1-$2-$3"),
+        (r"(\d{4})-(\d{1,2})", "$1-$2-1"),
+        (r"((?:1[7-9]|2[01])\d{2})", "$1-1-1"),
+    ]
+    return _whole(rules)
+
+
+_NAMED_RULES = _whole(
+    [
         (_WEEKDAY + _NAME + r"[\s/-]*" + _DAY + r"(?:,\s*|[\s/-]+)(\d{4})" + _TIME, "$3-$1-$2 $4"),
         (_WEEKDAY + _DAY + r"[\s/-]*" + _NAME + r"(?:,\s*|[\s/-]+)(\d{4})" + _TIME, "$3-$2-$1 $4"),
         (r"(\d{4})[\s/-]+" + _NAME + r"[\s/-]+" + _DAY + _TIME, "$1-$2-$3 $4"),
         (_NAME + r"[\s,-]+(\d{4})", "$2-$1-1"),
-        (r"(\d{4})(\d{2})(\d{2})", "$1-$2-$3"),
-        (r"(\d{4})-(\d{1,2})", "$1-$2-1"),
-        (r"((?:1[7-9]|2[01])\d{2})", "$1-1-1"),
     ]
-    return [(f"(?i)^{pattern}$", iso) for pattern, iso in rules]
+)
 
 
-_ISO = r"\d{4}-\d{1,2}-\d{1,2}(?: (?:\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?)?"
+def _rewritten(text: Column, rules: Rules) -> Column:
+    """The text in ISO form by the first rule that fits; NULL if none does."""
+    pairs = [(text.rlike(pattern), F.regexp_replace(text, pattern, iso)) for pattern, iso in rules]
+    return reduce(lambda chain, pair: chain.when(*pair), pairs[1:], F.when(*pairs[0]))
 
 
 def to_ts(c: Column, t: DataType, day_first: bool = False) -> Column:
@@ -65,17 +85,20 @@ def to_ts(c: Column, t: DataType, day_first: bool = False) -> Column:
     if not is_text(t):
         return F.lit(None).cast("timestamp_ntz")
     text = trim_ws(c)
-    iso = reduce(
-        lambda s, rule: F.regexp_replace(s, *rule), _rules(day_first), F.regexp_replace(text, _HALF_DAY, "$1$2")
+    named = reduce(
+        lambda s, m: F.replace(s, F.lit(f"-{m[1]}-"), F.lit(f"-{m[0]}-")),
+        enumerate(MONTHS, start=1),
+        F.lower(_rewritten(text, _NAMED_RULES)),
     )
-    iso = reduce(
-        lambda s, m: F.replace(s, F.lit(f"-{m[1]}-"), F.lit(f"-{m[0]}-")), enumerate(MONTHS, start=1), F.lower(iso)
+    iso = F.when(
+        F.length(text) <= _LONGEST,
+        F.when(text.rlike(_NUMERIC), _rewritten(text, _numeric_rules(day_first))).when(text.rlike(_NAMED), named),
     )
-    read = F.when(iso.rlike(f"^{_ISO}$"), iso.try_cast("timestamp_ntz"))
     hour = F.regexp_extract(text, _HALF_DAY, 1).try_cast("int")
-    evening = F.lower(F.regexp_extract(text, _HALF_DAY, 3)) == "p"
+    evening = F.lower(F.regexp_extract(text, _HALF_DAY, 2)) == "p"
     shift = F.when(evening & (hour < 12), 12).when(~evening & (hour == 12), -12).otherwise(0)
-    return read + F.make_dt_interval(F.lit(0), F.when(text.rlike(_HALF_DAY), shift).otherwise(0))
+    half_day = F.lower(F.right(text, F.lit(2))).isin(*_HALF_DAY_ENDS)
+    return iso.try_cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.when(half_day, shift).otherwise(0))
 
 
 def parse_date(value, day_first: bool = False) -> datetime | None:
@@ -85,15 +108,15 @@ def parse_date(value, day_first: bool = False) -> datetime | None:
     if value is None:
         return None
     text = str(value).strip()
-    half = re.search(_HALF_DAY, text, re.ASCII)
-    iso = re.sub(_HALF_DAY, r"\1\2", text, flags=re.ASCII)
-    for pattern, target in _rules(day_first):
-        iso = re.sub(pattern, re.sub(r"\$(\d)", r"\\g<\1>", target), iso, flags=re.ASCII)
-    iso = iso.lower()
+    if len(text) > _LONGEST:
+        return None
+    rules = _numeric_rules(day_first) if re.search(_NUMERIC, text, re.ASCII) else _NAMED_RULES
+    rule = next(((p, iso) for p, iso in rules if re.match(p, text, re.ASCII)), None)
+    if rule is None:
+        return None
+    iso = re.sub(rule[0], re.sub(r"\$(\d)", r"\\g<\1>", rule[1]), text, flags=re.ASCII).lower()
     for number, month in enumerate(MONTHS, start=1):
         iso = iso.replace(f"-{month}-", f"-{number}-")
-    if not re.fullmatch(_ISO, iso, re.ASCII):
-        return None
     day, _, clock = iso.partition(" ")
     hours, minutes, seconds = ((clock or "0:0").split(":") + ["0"])[:3]
     whole, _, fraction = seconds.partition(".")
@@ -101,8 +124,9 @@ def parse_date(value, day_first: bool = False) -> datetime | None:
         read = datetime(*map(int, day.split("-")), int(hours), int(minutes), int(whole), int(f"{fraction:0<6}"))
     except ValueError:
         return None
+    half = re.search(_HALF_DAY, text, re.ASCII)
     if half:
-        evening = half[3].lower() == "p"
+        evening = half[2].lower() == "p"
         read += timedelta(hours=12 if evening and int(half[1]) < 12 else -12 if not evening and int(half[1]) == 12 else 0)
     return read
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -59,6 +60,15 @@ def is_scalar(t: DataType) -> bool:
     return isinstance(t, BooleanType) or is_text(t) or is_number(t) or is_temporal(t)
 
 
+def once(c: Column, read: Callable[[Column], Column]) -> Column:
+    """``read(c)`` with ``c`` computed a single time per row.
+
+    Projections share repeated parts of an expression, filters do not; a long reading of a computed column
+    would compute that column at each mention.
+    """
+    return F.transform(F.array(c), read)[0]
+
+
 def trim_ws(c: Column) -> Column:
     """Strip every kind of white space from both ends (``trim`` alone strips spaces only)."""
     return F.btrim(c, F.lit(WHITESPACE))

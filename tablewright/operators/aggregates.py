@@ -20,7 +20,7 @@ from tablewright.functions.values import (
     to_num,
 )
 from tablewright.operators.cleaning import invalid, offenders
-from tablewright.operators.profiling import profile_columns, require_scalar
+from tablewright.operators.profiling import have_numbers, require_scalar
 
 # Accepted spellings of the five functions, the words used in labels, the label of no group.
 SPELLINGS = {"sum": "sum", "mean": "mean", "average": "mean", "avg": "mean", "count": "count", "min": "min", "max": "max"}
@@ -82,7 +82,7 @@ def _measure(df: DataFrame, spec: Aggregate) -> Column:
 
 def _require_numbers(df: DataFrame, spec: Aggregate, types: Mapping[str, str] | None) -> None:
     if spec.func != "count" and is_text(dtype(df, spec.column)):
-        if not profile_columns(df, [spec.column], types)[spec.column].has_numbers:
+        if not have_numbers(df, [spec.column], types)[spec.column]:
             raise OperationError(f"Can't take the {spec.word} of '{spec.column}': it holds text, not numbers.")
 
 

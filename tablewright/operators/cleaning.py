@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tablewright.columns import col, dtype, exact_names, replace_columns, require_columns
 from tablewright.errors import OperationError
 from tablewright.functions.dates import to_ts
-from tablewright.functions.values import WHITESPACE_RUN, is_blank, is_text, to_num, trim_ws
+from tablewright.functions.values import WHITESPACE_RUN, is_blank, is_text, once, to_num, trim_ws
 from tablewright.operators.profiling import require_scalar, text_columns
 from tablewright.operators.roworder import order_columns
 
@@ -88,7 +88,7 @@ def invalid(df: DataFrame, name: str, kind: str) -> Column:
     c, t = col(name), dtype(df, name)
     if not is_text(t):
         return F.lit(False)
-    read = to_ts(c, t) if kind == "date" else to_num(c, t)
+    read = once(c, lambda cell: to_ts(cell, t)) if kind == "date" else to_num(c, t)
     return ~is_blank(c, t) & read.isNull()
 
 

@@ -12,7 +12,7 @@ from tablewright.columns import col, dtype, exact_names, replace_columns, requir
 from tablewright.errors import OperationError
 from tablewright.functions.dates import to_ts
 from tablewright.functions.values import is_integral, is_number, is_temporal, number_text, to_num, trim_ws
-from tablewright.operators.profiling import profile_columns, require_scalar
+from tablewright.operators.profiling import number_like, require_scalar
 from tablewright.operators.roworder import BLOCK_BITS, FILE, POS, addressed, block, block_starts
 
 # Edits known to be at most this many rows are sent to every executor, and the table is not shuffled.
@@ -70,7 +70,7 @@ def apply_edits(df: DataFrame, edits: DataFrame, keys: Sequence[str], bounded: b
     require_columns(df, names)
     require_scalar(df, names)
     targets = _targets(edits, df, names)
-    profiles = profile_columns(df, [n for n in names if targets[n] == "string" and n not in keys])
+    numeric = number_like(df, [n for n in names if dtype(df, n) == _TEXT])
     slots = {n: f"__tw_e{i}" for i, n in enumerate(names)}
     latest = edits.groupBy(*[col(k) for k in keys]).agg(
         *[F.max_by(F.struct(_given(F.col("value")).alias("v")), F.when(F.col("column") == n, F.col("seq"))).alias(s)
@@ -85,7 +85,7 @@ def apply_edits(df: DataFrame, edits: DataFrame, keys: Sequence[str], bounded: b
         elif t == _TEXT:
             number = to_num(value, _TEXT)
             plain = F.coalesce(number_text(number, DoubleType()), value)
-            old, cell = col(name), plain if profiles[name].kind is None and profiles[name].number_like else value
+            old, cell = col(name), plain if numeric[name] else value
         else:
             old, cell = col(name).cast(targets[name]), _read_as(value, t).cast(targets[name])
         new[name] = F.when(F.col(slot).isNotNull(), cell).otherwise(old)

@@ -27,10 +27,11 @@ from tablewright.functions.values import (
     norm_key,
     norm_literal,
     number_literal,
+    once,
     parse_number,
     to_num,
 )
-from tablewright.operators.profiling import ColumnProfile, profile_columns, require_scalar
+from tablewright.operators.profiling import have_dates, have_numbers, require_scalar
 
 # The predicate names of the plan vocabulary.
 BLANK_TESTS = ("is_blank", "not_blank")
@@ -64,6 +65,14 @@ class Condition:
         return cls(operator=(given.get("operator") or "").lower(), **{k: given.get(k) for k in fields})
 
 
+@dataclass(frozen=True)
+class Kinds:
+    """Which of the columns under a range test hold numbers, and which hold dates."""
+
+    numbers: Mapping[str, bool]
+    dates: Mapping[str, bool]
+
+
 def _member(c: Column, t: DataType, values: Sequence) -> Column:
     """The cell equals one of ``values`` as a key. NULL for a missing cell."""
     values = [v for v in values if v is not None]
@@ -98,34 +107,43 @@ def _text_test(cond: Condition, c: Column) -> Column:
     return cell.startswith(wanted) if cond.operator == "starts_with" else cell.endswith(wanted)
 
 
-def _comparable(cond: Condition, c: Column, t: DataType, known: ColumnProfile) -> tuple[Column, list, bool]:
+def _bounds(cond: Condition) -> list:
+    return [cond.value, cond.value2] if cond.operator == "between" else [cond.value]
+
+
+def _numbers(cond: Condition) -> list[int | float] | None:
+    numbers = [parse_number(v) for v in _bounds(cond)]
+    return None if None in numbers else numbers
+
+
+def _comparable(cond: Condition, c: Column, t: DataType, kinds: Kinds) -> tuple[Column, list, bool]:
     """The cell and the given bounds in one comparable kind; the last item tells dates from numbers."""
-    given = [cond.value, cond.value2] if cond.operator == "between" else [cond.value]
-    if known.has_numbers:
-        numbers = [parse_number(v) for v in given]
-        if None not in numbers:
-            return (to_num(c, t) if is_text(t) else c), numbers, False
-    if known.has_dates:
-        dates = [parse_date(v) for v in given]
+    numbers = _numbers(cond)
+    if numbers is not None and kinds.numbers.get(cond.column):
+        return (to_num(c, t) if is_text(t) else c), numbers, False
+    if kinds.dates.get(cond.column):
+        dates = [parse_date(v) for v in _bounds(cond)]
         if None in dates:
             raise OperationError(f"Could not read a date to compare with '{cond.column}'.")
-        return (to_ts(c, t) if is_text(t) else c), dates, True
-    raise OperationError(f"'{cond.column}' can't be compared with {given[0]!r}: they are not numbers or dates alike.")
+        return (once(c, lambda cell: to_ts(cell, t)) if is_text(t) else c), dates, True
+    raise OperationError(f"'{cond.column}' can't be compared with {cond.value!r}: they are not numbers or dates alike.")
 
 
-def _range_test(cond: Condition, c: Column, t: DataType, known: ColumnProfile) -> Column:
-    cell, bounds, temporal = _comparable(cond, c, t, known)
+def _range_test(cond: Condition, c: Column, t: DataType, kinds: Kinds) -> Column:
+    cell, bounds, temporal = _comparable(cond, c, t, kinds)
     literal = (lambda b: date_literal(b, t)) if temporal else number_literal
     if cond.operator == "between":
         low, high = sorted(bounds)
-        return (cell >= literal(low)) & (cell <= literal(high))
-    found = _COMPARE[cond.operator](cell, literal(bounds[0]))
+        found = (cell >= literal(low)) & (cell <= literal(high))
+    else:
+        found = _COMPARE[cond.operator](cell, literal(bounds[0]))
     if is_fractional(t) and cond.operator.startswith("greater"):
         found = found & ~F.isnan(cell)  # NaN is a missing cell, but it sorts above every number
-    return found
+    # Text is read once per row: without coalesce the optimizer adds a null test that reads it again.
+    return F.coalesce(found, F.lit(False)) if is_text(t) else found
 
 
-def predicate(df: DataFrame, cond: Condition, profiles: Mapping[str, ColumnProfile]) -> Column:
+def predicate(df: DataFrame, cond: Condition, kinds: Kinds) -> Column:
     """The condition as a boolean column; NULL stands for False."""
     c, t = col(cond.column), dtype(df, cond.column)
     if cond.operator in BLANK_TESTS:
@@ -135,7 +153,7 @@ def predicate(df: DataFrame, cond: Condition, profiles: Mapping[str, ColumnProfi
     if cond.operator in TEXT_TESTS:
         return _text_test(cond, c)
     if cond.operator in RANGE_TESTS:
-        return _range_test(cond, c, t, profiles[cond.column])
+        return _range_test(cond, c, t, kinds)
     raise OperationError(f"Unknown filter operator: {cond.operator!r}.")
 
 
@@ -152,9 +170,12 @@ def filter_predicate(
     names = [c.column for c in conditions]
     require_columns(df, names)
     require_scalar(df, names)
-    profiles = profile_columns(df, [c.column for c in conditions if c.operator in RANGE_TESTS], types)
+    ranges = [c for c in conditions if c.operator in RANGE_TESTS]
+    numbers = have_numbers(df, [c.column for c in ranges if _numbers(c) is not None], types)
+    rest = [c.column for c in ranges if _numbers(c) is None or not numbers[c.column]]
+    kinds = Kinds(numbers, have_dates(df, rest, types))
     join = op.or_ if (combine or "and").lower() == "or" else op.and_
-    return reduce(join, [predicate(df, c, profiles) for c in conditions])
+    return reduce(join, [predicate(df, c, kinds) for c in conditions])
 
 
 @exact_names

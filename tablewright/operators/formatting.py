@@ -12,7 +12,7 @@ from tablewright.errors import OperationError
 from tablewright.functions.dates import to_ts
 from tablewright.functions.display import shown_date, shown_number
 from tablewright.functions.values import number_text, to_num
-from tablewright.operators.profiling import profile_columns, require_scalar
+from tablewright.operators.profiling import have_dates, have_numbers, require_scalar
 
 # The formats, and what their columns should hold.
 FORMATS = {"number": "numbers", "currency": "numbers", "percent": "numbers", "date": "dates"}
@@ -63,7 +63,8 @@ def format_mismatches(
     df: DataFrame, columns: Sequence[str], number_format: str, types: Mapping[str, str] | None = None
 ) -> list[str]:
     """The columns in which nothing fits the format; worth a warning, not an error. Empty columns are fine."""
-    profiles = profile_columns(df, columns, types)
-    fits = "has_dates" if number_format == "date" else "has_numbers"
-    unfit = [c for c in columns if number_format in FORMATS and not getattr(profiles[c], fits)]
+    if number_format not in FORMATS:
+        return []
+    fits = (have_dates if number_format == "date" else have_numbers)(df, columns, types)
+    unfit = [c for c in columns if not fits[c]]
     return unfit if unfit and not df.isEmpty() else []

@@ -11,7 +11,7 @@ from tablewright.columns import col, dtype, exact_names, replace_columns, requir
 from tablewright.errors import OperationError
 from tablewright.functions.formula import MAX_EXPONENT, MAX_LENGTH, Formula, Term, is_plain, placeholders, translate
 from tablewright.functions.values import is_temporal, is_text, to_num
-from tablewright.operators.profiling import profile_columns, require_scalar
+from tablewright.operators.profiling import number_like, require_scalar
 
 
 @exact_names
@@ -22,15 +22,15 @@ def build_formula(df: DataFrame, formula: str, types: Mapping[str, str] | None =
     names = placeholders(formula)
     require_columns(df, names)
     require_scalar(df, names)
-    profiles = profile_columns(df, names, types)
+    numeric = number_like(df, names, types)
     if is_plain(formula):
-        words = [n for n in names if not profiles[n].number_like]
+        words = [n for n in names if not numeric[n]]
         if words:
             raise OperationError(f"A formula needs numbers, and these columns hold something else: {', '.join(words)}.")
 
     def resolve(name: str) -> Term:
         c, t = col(name), dtype(df, name)
-        if profiles[name].number_like:
+        if numeric[name]:
             return Term(to_num(c, t).cast("double"), "number")
         if is_temporal(t):
             return Term(c.cast("timestamp_ntz"), "date")

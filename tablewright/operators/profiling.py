@@ -1,7 +1,8 @@
-"""What the cells of a column mean: one aggregate pass answers it for all columns an operation needs.
+"""What the cells of text columns mean, asked as operations need to know it.
 
-Typed columns need no pass. A caller who knows a text column's meaning can say so with
-``types={"Revenue": "number"}``; that skips the pass and is how plans run on streams.
+Typed columns need no look at the data. A caller who knows a text column's meaning can say so with
+``types={"Revenue": "number"}``; that saves the look and is how plans run on streams. Kinds are boolean,
+integer, number, date and text.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType
 
@@ -20,6 +21,8 @@ from tablewright.functions.values import is_blank, is_integral, is_number, is_sc
 
 SAMPLE_ROWS = 5
 LARGE_TABLE = 50_000
+PROBE_ROWS = 500
+NUMERIC_KINDS = ("integer", "number", "boolean")
 
 
 def declared_kind(t: DataType) -> str:
@@ -34,80 +37,106 @@ def declared_kind(t: DataType) -> str:
     return "text"
 
 
-@dataclass(frozen=True)
-class ColumnProfile:
-    """``kind`` is set for typed or declared columns; the counts are set for profiled text columns."""
-
-    kind: str | None
-    non_null: int = 0
-    blank: int = 0
-    numbers: int = 0
-    dates: int = 0
-
-    @property
-    def sorts_as(self) -> str:
-        """Meaning of the column for ordering: every value that is not NULL must agree."""
-        if self.kind:
-            return self.kind
-        if self.non_null and self.numbers == self.non_null:
-            return "number"
-        return "date" if self.non_null and self.dates == self.non_null else "text"
+def require_scalar(df: DataFrame, names: Iterable[str]) -> None:
+    nested = [n for n in names if not is_scalar(dtype(df, n))]
+    if nested:
+        raise OperationError(f"Nested columns can't be used here: {', '.join(nested)}.")
 
-    @property
-    def number_like(self) -> bool:
-        """Usable in arithmetic: every cell that is not blank is a number."""
-        if self.kind:
-            return self.kind in ("integer", "number", "boolean")
-        return self.numbers == self.non_null - self.blank
 
-    @property
-    def has_numbers(self) -> bool:
-        return self.kind in ("integer", "number", "boolean") if self.kind else self.numbers > 0
+Types = Mapping[str, str] | None
 
-    @property
-    def has_dates(self) -> bool:
-        return self.kind == "date" if self.kind else self.dates > 0
 
+class _Cells:
+    """Readings of one text column's cells, for the questions below."""
 
-def require_scalar(df: DataFrame, names: Iterable[str]) -> None:
-    nested = [n for n in names if not is_scalar(dtype(df, n))]
-    if nested:
-        raise OperationError(f"Nested columns can't be used here: {', '.join(nested)}.")
+    def __init__(self, df: DataFrame, name: str):
+        self.cell, t = col(name), dtype(df, name)
+        self.filled = self.cell.isNotNull()
+        self.blank = is_blank(self.cell, t)
+        self.number = to_num(self.cell, t).isNotNull()
+        self.date = to_ts(self.cell, t).isNotNull()
 
 
-@exact_names
-def profile_columns(
-    df: DataFrame, columns: Iterable[str], types: Mapping[str, str] | None = None
-) -> dict[str, ColumnProfile]:
-    """Profile the named columns; one job for all text columns whose meaning was not declared."""
-    types = types or {}
-    profiles: dict[str, ColumnProfile] = {}
-    unknown: list[str] = []
-    for name in dict.fromkeys(columns):
+def _known_kinds(df: DataFrame, names: Iterable[str], types: Types) -> tuple[dict[str, str], list[str]]:
+    """Kinds that typed columns have or the caller declared, and the text columns that must be looked at."""
+    known, unknown = {}, []
+    for name in dict.fromkeys(names):
         t = dtype(df, name)
         if not is_text(t):
-            profiles[name] = ColumnProfile(declared_kind(t))
-        elif name in types:
-            profiles[name] = ColumnProfile(types[name])
+            known[name] = declared_kind(t)
+        elif name in (types or {}):
+            known[name] = types[name]
         else:
             unknown.append(name)
-    if unknown:
-        if df.isStreaming:
-            raise OperationError(f"Say what these text columns of the stream hold (types=...): {', '.join(unknown)}.")
-        row = df.agg(
-            *[
-                F.struct(
-                    F.count(c).alias("non_null"),
-                    F.count_if(c.isNotNull() & is_blank(c, t)).alias("blank"),
-                    F.count(to_num(c, t)).alias("numbers"),
-                    F.count(to_ts(c, t)).alias("dates"),
-                ).alias(f"p{i}")
-                for i, (c, t) in enumerate((col(n), dtype(df, n)) for n in unknown)
-            ]
-        ).first()
-        for name, counts in zip(unknown, row):
-            profiles[name] = ColumnProfile(None, **counts.asDict())
-    return profiles
+    if unknown and df.isStreaming:
+        raise OperationError(f"Say what these text columns of the stream hold (types=...): {', '.join(unknown)}.")
+    return known, unknown
+
+
+def _seen_in_all(df: DataFrame, tests: Mapping[str, Column]) -> set[str]:
+    """The tests that some row satisfies.
+
+    The first rows often settle the matter, and reading them touches only the first files. What they leave
+    open is answered by one pass over the table.
+    """
+    if not tests:
+        return set()
+    flags = {f"t{i}": test for i, test in enumerate(tests.values())}
+    names = dict(zip(flags, tests))
+    head = df.select(*[F.coalesce(t, F.lit(False)).alias(f) for f, t in flags.items()]).limit(PROBE_ROWS).collect()
+    seen = {f for f in flags if any(r[f] for r in head)}
+    still_open = [f for f in flags if f not in seen]
+    if still_open and len(head) == PROBE_ROWS:
+        found = df.agg(*[F.bool_or(flags[f]).alias(f) for f in still_open]).first()
+        seen |= {f for f in still_open if found[f]}
+    return {names[f] for f in seen}
+
+
+@exact_names
+def have_numbers(df: DataFrame, names: Iterable[str], types: Types = None) -> dict[str, bool]:
+    """Whether any cell of a column is a number."""
+    known, unknown = _known_kinds(df, names, types)
+    seen = _seen_in_all(df, {n: _Cells(df, n).number for n in unknown})
+    return {**{n: kind in NUMERIC_KINDS for n, kind in known.items()}, **{n: n in seen for n in unknown}}
+
+
+@exact_names
+def have_dates(df: DataFrame, names: Iterable[str], types: Types = None) -> dict[str, bool]:
+    """Whether any cell of a column is a date."""
+    known, unknown = _known_kinds(df, names, types)
+    seen = _seen_in_all(df, {n: _Cells(df, n).date for n in unknown})
+    return {**{n: kind == "date" for n, kind in known.items()}, **{n: n in seen for n in unknown}}
+
+
+@exact_names
+def number_like(df: DataFrame, names: Iterable[str], types: Types = None) -> dict[str, bool]:
+    """Whether a column can be computed with: every cell that is not blank is a number."""
+    known, unknown = _known_kinds(df, names, types)
+    cells = {n: _Cells(df, n) for n in unknown}
+    words = _seen_in_all(df, {n: ~c.blank & ~c.number for n, c in cells.items()})
+    return {**{n: kind in NUMERIC_KINDS for n, kind in known.items()}, **{n: n not in words for n in unknown}}
+
+
+@exact_names
+def sort_meaning(df: DataFrame, names: Iterable[str], types: Types = None) -> dict[str, str]:
+    """What a column is ordered as: numbers or dates if every cell that is not NULL is one, else text."""
+    known, unknown = _known_kinds(df, names, types)
+    cells = {n: _Cells(df, n) for n in unknown}
+    tests: dict[tuple[str, str], Column] = {}
+    for n, c in cells.items():
+        tests[n, "filled"] = c.filled
+        tests[n, "no number"] = c.filled & ~c.number
+        tests[n, "no date"] = c.filled & ~c.date
+    seen = _seen_in_all(df, tests)
+
+    def meaning(n: str) -> str:
+        if (n, "filled") not in seen:
+            return "text"
+        if (n, "no number") not in seen:
+            return "number"
+        return "text" if (n, "no date") in seen else "date"
+
+    return {**known, **{n: meaning(n) for n in unknown}}
 
 
 @exact_names

@@ -12,7 +12,7 @@ from tablewright.columns import col, dtype, exact_names, replace_columns, requir
 from tablewright.errors import OperationError
 from tablewright.functions.dates import to_ts
 from tablewright.functions.values import is_text, present, to_num
-from tablewright.operators.profiling import profile_columns, require_scalar
+from tablewright.operators.profiling import require_scalar, sort_meaning
 from tablewright.operators.roworder import (
     POSITION,
     SORT,
@@ -54,12 +54,12 @@ def sort(
     require_columns(df, columns)
     require_scalar(df, columns)
     orders = list(orders or [])
-    profiles = profile_columns(df, columns, types)
+    meanings = sort_meaning(df, columns, types)
     df = with_row_order(df)
     keys: dict[str, Column] = {}
     for i, name in enumerate(columns):
         direction = "desc" if i < len(orders) and orders[i] == "desc" else "asc"
-        keys[f"{SORT}{i:02d}_{direction}"] = sort_key(col(name), dtype(df, name), profiles[name].sorts_as)
+        keys[f"{SORT}{i:02d}_{direction}"] = sort_key(col(name), dtype(df, name), meanings[name])
     earlier = sort_keys(df)
     for i, name in enumerate(earlier, start=len(columns)):
         keys[f"{SORT}{i:02d}_{name.rsplit('_', 1)[1]}"] = col(name)
