@@ -18,6 +18,7 @@ from tablewright.columns import col, dtype, exact_names, require_columns, visibl
 from tablewright.errors import OperationError
 from tablewright.functions.dates import to_ts
 from tablewright.functions.values import is_blank, is_integral, is_number, is_scalar, is_temporal, is_text, to_num
+from tablewright.operators.roworder import POS, ordered, with_row_order
 
 SAMPLE_ROWS = 5
 LARGE_TABLE = 50_000
@@ -210,12 +211,35 @@ def inspect_tables(tables: Mapping[str, DataFrame], sample_rows: int = SAMPLE_RO
     return {name: _summary(df, sample_rows) for name, df in tables.items()}
 
 
+@dataclass(frozen=True)
+class StoredAs:
+    """Noted on a table as it was read, so that a preview can turn to the first files alone."""
+
+    format: str
+    path: str
+
+
+def _first_files(df: DataFrame, n: int) -> DataFrame:
+    """The leading files of an unchanged stored table that hold ``n`` rows, or the table itself."""
+    stored, files = getattr(df, "stored_as", None), []
+    if stored and POS in df.columns:
+        files = sorted(df.inputFiles())
+    taken = 1
+    while taken < len(files):
+        reader = df.sparkSession.read.format(stored.format).schema(visible(df).schema).option("basePath", stored.path)
+        head = reader.load(files[:taken])
+        if len(head.select(F.lit(1)).limit(n).collect()) == n:
+            return with_row_order(head, root=stored.path)
+        taken *= 8
+    return df
+
+
 @exact_names
 def preview(df: DataFrame, n: int = 8) -> DataFrame:
-    """The first ``n`` rows in the table's order."""
+    """The first ``n`` rows in the table's order. Of a table as it was read, only the first files are opened."""
     from tablewright.operators.sorting import limit
 
-    return visible(limit(df, n))
+    return visible(ordered(limit(_first_files(df, n), n)))
 
 
 def text_columns(df: DataFrame) -> list[str]:

@@ -50,9 +50,11 @@ def _quiet_analysis():
         logger.disabled = before
 
 
-def _stored(df: DataFrame) -> DataFrame | None:
+def _stored(df: DataFrame, root: str | None) -> DataFrame | None:
     """Add the address of each row when ``df`` comes straight from files, else None."""
     path = F.col("_metadata.file_path")
+    if root:
+        path = F.substring_index(path, root.rstrip("/"), -1)  # rows carry only what tells files apart
     try:
         with _quiet_analysis():
             return df.select("*", path.alias(FILE), F.col("_metadata.row_index").alias(POS))
@@ -68,11 +70,12 @@ def _stored(df: DataFrame) -> DataFrame | None:
 
 
 @exact_names
-def with_row_order(df: DataFrame, order_by: Sequence[str] | None = None) -> DataFrame:
+def with_row_order(df: DataFrame, order_by: Sequence[str] | None = None, root: str | None = None) -> DataFrame:
     """Give a table a row order.
 
     ``order_by`` names the columns that define it (ascending, together unique). Without it the stored
-    order is taken: file and row index for files, creation order for in-memory tables.
+    order is taken: file and row index for files, creation order for in-memory tables. ``root`` is the folder
+    or file the table was read from; it shortens the file names that rows carry.
     """
     if order_by:
         require_columns(df, order_by)
@@ -81,7 +84,7 @@ def with_row_order(df: DataFrame, order_by: Sequence[str] | None = None) -> Data
         return replace_columns(bare, keys)
     if hidden_columns(df):
         return df
-    stored = _stored(df)
+    stored = _stored(df, root)
     if stored is not None:
         return stored
     return df.select("*", F.lit("").alias(FILE), F.monotonically_increasing_id().alias(SEQ))
@@ -202,3 +205,29 @@ def with_positions(df: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
         .withColumn(POSITION, F.col("__tw_row") + F.col("__tw_start"))
         .drop("__tw_block", "__tw_row", "__tw_start")
     )
+
+
+@exact_names
+def rows_at(df: DataFrame, count: int, from_end: bool = False, bits: int = BLOCK_BITS) -> DataFrame:
+    """The first or last ``count`` rows by position. Row counts per block tell which blocks hold them; only
+    the block at the border is numbered."""
+    base = addressed(df).withColumn("__tw_block", block(bits))
+    names = [c for c in base.columns if c != "__tw_block"]
+    total = base.count() if from_end else None
+    low, high = (total - count, total) if from_end else (0, count)
+    first, after = F.col("start"), F.col("start") + F.col("n")
+    wanted = (
+        block_starts(base, bits)
+        .where((after > low) & (first < high))
+        .select(
+            FILE, F.col("block").alias("__tw_block"), first.alias("__tw_start"),
+            ((first >= low) & (after <= high)).alias("__tw_whole"),
+        )
+    )
+    touched = base.join(wanted, [FILE, "__tw_block"])
+    inside = Window.partitionBy(FILE, "__tw_block").orderBy(POS)
+    position = F.row_number().over(inside) - 1 + F.col("__tw_start")
+    border = touched.where(~F.col("__tw_whole")).withColumn(POSITION, position)
+    cut = border.where(F.col(POSITION).between(low, high - 1))
+    kept = touched.where("__tw_whole")
+    return kept.select(*map(col, names)).unionByName(cut.select(*map(col, names)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
@@ -13,17 +13,14 @@ from tablewright.errors import OperationError
 from tablewright.functions.dates import to_ts
 from tablewright.functions.values import is_text, present, to_num
 from tablewright.operators.profiling import require_scalar, sort_meaning
-from tablewright.operators.roworder import (
-    POSITION,
-    SORT,
-    order_terms,
-    sort_keys,
-    with_positions,
-    with_row_order,
-)
+from tablewright.operators.roworder import SORT, order_terms, rows_at, sort_keys, with_row_order
 
-# A top-k of up to this many rows is kept per task; more rows go through row positions instead.
-TOP_K_ROWS = 100_000
+# A top-k of up to TOP_K_DIRECT rows merges one list per partition; up to TOP_K_ROWS - beyond which Spark
+# no longer limits groups before a shuffle - groups of partitions are merged first; larger ones go by row
+# positions.
+TOP_K_DIRECT = 100
+TOP_K_ROWS = 1000
+TOP_K_GROUPS = 256
 
 
 def sort_key(c: Column, t: DataType, meaning: str) -> Column:
@@ -77,13 +74,22 @@ def _positive(count) -> int:
     return count
 
 
+def _fewer_candidates(df: DataFrame, count: int, reverse: bool) -> DataFrame:
+    """Let groups of input partitions settle their own first rows, so that the last step of a top-k does not
+    receive ``count`` rows from every partition of a large table."""
+    group = F.pmod(F.spark_partition_id(), F.lit(TOP_K_GROUPS)).alias("__tw_group")
+    order = Window.partitionBy("__tw_group").orderBy(*order_terms(df, reverse))
+    ranked = df.select("*", group).withColumn("__tw_rank", F.row_number().over(order))
+    return ranked.where(F.col("__tw_rank") <= count).drop("__tw_group", "__tw_rank")
+
+
 @exact_names
 def limit(df: DataFrame, count: int, from_end: bool = False) -> DataFrame:
     """The first ``count`` rows in the table's order, or the last ones; after ``sort`` this is top-N."""
     count = _positive(count)
     df = with_row_order(df)
-    if count <= TOP_K_ROWS:
-        return df.orderBy(*order_terms(df, reverse=from_end)).limit(count)
-    placed = with_positions(df)
-    wanted = F.col(POSITION) >= df.count() - count if from_end else F.col(POSITION) < count
-    return placed.where(wanted).drop(POSITION)
+    if count > TOP_K_ROWS:
+        return rows_at(df, count, from_end)
+    if count > TOP_K_DIRECT:
+        df = _fewer_candidates(df, count, from_end)
+    return df.orderBy(*order_terms(df, reverse=from_end)).limit(count)

@@ -201,8 +201,9 @@ def _lookup(df, op, context) -> Step:
     ]
     if dtype(df, key) == dtype(source, source_key):
         known = source_keys.where(F.col("__tw_k").isNotNull()).distinct()
-        exact = df.select(col(key).alias("__tw_k")).join(known, "__tw_k", "left_semi")
-        facts.append(_rows("rows_matched_exactly", exact))
+        per_key = df.groupBy(col(key).alias("__tw_k")).agg(F.count(F.lit(1)).alias("__tw_n"))
+        exact = per_key.join(known, "__tw_k", "left_semi")
+        facts.append(Fact("rows_matched_exactly", exact, F.sum("__tw_n")))
 
     def say(n):
         text = f"Looked up '{wanted}' in '{name}' for {plural(n['rows'], 'row')}; {int(n['rows_matched']):,} matched."

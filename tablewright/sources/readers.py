@@ -13,6 +13,7 @@ from tablewright.columns import col, exact_names, hidden_columns
 from tablewright.errors import OperationError
 from tablewright.functions.naming import table_name, unused_name
 from tablewright.functions.values import NUMBER
+from tablewright.operators.profiling import StoredAs
 from tablewright.operators.roworder import FILE, SEQ, order_columns, with_row_order
 from tablewright.sources.headers import Header, parse_line
 
@@ -66,7 +67,7 @@ def _raw_text(spark: SparkSession, path: str, width: int, separator: str, multil
         .option("multiLine", multiline)
         .csv(path)
     )
-    rows = with_row_order(rows)
+    rows = with_row_order(rows, root=path)
     return rows.select(*[_known(F.col(n)).alias(n) for n in names], *[col(c) for c in order_columns(rows)])
 
 
@@ -162,7 +163,9 @@ def read_table(
             tabbed = path.lower().endswith(".tsv")
             return _read_csv(spark, path, separator or ("\t" if tabbed else ","), multiline, promote, types, infer)
         df = spark.read.format(kind).load(path)
-        return with_row_order(df) if order else df
+        table = with_row_order(df, root=path) if order else df
+        table.stored_as = StoredAs(kind, path)
+        return table
     except AnalysisException as problem:
         raise OperationError(f"Could not read '{path}': {problem.getCondition() or 'unreadable'}.") from problem
 

@@ -2,6 +2,7 @@ import pytest
 
 from tablewright import OperationError, limit, ordered, rename_columns, sort, with_positions, with_row_order
 from tablewright.operators import sorting
+from tablewright.operators.roworder import rows_at
 
 
 def test_by_meaning(table, rows):
@@ -46,7 +47,8 @@ def test_sort_survives_renaming(table, rows):
 
 def test_limit(table, rows, monkeypatch):
     df = table("n long", [5, 3, 9, 1, 7])
-    for top_k in (100_000, 0):  # a small top-k, and row positions
+    for direct, top_k in ((100, 1000), (0, 1000), (0, 0)):  # plain top-k, top-k by groups, and row positions
+        monkeypatch.setattr(sorting, "TOP_K_DIRECT", direct)
         monkeypatch.setattr(sorting, "TOP_K_ROWS", top_k)
         assert rows(limit(df, 2)) == [5, 3]
         assert rows(limit(df, "2", from_end=True)) == [1, 7]
@@ -86,6 +88,20 @@ def test_stored_order_over_many_files(spark, rows, tmp_path):
     assert [r[0] for r in placed] == list(range(334))
 
 
+def test_rows_by_position_over_many_blocks(spark, rows, tmp_path):
+    path = str(tmp_path / "blocks")
+    spark.range(1000).repartitionByRange(7, "id").sortWithinPartitions("id").write.parquet(path)
+    df = with_row_order(spark.read.parquet(path)).where("id % 2 = 0")
+    for count in (1, 7, 64, 333, 499, 500, 2000):
+        assert rows(rows_at(df, count, bits=4)) == list(range(0, 1000, 2))[:count]
+        assert rows(rows_at(df, count, from_end=True, bits=4)) == list(range(0, 1000, 2))[-count:]
+
+
+def test_top_k_groups_limit_before_the_shuffle(spark):
+    plan = limit(with_row_order(spark.range(10_000)), 500)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
 def test_positions_follow_a_sort(table):
     df = with_positions(sort(table("n long", [30, 10, 20]), ["n"]))
     assert sorted((r["n"], r["__tw_position"]) for r in df.collect()) == [(10, 0), (20, 1), (30, 2)]

@@ -121,6 +121,16 @@ def test_inspect_and_preview(spark, csv, table):
     assert both["m"].columns == [{"name": "v", "type": "text"}] and both["m"].note is None
 
 
+def test_preview_opens_only_the_first_files(spark, tmp_path):
+    path = str(tmp_path / "many")
+    spark.range(1000).repartitionByRange(20, "id").sortWithinPartitions("id").write.parquet(path)
+    df = read_table(spark, path, "parquet")
+    for n in (3, 60, 700, 5000):
+        assert [r["id"] for r in preview(df, n).collect()] == list(range(min(n, 1000)))
+    assert len(preview(df, 3).inputFiles()) == 1
+    assert [r["id"] for r in preview(df.where("id > 990"), 3).collect()] == [991, 992, 993]
+
+
 def test_profile_counts(table):
     df = table("t string, n long, d string", [("1", 1, "Jan 3 2025"), (" ", None, "2025-01-01"), (None, 2, None)])
     assert sorted(map(tuple, profile(df).collect())) == [(0, "t", "text", 3, 2, 2), (1, "n", "integer", 3, 2, 1), (2, "d", "date", 3, 2, 1)]
