@@ -64,7 +64,8 @@ def apply_edits(df: DataFrame, edits: DataFrame, keys: Sequence[str], bounded: b
     several edits of one cell the highest ``seq`` wins. Keys that match no row change nothing. ``bounded``
     says that the edits are known to be few, so that they are broadcast.
     """
-    names = [r[0] for r in edits.select("column").distinct().collect()]  # at most the table's columns, or an error
+    # One name more than there are columns is enough to meet an unknown one, which is an error.
+    names = [r[0] for r in edits.select("column").distinct().limit(len(df.columns) + 1).collect()]
     if not names:
         return df
     require_columns(df, names)

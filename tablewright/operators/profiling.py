@@ -7,6 +7,7 @@ integer, number, date and text.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
@@ -178,6 +179,14 @@ def profile(df: DataFrame) -> DataFrame:
     )
 
 
+def _json_value(value):
+    if value is None or isinstance(value, (bool, int, str)):
+        return value
+    if isinstance(value, float):
+        return value if math.isfinite(value) else None
+    return str(value)
+
+
 @dataclass(frozen=True)
 class TableSummary:
     row_count: int
@@ -186,6 +195,10 @@ class TableSummary:
     note: str | None
     truncated: bool
 
+    def sample_rows(self) -> list[dict]:
+        """The sample as plain rows that JSON can hold: dates as text, NaN and infinities as None."""
+        return [{k: _json_value(v) for k, v in r.asDict(recursive=True).items()} for r in self.sample.collect()]
+
 
 def _summary(df: DataFrame, sample_rows: int) -> TableSummary:
     found = profile(df).orderBy("position").collect()  # one row per column

@@ -14,6 +14,7 @@ Sorting only records keys; no data moves until a limit or a sink asks for the or
 
 from __future__ import annotations
 
+import functools
 import logging
 import tempfile
 import uuid
@@ -119,14 +120,18 @@ def ordered(df: DataFrame) -> DataFrame:
     return df.orderBy(*terms) if terms else df
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="tablewright-")
+
+
 def scratch_path(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint directory."""
+    """A new folder under the cluster's shared checkpoint directory; only local runs may do without one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
-        root = tempfile.mkdtemp(prefix="tablewright-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own_folder()
     return f"{root.rstrip('/')}/tablewright-{uuid.uuid4().hex}"
 
 

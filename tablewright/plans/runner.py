@@ -19,7 +19,7 @@ from tablewright.errors import OperationError, StepFailed
 from tablewright.functions.values import is_text
 from tablewright.operators import aggregates, cleaning, edits, filters, formatting, formulas, lookups, merging, missing
 from tablewright.operators.duplicates import remove_duplicates
-from tablewright.operators.profiling import chosen_columns
+from tablewright.operators.profiling import TableSummary, chosen_columns, inspect_tables
 from tablewright.operators.selection import drop_columns, rename_columns, select_columns
 from tablewright.operators.sorting import limit, sort
 from tablewright.plans import report
@@ -54,6 +54,11 @@ def action(name: str):
     return register
 
 
+def _counted(metric: str, some: Callable[[float], str], none: str) -> Callable[[Mapping[str, float]], str]:
+    """A sentence about a count, and another for a count of zero."""
+    return lambda n: some(n[metric]) if n.get(metric) else none
+
+
 def _rows(metric: str, frame: DataFrame) -> Fact:
     return Fact(metric, frame, F.count(F.lit(1)))
 
@@ -66,7 +71,8 @@ def _total(columns: Sequence[Column]) -> Column:
 @action("sort")
 def _sort(df, op, context) -> Step:
     columns, orders = op.get("columns") or [], op.get("orders") or []
-    named = [f"{c} ({'descending' if i < len(orders) and orders[i] == 'desc' else 'ascending'})" for i, c in enumerate(columns)]
+    down = [i < len(orders) and orders[i] == "desc" for i in range(len(columns))]
+    named = [f"{c} ({'descending' if d else 'ascending'})" for c, d in zip(columns, down)]
     return Step(sort(df, columns, orders, context.types), say=lambda n: f"Sorted by {', '.join(named)}.")
 
 
@@ -96,7 +102,9 @@ def _remove_duplicates(df, op, context) -> Step:
 
     def say(n):
         removed = n["rows_before"] - n["rows_after"]
-        return f"Removed {plural(removed, 'duplicate row')}, keeping the first of each." if removed else "There were no duplicate rows."
+        if not removed:
+            return "There were no duplicate rows."
+        return f"Removed {plural(removed, 'duplicate row')}, keeping the first of each."
 
     return Step(out, [_rows("rows_before", df), _rows("rows_after", out)], say)
 
@@ -124,7 +132,7 @@ def _drop_missing(df, op, context) -> Step:
     facts = [_rows("rows_before", df), Fact("rows_removed", df, F.count_if(gone))]
     return Step(
         missing.drop_missing(df, op.get("columns")), facts,
-        lambda n: f"Removed {plural(n['rows_removed'], 'row')} with blank cells." if n["rows_removed"] else "No row had blank cells.",
+        _counted("rows_removed", lambda k: f"Removed {plural(k, 'row')} with blank cells.", "No row had blank cells."),
     )
 
 
@@ -137,7 +145,7 @@ def _drop_invalid(df, op, context) -> Step:
     examples = reduce(lambda a, b: a.unionByName(b), [cleaning.offenders(df, c, kind) for c in columns]).limit(5)
     return Step(
         out, facts,
-        lambda n: f"Removed {plural(n['rows_removed'], 'row')} without a valid {kind}." if n["rows_removed"] else f"Every {kind} was valid.",
+        _counted("rows_removed", lambda k: f"Removed {plural(k, 'row')} without a valid {kind}.", f"Every {kind} was valid."),
         examples,
     )
 
@@ -149,7 +157,7 @@ def _trim(df, op, context) -> Step:
     changed = Fact("cells_changed", df, _total([cleaning.trimmed(col(n)) != col(n) for n in names]))
     return Step(
         out, [changed],
-        lambda n: f"Trimmed {plural(n['cells_changed'], 'cell')}." if n["cells_changed"] else "There was nothing to trim.",
+        _counted("cells_changed", lambda k: f"Trimmed {plural(k, 'cell')}.", "There was nothing to trim."),
     )
 
 
@@ -158,10 +166,11 @@ def _find_replace(df, op, context) -> Step:
     find, put, column = op.get("find"), op.get("replace") or "", op.get("column")
     options = (bool(op.get("match_case")), bool(op.get("whole_cell")))
     out = cleaning.find_replace(df, find, put, column, *options)
-    hits = [cleaning.replacement(col(n).cast("string"), find, put, *options)[1] for n in cleaning.replace_targets(df, find, column)]
+    names = cleaning.replace_targets(df, find, column)
+    hits = [cleaning.replacement(col(n).cast("string"), find, put, *options)[1] for n in names]
     return Step(
         out, [Fact("cells_changed", df, _total(hits))],
-        lambda n: f"Replaced {find!r} by {put!r} in {plural(n['cells_changed'], 'cell')}." if n["cells_changed"] else f"No cell matched {find!r}.",
+        _counted("cells_changed", lambda k: f"Replaced {find!r} by {put!r} in {plural(k, 'cell')}.", f"No cell matched {find!r}."),
     )
 
 
@@ -184,7 +193,8 @@ def _add_formula_column(df, op, context) -> Step:
 
 @action("lookup")
 def _lookup(df, op, context) -> Step:
-    name, key, source_key, wanted = (op.get(f) for f in ("source_sheet", "key_column", "source_key_column", "return_column"))
+    name, key = op.get("source_sheet"), op.get("key_column")
+    source_key, wanted = op.get("source_key_column"), op.get("return_column")
     if not name:
         raise OperationError("A lookup needs the table to look in.")
     if name not in context.tables:
@@ -225,12 +235,14 @@ def _aggregate(df, op, context) -> Step:
     of = (f" of {value!r} in '{column}'" if value is not None else f" of '{column}'") if column else ""
     if group_by:
         out = aggregates.aggregate_by(df, func, column, group_by=group_by, count_value=value, types=context.types)
-        return Step(
-            out, [_rows("groups", out)], lambda n: f"The {spec.word}{of} by {', '.join(group_by)}: {plural(n['groups'], 'group')}."
-        )
+        by = ", ".join(group_by)
+        return Step(out, [_rows("groups", out)], lambda n: f"The {spec.word}{of} by {by}: {plural(n['groups'], 'group')}.")
     aggregates.aggregate_table(df, func, column, count_value=value, types=context.types)  # checks the data's kind
     numeric = spec.func != "count"
-    facts = [Fact("value", df, aggregates.scalar_measure(df, spec)), Fact("cells_ignored", df, aggregates.ignored_measure(df, spec))]
+    facts = [
+        Fact("value", df, aggregates.scalar_measure(df, spec)),
+        Fact("cells_ignored", df, aggregates.ignored_measure(df, spec)),
+    ]
     if numeric:
         facts.append(Fact("wrong_cells", df, F.count_if(cleaning.invalid(df, column, "number"))))
 
@@ -267,7 +279,7 @@ def _flag_missing(df, op, context) -> Step:
     facts = [Fact("blank_cells", df, _total([missing.blank(df, n) for n in names]))]
     return Step(
         df, facts,
-        lambda n: f"Found {plural(n['blank_cells'], 'blank cell')}; the data is unchanged." if n["blank_cells"] else "There are no blank cells.",
+        _counted("blank_cells", lambda k: f"Found {plural(k, 'blank cell')}; the data is unchanged.", "There are no blank cells."),
     )
 
 
@@ -305,6 +317,7 @@ class PlanResult:
     reports: list[StepReport] = field(default_factory=list)
     workbook: dict[str, DataFrame] | None = None
     workbook_name: str | None = None
+    started: DataFrame | None = None  # the primary table as it was given
 
     @property
     def df(self) -> DataFrame:
@@ -322,6 +335,15 @@ class PlanResult:
     def actions(self) -> list[str]:
         return list(dict.fromkeys(r.action for r in self.reports))
 
+    def row_counts(self) -> tuple[int, int]:
+        """Rows of the primary table before the plan, and rows of the result."""
+        results = self.workbook.values() if self.workbook is not None else [self.df]
+        return self.started.count(), sum(df.count() for df in results)
+
+    def preview(self, n: int = 8) -> dict[str, TableSummary]:
+        """Row count, column meanings and first rows of the result, or of each of its tables."""
+        return inspect_tables(self.workbook if self.workbook is not None else {self.name: self.df}, n)
+
     def report_frame(self) -> DataFrame:
         return report.report_frame(self.df.sparkSession, self.reports)
 
@@ -379,7 +401,10 @@ def run_plan(
     if isinstance(tables, DataFrame):
         primary = primary or "table"
         tables = {primary: tables}
-    state = PlanResult(dict(tables), primary or next(iter(tables)))
+    primary = primary or next(iter(tables))
+    if primary not in tables:
+        raise OperationError(f"No such table: {primary!r}. There are: {', '.join(tables)}.")
+    state = PlanResult(dict(tables), primary, started=tables[primary])
     for number, op in enumerate(operations, start=1):
         try:
             table, step = _run_step(state, op, types or {})

@@ -117,8 +117,10 @@ def test_equal_values_are_spread_by_the_address(spark, tmp_path):
     spark.range(4000).selectExpr("id", "1 as k").write.parquet(path)
     sizes = ordered(sort(spark.read.parquet(path), ["k"])).selectExpr("spark_partition_id() p").groupBy("p").count()
     spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     try:
         counts = [r["count"] for r in sizes.collect()]
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
     assert len(counts) == 4 and max(counts) < 2000

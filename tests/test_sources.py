@@ -1,3 +1,6 @@
+import json
+from datetime import datetime
+
 import pytest
 
 from tablewright import (
@@ -118,6 +121,9 @@ def test_inspect_and_preview(spark, csv, table):
     assert [r["id"] for r in preview(df).collect()] == list(range(8))
     both = inspect_tables({"e": table("a string, b double", []), "m": table("v string", ["1", "two", "3"])})
     assert both["e"].note and both["e"].columns == [{"name": "a", "type": "text"}, {"name": "b", "type": "number"}]
+    odd = inspect(table("x double, d timestamp_ntz, n long", [(float("inf"), datetime(2025, 1, 2), 1), (float("nan"), None, None)]))
+    assert json.loads(json.dumps(odd.sample_rows())) == [
+        {"x": None, "d": "2025-01-02 00:00:00", "n": 1}, {"x": None, "d": None, "n": None}]
     assert both["m"].columns == [{"name": "v", "type": "text"}] and both["m"].note is None
 
 
