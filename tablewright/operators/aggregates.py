@@ -17,10 +17,12 @@ from tablewright.functions.values import (
     is_text,
     norm_key,
     norm_literal,
+    present,
     to_num,
 )
 from tablewright.operators.cleaning import invalid, offenders
 from tablewright.operators.profiling import have_numbers, require_scalar
+from tablewright.operators.roworder import GROUP
 
 # Accepted spellings of the five functions, the words used in labels, the label of no group.
 SPELLINGS = {"sum": "sum", "mean": "mean", "average": "mean", "avg": "mean", "count": "count", "min": "min", "max": "max"}
@@ -101,7 +103,8 @@ def aggregate_by(
 
     Partial aggregation runs before the shuffle, so a frequent group costs one row per task. Rows without
     a group form the group ``(blank)`` in text columns; other types keep NULL unless ``label_blank``.
-    Counting a value keeps only the groups in which it occurs.
+    Counting a value keeps only the groups in which it occurs. The groups are in the order of their keys
+    for operations that need an order; nothing is sorted for that.
     """
     spec = check_aggregate(df, agg_func, agg_column, group_by, count_value)
     _require_numbers(df, spec, types)
@@ -117,7 +120,8 @@ def aggregate_by(
         return col(name)
 
     grouped = rows.groupBy(*[col(g) for g in group_by]).agg(measure.alias(spec.label))
-    return grouped.select(*[label(g) for g in group_by], col(spec.label))
+    order = [present(col(g), dtype(df, g)).alias(f"{GROUP}{i:02d}_asc") for i, g in enumerate(group_by)]
+    return grouped.select(*[label(g) for g in group_by], col(spec.label), *order)
 
 
 def scalar_measure(df: DataFrame, spec: Aggregate) -> Column:

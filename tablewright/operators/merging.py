@@ -88,7 +88,7 @@ def stack(frames: Sequence[DataFrame]) -> DataFrame:
     No shuffle: the tables' rows stay where they are. Columns whose types conflict become text.
     """
     frames = [with_row_order(f) for f in frames]
-    frames = [addressed(f) if sort_keys(f) else f for f in frames]
+    frames = [addressed(f) if sort_keys(f) or FILE not in f.columns else f for f in frames]
     order = POS if all(POS in f.columns for f in frames) else SEQ
     names = list(dict.fromkeys(c for f in frames for c in visible_columns(f)))
     targets = {n: _common_type([dtype(f, n) for f in frames if n in f.columns]) for n in names}

@@ -4,6 +4,7 @@ Spark tables have no row order; first-wins, previous-value and positional operat
 order travels with it in hidden columns, all of which sinks drop:
 
 * ``__tw_sort_00_asc``, ``__tw_sort_01_desc``, ... - keys recorded by ``sort``, most significant first;
+* ``__tw_key_00_asc``, ... - the group keys of an aggregated table, which is in their order;
 * ``__tw_file`` and ``__tw_pos`` - where the row is stored: a file and the row's index in it. The pair is
   the same in every scan, so it is an address;
 * ``__tw_seq`` instead of ``__tw_pos`` - a row number that orders rows in one scan but is no address
@@ -32,6 +33,7 @@ FILE = HIDDEN + "file"
 POS = HIDDEN + "pos"
 SEQ = HIDDEN + "seq"
 SORT = HIDDEN + "sort_"
+GROUP = HIDDEN + "key_"
 POSITION = HIDDEN + "position"
 
 # Rows of one stored file that share a block; blocks are what ordered operations work on in parallel.
@@ -97,7 +99,8 @@ def sort_keys(df: DataFrame) -> list[str]:
 
 def order_columns(df: DataFrame) -> list[str]:
     """The hidden columns that define the order, most significant first."""
-    return sort_keys(df) + [c for c in (FILE, POS, SEQ) if c in df.columns]
+    groups = sorted(c for c in df.columns if c.startswith(GROUP))
+    return sort_keys(df) + groups + [c for c in (FILE, POS, SEQ) if c in df.columns]
 
 
 def order_terms(df: DataFrame, reverse: bool = False) -> list[Column]:

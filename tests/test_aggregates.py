@@ -2,7 +2,17 @@ from datetime import datetime
 
 import pytest
 
-from tablewright import OperationError, aggregate_answer, aggregate_by, aggregate_report, aggregate_table
+from tablewright import (
+    OperationError,
+    aggregate_answer,
+    aggregate_by,
+    aggregate_report,
+    aggregate_table,
+    limit,
+    merge,
+    sort,
+    visible,
+)
 
 
 def answer(df, *args, **options):
@@ -10,7 +20,7 @@ def answer(df, *args, **options):
 
 
 def groups(df, *args, **options):
-    return dict(tuple(r) for r in aggregate_by(df, *args, **options).collect())
+    return dict(tuple(r) for r in visible(aggregate_by(df, *args, **options)).collect())
 
 
 def test_numeric(table):
@@ -56,9 +66,9 @@ def test_groups(table):
     assert groups(df, "sum", "Revenue", group_by=["Region"]) == {"North": 350, "South": 75}
     assert groups(df, "average", "Revenue", group_by=["Region"]) == {"North": 350 / 3, "South": 37.5}
     assert groups(df, "count", group_by=["Region"]) == {"North": 3, "South": 2}
-    assert aggregate_by(df, "avg", "Revenue", group_by=["Region"]).columns == ["Region", "average_of_Revenue"]
-    assert aggregate_by(df, "count", group_by=["Region"]).columns == ["Region", "count"]
-    assert aggregate_by(df, "count", "Revenue", group_by=["Region"]).columns == ["Region", "count_of_Revenue"]
+    assert visible(aggregate_by(df, "avg", "Revenue", group_by=["Region"])).columns == ["Region", "average_of_Revenue"]
+    assert visible(aggregate_by(df, "count", group_by=["Region"])).columns == ["Region", "count"]
+    assert visible(aggregate_by(df, "count", "Revenue", group_by=["Region"])).columns == ["Region", "count_of_Revenue"]
 
 
 def test_blank_groups(table):
@@ -68,6 +78,16 @@ def test_blank_groups(table):
     assert groups(df, "count", group_by=["n"], label_blank=True) == {"1": 2, "(blank)": 2, "2": 1}
 
 
+def test_groups_are_in_key_order(table, rows):
+    df = table("g string, h long", [("b", 2), ("a", 1), ("c", 1), (None, 1), ("b", 1), ("a", 2), ("c", 2), (None, 2)])
+    grouped = aggregate_by(df, "count", group_by=["g", "h"])
+    assert rows(limit(grouped, 3)) == [("a", 1, 1), ("a", 2, 1), ("b", 1, 1)]
+    assert rows(limit(sort(grouped, ["count"], ["desc"]), 2)) == [("a", 1, 1), ("a", 2, 1)]
+    assert rows(limit(grouped, 1, from_end=True)) == [("(blank)", 2, 1)]
+    both = merge({"x": grouped, "y": aggregate_by(df, "count", group_by=["h"])})
+    assert rows(both, "h", "count")[-2:] == [(1, 4), (2, 4)] and rows(both, "g")[:2] == ["a", "a"]
+
+
 def test_grouped_count_of_a_value(table):
     df = table("Region string, Response string", [("N", "Yes"), ("S", "yes"), ("N", "No"), ("S", "Yes "), ("E", "No")])
     assert groups(df, "count", "Response", count_value="Yes", group_by=["Region"]) == {"N": 1, "S": 2}
