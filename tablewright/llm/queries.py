@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.common import table
 from tablewright.llm.minhash import NearDuplicates, near_duplicates
+from tablewright.llm.suffix_dedup import without_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +48,8 @@ join (select doc_id, min(other) as component_id from reach group by doc_id) r on
 @query("op1_near_duplicates", _NEAR_SQL)
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearDuplicates(shingle=4))
+
+
+@query("op2_repeated_passages")
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"), digest=True)
