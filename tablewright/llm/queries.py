@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import table
+from tablewright.llm.common import crc32_of_id, table
 from tablewright.llm.minhash import NearDuplicates, near_duplicates
+from tablewright.llm.quality import fit_quality, score_quality
 from tablewright.llm.suffix_dedup import without_repeats
+from tablewright.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +55,22 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_repeated_passages")
 def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
+def _scored(scored: DataFrame, folds: int, fold: int) -> DataFrame:
+    held_out = crc32_of_id("doc_id") % folds == fold
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), crc32_of_id("doc_id") % 5 != 0)
+    return _scored(score_toxicity(docs, model), 5, 0)
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), crc32_of_id("doc_id") % 3 != 1)
+    return _scored(score_quality(docs, model), 3, 1)
