@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import crc32_of_id, table
 from tablewright.llm.minhash import NearDuplicates, near_duplicates
 from tablewright.llm.quality import fit_quality, score_quality
+from tablewright.llm.quality_rules import quality_rules
 from tablewright.llm.suffix_dedup import without_repeats
 from tablewright.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -74,3 +75,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(docs, table(spark, sf_dir, "labels"), crc32_of_id("doc_id") % 3 != 1)
     return _scored(score_quality(docs, model), 3, 1)
+
+
+@query("op8_quality_rules")
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents")).drop("distance")
