@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import crc32_of_id, table
+from tablewright.llm.decontamination import leaks
+from tablewright.llm.licenses import STATEMENTS, scan_licenses
 from tablewright.llm.minhash import NearDuplicates, near_duplicates
 from tablewright.llm.quality import fit_quality, score_quality
 from tablewright.llm.quality_rules import quality_rules
@@ -80,3 +82,57 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_quality_rules")
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("distance")
+
+
+_WORDS_SQL = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+
+_LEAKS_SQL = f"""
+with d as (select doc_id, {_WORDS_SQL} as w from documents), b as (select item_id, {_WORDS_SQL} as w from benchmark),
+masks(m) as (values ([0, 1, 3, 4, 7]), ([0, 2, 3, 6, 7])),
+dp as (select doc_id, w, unnest(range(1, len(w) - 6)) as i from d), bp as (select item_id, w, unnest(range(1, len(w) - 6)) as i from b),
+ds as (select doc_id, i, m, list_transform(m, lambda o: w[i + o]) as s from dp, masks),
+bs as (select item_id, i, m, list_transform(m, lambda o: w[i + o]) as s from bp, masks),
+hits as (select distinct doc_id, item_id, ds.i - bs.i as diagonal from ds join bs on ds.m = bs.m and ds.s = bs.s),
+laid as (select doc_id, item_id, diagonal, len(b.w) as n_item, least(len(b.w), 13) as win,
+  list_transform(range(1, len(b.w) + 1), lambda j: case when diagonal + j >= 1 and d.w[diagonal + j] = b.w[j] then 1 else 0 end) as e
+  from hits join d using (doc_id) join b using (item_id)),
+scored as (select *, list_sum(e) as n_equal, list_max(list_transform(range(1, len(e) - win + 2), lambda i: list_sum(e[i:i + win - 1]))) as best from laid),
+ranked as (select *, row_number() over (partition by doc_id, item_id order by n_equal desc, best desc, diagonal) as r from scored where 100 * best >= 80 * win)
+select doc_id, item_id, cast(n_equal as bigint) as n_equal, cast(n_item as bigint) as n_item, cast(best as bigint) as best, cast(win as bigint) as "window",
+  cast(diagonal as bigint) as first_word from ranked where r = 1
+"""
+
+
+@query("op6_benchmark_leaks", _LEAKS_SQL)
+def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_STATEMENT_ROWS = ", ".join("({}, '{}', '{}')".format(i, label, text.replace("'", "''")) for i, (label, text) in enumerate(STATEMENTS))
+_LICENSES_SQL = f"""
+with d as (select doc_id, {_WORDS_SQL} as w from documents),
+p as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d),
+places as (select doc_id, i - 1 as spot, case when w[i] = 'general' then 'gpl' else w[i] end as label from p
+  where (w[i] in ('mit', 'apache') and w[i + 1] = 'license') or (w[i] = 'general' and w[i + 1] = 'public' and w[i + 2] = 'license')),
+base as (select doc_id, count(*) as n_base, min(spot) as first_word, max(spot) as last_word, list_sort(list_distinct(list(label))) as labels from places group by doc_id),
+known(statement, label, text) as (values {_STATEMENT_ROWS}),
+k as (select statement, label, {_WORDS_SQL} as w from known),
+kp as (select statement, label, len(w) as n, len(w) - 2 as n_runs, w, unnest(range(1, len(w) - 1)) as place from k),
+kr as (select *, w[place:place + 2] as run from kp),
+hits as (select doc_id, statement, label, n, n_runs, i as spot, place, i - place as diagonal from p join kr on p.w[i:i + 2] = kr.run),
+opened as (select *, case when coalesce(diagonal - lag(diagonal) over (partition by doc_id, statement order by diagonal), 99) > 3 then 1 else 0 end as opens from hits),
+grouped as (select *, sum(opens) over (partition by doc_id, statement order by diagonal range unbounded preceding) as c from opened),
+found as (select doc_id, label, count(distinct place) as runs, n, n_runs, max(spot) + 2 - min(spot) + 1 as wide from grouped group by doc_id, statement, label, n, n_runs, c),
+more as (select doc_id, list(label) as labels, max(runs / n_runs) as share from found where 100 * runs >= 80 * n_runs and 100 * wide <= 150 * n group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
+  array_to_string(coalesce(base.labels, []), ',') as base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') as labels,
+  case when n_base > 0 then 1.0 else coalesce(share, 0.0) end::double as score
+from d left join base using (doc_id) left join more using (doc_id)
+"""
+
+
+@query("op10_licenses", _LICENSES_SQL)
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("copies")
