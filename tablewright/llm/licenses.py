@@ -107,8 +107,12 @@ def scan_licenses(docs: DataFrame, scan: LicenseScan = LicenseScan(), id_column:
         F.collect_set("label").alias("more"), F.max("share").alias("share"), F.sort_array(F.collect_list(F.struct("first_word", "last_word", "label"))).alias("copies")
     )
     none = F.array().cast("array<struct<at:int,label:string>>")
-    labels = F.transform("places", lambda x: F.concat(x["label"], F.lit("")))
-    per_phrase = [F.transform(_places(F.col("words"), p), lambda i, label=label: F.struct(i.alias("at"), F.lit(label).alias("label"))) for p, label in PHRASES.items()]
+    labels = F.transform("places", lambda x: x["label"])
+
+    def named(phrase: str, label: str) -> Column:
+        return F.transform(_places(F.col("words"), phrase), lambda i: F.struct(i.alias("at"), F.lit(label).alias("label")))
+
+    per_phrase = [named(p, label) for p, label in PHRASES.items()]
     # Every phrase ends in this word; texts without it need no further look.
     places = F.when(F.contains("text", F.lit("license")), F.concat(*per_phrase)).otherwise(none)
     base = source.select("doc", "digest", F.size("words").cast("long").alias("n_words"), places.alias("places"))

@@ -6,8 +6,8 @@ often the more alike two sets are. Bands of registers propose pairs, a likelihoo
 be alike enough, and the whole sets of the rest are compared.
 
 No pairs of a group are multiplied out. Documents with equal sets are one class from the start. Each band's bucket ties its
-members to one or two members only; what stays apart after some rounds is compared with the rest of its bucket, without
-the pairs that are in one component already, so that no link that a bucket proposes is lost.
+members to its first member only. What stays apart then is compared with the other documents of its buckets, block against block
+and without those of its own component, so that no link that a bucket proposes is lost; only links leave a task.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ class NearDuplicates:
     bands: int = 40
     rows: int = 5
     base: float = 1.02  # of the exponential scale
-    rounds: int = 2  # of ties to single members before the rest of a bucket is compared
+    block: int = 128  # documents of a block, where the rest of a bucket is compared
 
     @property
     def registers(self) -> int:
@@ -173,28 +173,15 @@ def near_duplicates(
     source = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     texts = scratch.save(source.join(involved.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
-    labels = members.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")).limit(0)
-    for turn in range(settings.rounds + 1):
-        links = scratch.save(verified(promising(pairs, classes, settings), texts, settings))
-        labels = joined_labels(scratch, labels, links)
-        if turn == settings.rounds:
-            break
-        # Buckets that still hold more than one component.
-        apart = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        apart = apart.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        open_keys = apart.groupBy("key").agg(
-            F.min(F.struct("component", F.xxhash64("key", "doc_id", F.lit(turn)), "doc_id")).alias("low"),
-            F.max(F.struct("component", F.xxhash64("key", "doc_id", F.lit(turn)), "doc_id")).alias("high"),
-        )
-        open_keys = open_keys.where("low.component <> high.component")
-        apart = scratch.save(apart.join(open_keys, "key"))
-        if not has_rows(apart):
-            break
-        if turn < settings.rounds - 1:
-            other = F.when(F.col("component") == F.col("low.component"), F.col("high.doc_id")).otherwise(F.col("low.doc_id"))
-            pairs = apart.select(F.least("doc_id", other).alias("a"), F.greatest("doc_id", other).alias("b")).distinct()
-        else:
-            pairs = remaining(apart)
+    links = verified(promising(pairs, classes, settings), texts, settings)
+    labels = components(scratch, links)
+    # Buckets that still hold more than one component.
+    apart = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    apart = apart.select("key", "hub", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    open_keys = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    apart = scratch.save(apart.join(open_keys.select("key"), "key").select("hub", "doc_id", "component").distinct())
+    if has_rows(apart):
+        labels = joined_labels(scratch, labels, in_blocks(scratch, apart, texts, settings))
     labels = labels.withColumnRenamed("node", "doc_id")
     classes = classes.select("digest", "doc_id").join(labels, "doc_id", "left")
     classes = classes.select("digest", F.coalesce("component", "doc_id").alias("component"))
@@ -220,11 +207,53 @@ def joined_labels(scratch: Scratch, labels: DataFrame, links: DataFrame) -> Data
     return scratch.save(kept.union(fresh.join(kept.select("node"), "node", "left_anti")))
 
 
-def remaining(apart: DataFrame) -> DataFrame:
-    """All pairs of a bucket's members in different components: members outside its largest component against all others."""
-    sizes = apart.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).getField("component").alias("largest"))
-    rest = apart.select("key", F.col("doc_id").alias("x"), F.col("component").alias("x_component")).join(largest, "key")
-    rest = rest.where("x_component <> largest").drop("largest")
-    pairs = rest.join(apart.select("key", "doc_id", "component"), "key").where("x_component <> component")
-    return pairs.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
+def in_blocks(scratch: Scratch, apart: DataFrame, texts: DataFrame, settings: NearDuplicates) -> DataFrame:
+    """Links between documents of open buckets that are in different components.
+
+    Buckets that share documents make a clump. The documents outside a clump's largest component meet all others of the clump, block
+    against block, so that a task holds two blocks of texts however large the clump is, and returns links only.
+    """
+    clumps = components(scratch, apart.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")))
+    docs = apart.select("doc_id", "component").distinct().join(clumps.select(F.col("node").alias("doc_id"), F.col("component").alias("clump")), "doc_id")
+    docs = scratch.save(docs)
+    sizes = docs.groupBy("clump", "component").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("clump").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("largest"))
+    shares = sizes.select(
+        "clump",
+        F.col("largest.component").alias("largest"),
+        F.ceil((F.col("all") - F.col("largest.n")) / settings.block).cast("int").alias("rest_blocks"),
+        F.ceil(F.col("all") / settings.block).cast("int").alias("blocks"),
+    )
+    docs = docs.join(shares, "clump")
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    rest = F.pmod(F.xxhash64("doc_id"), F.col("rest_blocks")).cast("int")
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    left = docs.where("component <> largest").select("clump", rest.alias("x"), every("blocks").alias("y"), F.lit(True).alias("is_rest"), "doc_id", "component")
+    right = docs.select("clump", every("rest_blocks").alias("x"), own.alias("y"), F.lit(False).alias("is_rest"), "doc_id", "component")
+    rows = left.union(right).join(texts, "doc_id")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        sets = shingle_sets([encoded(t) for t in group["text"]], settings.shingle)
+        is_rest = group["is_rest"].to_numpy()
+        ids, component = group["doc_id"].to_numpy(), group["component"].to_numpy()
+        others = np.flatnonzero(~is_rest)
+        sizes = np.array([len(s) for s in sets])
+        found = []
+        if len(others):
+            hashes = np.concatenate([sets[i] for i in others])
+            owner = np.repeat(np.arange(len(others)), sizes[others])
+            order = np.argsort(hashes, kind="stable")
+            hashes, owner = hashes[order], owner[order]
+            for x in np.flatnonzero(is_rest):
+                lo, hi = np.searchsorted(hashes, sets[x], "left"), np.searchsorted(hashes, sets[x], "right")
+                n = hi - lo
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                common = np.bincount(owner[at], minlength=len(others))
+                alike = 100 * common >= settings.percent * (sizes[x] + sizes[others] - common)
+                found += [(ids[x], ids[others[y]]) for y in np.flatnonzero(alike & (component[others] != component[x]))]
+        return pd.DataFrame(found, columns=["a", "b"]).astype(np.int64)
+
+    return rows.groupBy("clump", "x", "y").applyInPandas(run, "a long, b long")
