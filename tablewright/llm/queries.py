@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import crc32_of_id, table
+from tablewright.llm.common import Scratch, crc32_of_id, table
 from tablewright.llm.decontamination import leaks
 from tablewright.llm.licenses import STATEMENTS, scan_licenses
 from tablewright.llm.minhash import NearDuplicates, near_duplicates
+from tablewright.llm.mixing import Mixture, mix_sources
 from tablewright.llm.quality import fit_quality, score_quality
 from tablewright.llm.quality_rules import quality_rules
 from tablewright.llm.suffix_dedup import without_repeats
+from tablewright.llm.token_counts import TokenizerFile, count_tokens
 from tablewright.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +138,51 @@ from d left join base using (doc_id) left join more using (doc_id)
 @query("op10_licenses", _LICENSES_SQL)
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("copies")
+
+
+def _narrowed_sql(name: str, fits: str) -> str:
+    """The turns of narrowing the exponent, as one CTE each; sources(p) has the token shares."""
+    turns = [f"{name}0 as (select 0.0::double as low, 1.0::double as high)"]
+    for i in range(Mixture.turns):
+        sums = f"""select i, sum(pow(p, a)) as z, sum(pow(p, a) * a * ln(p)) as w, max(pow(p, a - 1)) as top
+            from (select p, i, low + i * ((high - low) / {Mixture.points}) as a from sources, {name}{i}, range({Mixture.points + 1}) r(i)) group by i"""
+        last = f"coalesce((select max(i) from ({sums}) where {fits}), 0)"
+        moved = f"select low + {last} * ((high - low) / {Mixture.points}) as low, (high - low) / {Mixture.points} as step from {name}{i}"
+        turns.append(f"{name}{i + 1} as (select low, least(low + step, 1.0) as high from ({moved}))")
+    return ",\n".join(turns)
+
+
+_MIX_SQL = f"""
+with d as (select doc_id, source, md5('{Mixture.seed}:' || doc_id) as k,
+    cast(len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) as bigint) as n from documents),
+totals as (select source, sum(n)::bigint as tokens from d group by source),
+sources as (select tokens / (select sum(tokens) from totals)::double as p from totals where tokens > 0),
+{_narrowed_sql("e", f"ln(z) - w / z >= {Mixture.entropy} * ln((select count(*) from sources))")},
+{_narrowed_sql("t", f"top / z * {Mixture.budget} > {Mixture.most_passes}")},
+chosen as (select greatest((select low from e{Mixture.turns}), (select low from t{Mixture.turns})) as a),
+shares as (select source, tokens, floor(pow(tokens::double, a) / (select sum(pow(tokens::double, a)) from totals, chosen) * 1e9)::hugeint as share from totals, chosen),
+budgets as (select source, tokens, (share * (select sum(tokens) from totals)::hugeint) // 1000000000 as budget from shares),
+ranked as (select d.*, budget // tokens as passes, budget % tokens as rest,
+    sum(n) over (partition by source order by k range unbounded preceding) as upto from d join budgets using (source)),
+copies as (select *, unnest(range(0, cast(passes + case when upto <= rest then 1 else 0 end as bigint))) as copy from ranked)
+select doc_id, source, n as n_tokens, copy, md5('{Mixture.seed}:' || copy || ':' || doc_id) as shuffle_key from copies
+"""
+
+
+@query("op4_source_mixture", _MIX_SQL)
+def op4_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "n_tokens", "copy", "shuffle_key")
+
+
+def public_tokenizer(name: str) -> TokenizerFile:
+    import public_tokenizers
+
+    return TokenizerFile.read(public_tokenizers.path(name), getattr(public_tokenizers, "PATTERN", None) if name.endswith(".tiktoken") else None)
+
+
+@query("op9_token_counts")
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A cache of its own for each call: the query's work must not depend on what ran before it.
+    cache = f"{Scratch(spark, 'token-cache').folder}/counts"
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"), cache)
