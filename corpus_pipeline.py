@@ -5,22 +5,56 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablewright.llm.common import Scratch, table
-from tablewright.llm.minhash import NearDuplicates, near_duplicates
+from tablewright.llm.decontamination import leaks
+from tablewright.llm.minhash import near_duplicates
+from tablewright.llm.mixing import mix_sources
+from tablewright.llm.quality import fit_quality, score_quality
+from tablewright.llm.suffix_dedup import without_repeats
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learned from the labels of the documents at hand, does not reject."""
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), F.lit(True))
+    return score_quality(docs, model, name="__score").where("__score >= 0.5").select(docs.columns)
+
+
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates stays."""
-    found = near_duplicates(docs, NearDuplicates())
-    kept = found.where("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
+    """The document with the smallest id of each group of near duplicates; of rows that repeat an id, one."""
+    found = near_duplicates(docs)
+    kept = found.where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    rows = docs.join(kept.hint("shuffle_hash"), docs["doc_id"] == kept["__id"], "left_semi").dropDuplicates(["doc_id"])
+    # At most one group of near duplicates can be known by no id at all; its rows and those of others without an id can't be told apart.
+    return rows.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(docs.columns)
+
+
+def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that occur earlier; those of which nothing is left go."""
+    out = without_repeats(docs).where("n_removed = 0 or n_removed < n_bytes")
+    return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(docs.columns)
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left_anti").select(docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the proportions of the mixture, a row for each copy."""
+    return mix_sources(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality", good_quality),
     ("near-duplicates", without_near_duplicates),
+    ("repeated-passages", without_repeated_passages),
+    ("benchmark-leaks", without_leaks),
+    ("mixture", mixture),
 ]
 
 #: SQL can't express the compression classifier; the stages are tested against brute force.

@@ -182,6 +182,7 @@ def near_duplicates(
     apart = scratch.save(apart.join(open_keys.select("key"), "key").select("hub", "doc_id", "component").distinct())
     if has_rows(apart):
         labels = joined_labels(scratch, labels, in_blocks(scratch, apart, texts, settings))
+    scratch.drop(members, texts, apart)
     labels = labels.withColumnRenamed("node", "doc_id")
     classes = classes.select("digest", "doc_id").join(labels, "doc_id", "left")
     classes = classes.select("digest", F.coalesce("component", "doc_id").alias("component"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.common import Scratch, crc32_of_id, table
 from tablewright.llm.decontamination import leaks
+from tablewright.llm.html_text import extract_text
 from tablewright.llm.licenses import STATEMENTS, scan_licenses
 from tablewright.llm.minhash import NearDuplicates, near_duplicates
 from tablewright.llm.mixing import Mixture, mix_sources
@@ -186,3 +187,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A cache of its own for each call: the query's work must not depend on what ran before it.
     cache = f"{Scratch(spark, 'token-cache').folder}/counts"
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"), cache)
+
+
+@query("op7_html_text")
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))

@@ -257,8 +257,8 @@ def compared(found: DataFrame, settings: Repeats, parts: int) -> DataFrame:
 def without_repeats(
     docs: DataFrame, settings: Repeats = Repeats(), id_column: str = "doc_id", text_column: str = "text", digest: bool = False
 ) -> DataFrame:
-    """All rows and columns of docs, with the bytes of repeated passages cut out of the text (bytes that are then no character are
-    replaced), and the columns n_bytes, n_removed and n_spans added, which take the place of columns of that name.
+    """All rows and columns of docs, with the bytes of repeated passages cut out of the text (bytes that are then no whole
+    character go too), and the columns n_bytes, n_removed and n_spans added, which take the place of columns of that name.
 
     With digest=True only doc_id, the three counts and kept_sha256, the digest of the remaining bytes.
     A NULL text stays NULL and counts as empty. A missing id counts as the largest. Rows that share an id count as one document:
@@ -285,7 +285,7 @@ def without_repeats(
                     kept.append(data[at:lo])
                     at, removed, count = hi, removed + hi - lo, count + 1
                 rest = b"".join([*kept, data[at:]])
-                out.append((len(data), removed, count, hashlib.sha256(rest).hexdigest() if digest else None if text is None else rest.decode("utf-8", "replace")))
+                out.append((len(data), removed, count, hashlib.sha256(rest).hexdigest() if digest else None if text is None else rest.decode("utf-8", "ignore")))
             new = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "result"], index=batch.index)
             yield pd.concat([batch.drop(columns=["text", "cut"]), new], axis=1)
 
