@@ -245,7 +245,8 @@ def compared(found: DataFrame, settings: Repeats, parts: int) -> DataFrame:
             if held and held[-1]["lead"].iloc[-1] == last and open_rows.all():
                 held.append(batch)
                 continue
-            yield repeats(pd.concat([*held, batch[~open_rows]])) if held or not open_rows.all() else repeats(batch.iloc[:0])
+            if held or not open_rows.all():
+                yield repeats(pd.concat([*held, batch[~open_rows]]))
             held = [batch[open_rows]]
         if held:
             yield repeats(pd.concat(held))
