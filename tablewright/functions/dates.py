@@ -28,12 +28,13 @@ _WEEKDAY = r"(?:(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\
 _DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
 _LOW = r"(0?[1-9]|1[0-2])"  # can be a month
 _HIGH = r"(1[3-9]|2\d|3[01])"  # can only be a day
-_TIME = r"(?:(?:\s+|t)(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)(?:\s*[ap]\.?m\.?)?)?"
+# Seconds keep six digits of their fraction; a zone is read by _ZONE.
+_TIME = r"(?:(?:\s+|t)(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)\d{0,3}(?:\s*[ap]\.?m\.?)?(?:\s*(?:z|utc|gmt)|\s*[+-]\d{2}:?\d{2})?)?"
+_ZONE = r":\d{2}(?:\.\d+)?\s*([+-])(\d{2}):?(\d{2})$"
 _YEARS = ((r"(\d{4})", ""), (r"([0-5]\d|6[0-8])", "20"), (r"(69|[7-9]\d)", "19"))
-_HALF_DAY = r"(?i)(\d{1,2}):\d{2}(?::\d{2}(?:\.\d{1,6})?)?\s*([ap])\.?m\.?$"
+_HALF_DAY = r"(?i)(\d{1,2}):\d{2}(?::\d{2}(?:\.\d{1,9})?)?\s*([ap])\.?m\.?$"
 _HALF_DAY_ENDS = ("am", "pm", "m.")
 # Quick tests, so that other text costs no more than these.
-_LONGEST = 64
 _NUMERIC = r"(?i)^\d[\d./-]+(?:(?:\s+|t)\d|$)"
 _NAMED = r"(?i)(?:^|[^a-z])(?:" + "|".join(MONTHS) + ")"
 
@@ -90,15 +91,17 @@ def to_ts(c: Column, t: DataType, day_first: bool = False) -> Column:
         enumerate(MONTHS, start=1),
         F.lower(_rewritten(text, _NAMED_RULES)),
     )
-    iso = F.when(
-        F.length(text) <= _LONGEST,
-        F.when(text.rlike(_NUMERIC), _rewritten(text, _numeric_rules(day_first))).when(text.rlike(_NAMED), named),
-    )
+    iso = F.when(text.rlike(_NUMERIC), _rewritten(text, _numeric_rules(day_first))).when(text.rlike(_NAMED), named)
     hour = F.regexp_extract(text, _HALF_DAY, 1).try_cast("int")
     evening = F.lower(F.regexp_extract(text, _HALF_DAY, 2)) == "p"
     shift = F.when(evening & (hour < 12), 12).when(~evening & (hour == 12), -12).otherwise(0)
     half_day = F.lower(F.right(text, F.lit(2))).isin(*_HALF_DAY_ENDS)
-    return iso.try_cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.when(half_day, shift).otherwise(0))
+    # A moment with an offset is given in UTC; one without a zone as it stands.
+    zoned = text.rlike(_ZONE)
+    ahead = F.when(F.regexp_extract(text, _ZONE, 1) == "-", 1).otherwise(-1)
+    hours = F.when(zoned, ahead * F.regexp_extract(text, _ZONE, 2).try_cast("int")).otherwise(0)
+    minutes = F.when(zoned, ahead * F.regexp_extract(text, _ZONE, 3).try_cast("int")).otherwise(0)
+    return iso.try_cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.when(half_day, shift).otherwise(0) + hours, minutes)
 
 
 def parse_date(value, day_first: bool = False) -> datetime | None:
@@ -108,8 +111,6 @@ def parse_date(value, day_first: bool = False) -> datetime | None:
     if value is None:
         return None
     text = str(value).strip()
-    if len(text) > _LONGEST:
-        return None
     rules = _numeric_rules(day_first) if re.search(_NUMERIC, text, re.ASCII) else _NAMED_RULES
     rule = next(((p, iso) for p, iso in rules if re.match(p, text, re.ASCII)), None)
     if rule is None:
@@ -124,6 +125,9 @@ def parse_date(value, day_first: bool = False) -> datetime | None:
         read = datetime(*map(int, day.split("-")), int(hours), int(minutes), int(whole), int(f"{fraction:0<6}"))
     except ValueError:
         return None
+    zone = re.search(_ZONE, text, re.ASCII)
+    if zone:
+        read += timedelta(hours=int(zone[2]), minutes=int(zone[3])) * (1 if zone[1] == "-" else -1)
     half = re.search(_HALF_DAY, text, re.ASCII)
     if half:
         evening = half[2].lower() == "p"

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Container
+from collections.abc import Callable, Container
+from itertools import count
+from pathlib import PurePosixPath
 
 
 def norm_col(name: str) -> str:
@@ -21,28 +23,23 @@ def column_letter(position: int) -> str:
 
 
 def table_name(path: str) -> str:
-    """The stem of a file path as a table name."""
-    last = path.replace("\\", "/").rstrip("/").rsplit("/", 1)[-1]
-    return last.rsplit(".", 1)[0].strip() or "table"
+    """A table is called like its file, without folder and ending."""
+    return PurePosixPath(path.replace("\\", "/")).stem.strip() or "table"
 
 
-def unused_name(name: str, taken: Container[str], pattern: str = "{name} ({n})") -> str:
-    """``name``, or its first numbered variant that is not taken."""
-    if name not in taken:
-        return name
-    n = 2
-    while (variant := pattern.format(name=name, n=n)) in taken:
-        n += 1
-    return variant
+def unused_name(name: str, taken: Container[str], numbered: Callable[[int], str] | None = None) -> str:
+    """``name`` if it is free, else with the smallest number from 2 on that makes it so."""
+    numbered = numbered or (lambda n: f"{name} ({n})")
+    return name if name not in taken else next(v for v in map(numbered, count(2)) if v not in taken)
 
 
-# Characters and length a sheet label may have.
+# What a sheet label may not hold, and how long a name in it and the whole label may be.
 _LABEL_FORBIDDEN = r"[:\\/?*\[\]]"
 _LABEL_STEM = 28
 _LABEL_LENGTH = 31
 
 
 def sheet_label(name: str, taken: Container[str]) -> str:
-    """A table name made safe as a sheet or directory label, unique among ``taken``."""
+    """A table name made safe as a sheet or directory label, unique among ``taken``; a number shortens the name, not itself."""
     stem = re.sub(_LABEL_FORBIDDEN, " ", name).strip()[:_LABEL_STEM] or "Sheet"
-    return unused_name(stem, taken, "{name} {n}")[:_LABEL_LENGTH]
+    return unused_name(stem, taken, lambda n: f"{stem[: _LABEL_LENGTH - 1 - len(str(n))]} {n}")

@@ -33,8 +33,6 @@ WHITESPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 # Fixed value: what text is a number. Guards the cast, which would also take '12D', '1f' or '0x1p3'.
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
-_WHOLE_LIMIT = 9.2e18  # a whole double below this fits a bigint
-
 
 def is_text(t: DataType) -> bool:
     return isinstance(t, StringType)
@@ -101,12 +99,28 @@ def to_num(c: Column, t: DataType) -> Column:
     return F.lit(None).cast("double")
 
 
-def number_text(c: Column, t: DataType) -> Column:
-    """A number as plain text: whole doubles without a decimal part or exponent."""
-    if is_fractional(t):
-        whole = (c == F.floor(c)) & (F.abs(c) < _WHOLE_LIMIT)
-        return F.when(whole, c.try_cast("bigint").cast("string")).otherwise(c.cast("string"))
-    return c.cast("string")
+def number_text(c: Column, t: DataType, keep_point: bool = False) -> Column:
+    """A number as plain text: the shortest digits that give the number back, without an exponent.
+
+    Whole doubles are written without a decimal part, as keys are, or with ``.0``, as cells are shown.
+    """
+    if not is_fractional(t):
+        return c.cast("string")
+
+    def plain(s: Column) -> Column:
+        parts = F.split(s, "E")
+        mantissa, exponent = F.ltrim(parts[0], F.lit("-")), parts[1].cast("int")
+        digits = F.rtrim(F.replace(mantissa, F.lit("."), F.lit("")), F.lit("0"))
+        large = F.concat(F.rpad(F.left(digits, exponent + 1), exponent + 1, "0"), F.lit("."), F.substring(digits, exponent + 2, F.length(digits)), F.lit(""))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+        return F.concat(F.when(s.startswith("-"), "-").otherwise(""), F.when(exponent >= 0, large).otherwise(small))
+
+    def read(s: Column) -> Column:
+        with_point = F.when(s.contains("E"), plain(s)).otherwise(s)
+        whole = F.regexp_replace(with_point, r"\.0*$", "")
+        return F.regexp_replace(with_point, r"\.$", ".0") if keep_point else whole
+
+    return once(c.cast("string"), read)
 
 
 def norm_key(c: Column, t: DataType) -> Column:
@@ -127,8 +141,9 @@ def norm_literal(value) -> str | None:
     """The matching key of a value given by the caller; agrees with :func:`norm_key`."""
     if value is None or (isinstance(value, float) and math.isnan(value)):
         return None
-    if isinstance(value, float) and value.is_integer():
-        value = int(value)
+    if isinstance(value, float) and math.isfinite(value):
+        text = format(Decimal(repr(value)), "f")
+        return text.rstrip("0").rstrip(".") if "." in text else text
     return str(value).strip().lower()
 
 

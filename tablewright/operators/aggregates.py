@@ -108,6 +108,8 @@ def aggregate_by(
     """
     spec = check_aggregate(df, agg_func, agg_column, group_by, count_value)
     _require_numbers(df, spec, types)
+    if spec.label in group_by or len(set(group_by)) < len(list(group_by)):
+        raise OperationError(f"Group columns must differ from each other and from the result, '{spec.label}'.")
     if spec.func == "count":
         rows = df.where(_matches(df, spec)) if count_value is not None else df
         measure = F.count(F.lit(1))

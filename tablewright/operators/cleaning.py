@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tablewright.columns import col, dtype, exact_names, replace_columns, require_columns
 from tablewright.errors import OperationError
 from tablewright.functions.dates import to_ts
-from tablewright.functions.values import WHITESPACE_RUN, is_blank, is_text, once, to_num, trim_ws
+from tablewright.functions.values import WHITESPACE_RUN, is_blank, is_text, number_text, once, to_num, trim_ws
 from tablewright.operators.profiling import require_scalar, text_columns
 from tablewright.operators.roworder import order_columns
 
@@ -76,7 +76,7 @@ def find_replace(
     """
     new: dict[str, Column] = {}
     for name in replace_targets(df, find, column):
-        text = col(name) if is_text(dtype(df, name)) else col(name).cast("string")
+        text = number_text(col(name), dtype(df, name), keep_point=True)
         cell, hit = replacement(text, find, replace or "", match_case, whole_cell)
         if is_text(dtype(df, name)) or not df.where(hit).isEmpty():
             new[name] = cell

@@ -27,6 +27,7 @@ from tablewright.functions.values import (
     norm_key,
     norm_literal,
     number_literal,
+    number_text,
     once,
     parse_number,
     to_num,
@@ -98,10 +99,10 @@ def _key_test(cond: Condition, c: Column, t: DataType) -> Column:
     return ~F.coalesce(found, F.lit(False)) if cond.operator.startswith("not_") else found
 
 
-def _text_test(cond: Condition, c: Column) -> Column:
+def _text_test(cond: Condition, c: Column, t: DataType) -> Column:
     if cond.value is None:
         raise OperationError(f"'{cond.operator}' on {cond.column} needs a value.")
-    cell, wanted = F.lower(c.cast("string")), str(cond.value).lower()
+    cell, wanted = F.lower(number_text(c, t, keep_point=True)), str(cond.value).lower()
     if cond.operator == "contains":
         return cell.contains(wanted)
     return cell.startswith(wanted) if cond.operator == "starts_with" else cell.endswith(wanted)
@@ -120,7 +121,7 @@ def _comparable(cond: Condition, c: Column, t: DataType, kinds: Kinds) -> tuple[
     """The cell and the given bounds in one comparable kind; the last item tells dates from numbers."""
     numbers = _numbers(cond)
     if numbers is not None and kinds.numbers.get(cond.column):
-        return (to_num(c, t) if is_text(t) else c), numbers, False
+        return (c if is_number(t) else to_num(c, t)), numbers, False
     if kinds.dates.get(cond.column):
         dates = [parse_date(v) for v in _bounds(cond)]
         if None in dates:
@@ -151,7 +152,7 @@ def predicate(df: DataFrame, cond: Condition, kinds: Kinds) -> Column:
     if cond.operator in KEY_TESTS:
         return _key_test(cond, c, t)
     if cond.operator in TEXT_TESTS:
-        return _text_test(cond, c)
+        return _text_test(cond, c, t)
     if cond.operator in RANGE_TESTS:
         return _range_test(cond, c, t, kinds)
     raise OperationError(f"Unknown filter operator: {cond.operator!r}.")

@@ -19,10 +19,10 @@ NOT_FOUND = "Not found"
 BROADCAST_BYTES = 64 * 1024 * 1024
 ROW_OVERHEAD = 64
 
-# A key with more rows than this is split over tasks, one salt per this many rows. Only the most frequent
-# keys are looked at; the rest are below the size at which a shuffle partition hurts.
+# Every key with more rows than this, or than one in HOT_SHARE of all rows, is split over tasks, one salt per so many rows. So there
+# are at most HOT_SHARE such keys, however large the table is, and their list can be sent to every task.
 HOT_ROWS = 1_000_000
-HOT_KEYS = 256
+HOT_SHARE = 100_000
 
 KEY = "__tw_key"
 VALUE = "__tw_value"
@@ -60,29 +60,25 @@ def _measured_bytes(source: DataFrame) -> int:
     return source.agg(F.sum(size.cast("bigint"))).first()[0] or 0
 
 
-def _hot_keys(left: DataFrame) -> list:
-    counts = left.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
-    return counts.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n")).limit(HOT_KEYS).collect()
+def _salted_join(left: DataFrame, first: DataFrame, hot_rows: int) -> DataFrame:
+    """Shuffle join in which the rows of frequent keys are spread over many tasks.
 
-
-def _salted_join(left: DataFrame, first: DataFrame) -> DataFrame:
-    """Shuffle join in which the rows of frequent keys, and of missing keys, are spread over many tasks.
-
-    Every salt of a frequent key has its copy of the key's one source row, so the result is the same.
+    Every salt of a frequent key has its copy of the key's one source row, so the result is the same. Rows without a key match
+    nothing; they stay out of the join and are not shuffled.
     """
+    keyed = left.where(F.col(KEY).isNotNull())
+    counts = keyed.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    each = max(hot_rows, total // HOT_SHARE)
+    hot = counts.where(F.col("n") > each).select(KEY, F.floor(F.col("n") / each + 1).cast("bigint").alias(_SALTS))
+    salts = F.coalesce(F.col(_SALTS), F.lit(1).cast("bigint"))
     spread = F.xxhash64(*[col(c) for c in order_columns(left)])
-    hot = _hot_keys(left)
-    salts = F.lit(1)
-    if hot:
-        spark = left.sparkSession
-        table = spark.createDataFrame([(r[KEY], r["n"] // HOT_ROWS + 1) for r in hot], f"{KEY} string, {_SALTS} bigint")
-        left = left.join(F.broadcast(table), KEY, "left")  # at most HOT_KEYS rows
-        first = first.join(F.broadcast(table), KEY, "left")
-        salts = F.coalesce(F.col(_SALTS), F.lit(1))
-    right = first.withColumn(_SALT, F.explode(F.sequence(F.lit(0).cast("bigint"), (salts - 1).cast("bigint"))))
-    ways = F.when(F.col(KEY).isNull(), F.lit(4096)).otherwise(salts)
-    left = left.withColumn(_SALT, F.pmod(spread, ways.cast("bigint")))
-    return left.join(right.drop(_SALTS), [KEY, _SALT], "left").drop(_SALT, _SALTS)
+    keyed = keyed.join(F.broadcast(hot), KEY, "left").withColumn(_SALT, F.pmod(spread, salts)).drop(_SALTS)
+    right = first.join(F.broadcast(hot), KEY, "left")
+    right = right.withColumn(_SALT, F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop(_SALTS)
+    joined = keyed.join(right.hint("merge"), [KEY, _SALT], "left").drop(_SALT)
+    alone = left.where(F.col(KEY).isNull()).withColumn(VALUE, F.lit(None).cast(dtype(first, VALUE)))
+    return joined.unionByName(alone)
 
 
 @exact_names
@@ -93,6 +89,7 @@ def match_first(
     source_key_column: str,
     return_column: str,
     broadcast_bytes: int = BROADCAST_BYTES,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``df`` with the value of the first source row of the same key in ``__tw_value``.
 
@@ -112,8 +109,8 @@ def match_first(
     elif _measured_bytes(keyed) <= broadcast_bytes:
         joined = df.withColumn(KEY, key).join(F.broadcast(first), KEY, "left")
     else:
-        joined = _salted_join(with_row_order(df).withColumn(KEY, key), first)
-    return joined.drop(KEY)
+        joined = _salted_join(with_row_order(df).withColumn(KEY, key), first, hot_rows)
+    return joined.select(*[col(c) for c in df.columns], VALUE)
 
 
 @exact_names
@@ -126,13 +123,14 @@ def lookup(
     new_column: str | None = None,
     not_found: str | None = NOT_FOUND,
     broadcast_bytes: int = BROADCAST_BYTES,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``new_column`` (default: the name of ``return_column``) with the looked-up value of each row.
 
     Rows and their order stay. Unmatched rows show ``not_found``, which makes the column text; with
     ``not_found=None`` they are NULL and the column keeps its type. A column of that name is replaced.
     """
-    joined = match_first(df, source, key_column, source_key_column, return_column, broadcast_bytes)
+    joined = match_first(df, source, key_column, source_key_column, return_column, broadcast_bytes, hot_rows)
     return shown(joined, new_column or return_column, not_found)
 
 

@@ -43,7 +43,7 @@ def any_blank(df: DataFrame, names: Sequence[str]) -> Column:
 @exact_names
 def drop_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Drop the rows in which any of ``columns`` (default: all) is blank."""
-    return df.where(~any_blank(df, chosen_columns(df, columns)))
+    return df.where(~any_blank(df, chosen_columns(df, columns) if columns else visible_columns(df)))
 
 
 @exact_names
@@ -62,7 +62,7 @@ def flag_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 
 def _fixed_fill(df: DataFrame, name: str, value) -> tuple[Column, Column | None]:
-    """The filled column, and where the fill value does not fit the column's type, its text form."""
+    """The filled column, and where the fill value does not fit the column's type, its form in the type that both fit."""
     c, t = col(name), dtype(df, name)
     gap = blank(df, name)
     if is_text(t):
@@ -71,8 +71,9 @@ def _fixed_fill(df: DataFrame, name: str, value) -> tuple[Column, Column | None]
         number = parse_number(value)
         if number is not None:
             literal = number_literal(number)
-            fits = not is_integral(t) or isinstance(number, int)
-            return F.when(gap, literal.cast(t) if fits else literal).otherwise(c if fits else c.cast("double")), None
+            if is_integral(t) and not isinstance(number, int):
+                return c, F.when(gap, literal).otherwise(c.cast("double"))
+            return F.when(gap, literal.cast(t)).otherwise(c), None
     elif is_temporal(t):
         moment = parse_date(value)
         if moment is not None:
@@ -93,7 +94,7 @@ def fill_missing(
 
     With ``fill_method`` "previous" or "next" a blank takes the nearest value above or below it in the
     table's order; otherwise ``fill_value`` is put in. A value that does not fit a typed column turns the
-    column into text, but only if there is a blank to fill.
+    column into text (whole numbers into doubles, for a fraction), but only if there is a blank to fill.
     """
     method = (fill_method or "").strip().lower()
     names = chosen_columns(df, columns)

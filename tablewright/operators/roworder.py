@@ -15,19 +15,18 @@ Sorting only records keys; no data moves until a limit or a sink asks for the or
 
 from __future__ import annotations
 
-import functools
-import logging
-import tempfile
 import uuid
 from collections.abc import Sequence
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
+from pyspark.logger import PySparkLogger
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewright.columns import HIDDEN, col, dtype, exact_names, hidden_columns, replace_columns, require_columns
 from tablewright.functions.values import present
+from tablewright.session import shared_folder
 
 FILE = HIDDEN + "file"
 POS = HIDDEN + "pos"
@@ -44,7 +43,7 @@ _SEGMENT_BITS = 33
 
 @contextmanager
 def _quiet_analysis():
-    logger = logging.getLogger("DataFrameQueryContextLogger")
+    logger = PySparkLogger.getLogger("DataFrameQueryContextLogger")  # a plain logger of that name would break Spark's own
     before = logger.disabled
     logger.disabled = True
     try:
@@ -123,19 +122,9 @@ def ordered(df: DataFrame) -> DataFrame:
     return df.orderBy(*terms) if terms else df
 
 
-@functools.cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="tablewright-")
-
-
 def scratch_path(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint directory; only local runs may do without one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
-        root = _own_folder()
-    return f"{root.rstrip('/')}/tablewright-{uuid.uuid4().hex}"
+    """A new folder in the one that all executors share."""
+    return f"{shared_folder(spark)}/tablewright-{uuid.uuid4().hex}"
 
 
 def addressed(df: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -408,9 +409,12 @@ def run_plan(
     for number, op in enumerate(operations, start=1):
         try:
             table, step = _run_step(state, op, types or {})
-        except OperationError as problem:
+        except (OperationError, PySparkException) as problem:
+            # What Spark itself refuses is refused like any other step, and the good steps before it stay.
             if number == 1:
-                raise
+                if isinstance(problem, OperationError):
+                    raise
+                raise OperationError(f"Spark refuses this step: {problem.getCondition() or problem}") from problem
             raise StepFailed(state, number, str(problem)) from problem
         state.tables[table] = step.df
         state.name = table

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
+from tablewright.errors import OperationError
+
 # Case-sensitive names keep `Amount` and `amount` apart in files too; the others are Spark's own tools for
 # plans whose partitions turn out small, large or skewed at run time.
 SETTINGS = {
@@ -25,3 +29,19 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     for key, value in {**SETTINGS, **{k.replace("__", "."): v for k, v in settings.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as spark.checkpoint.dir names it.
+
+    Where that is unset, a session whose executors are threads of the driver (as in tests) gets a new folder, and the
+    setting with it; on a cluster a folder of one machine would be no use.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise OperationError("Set spark.checkpoint.dir to a folder that all executors share; this step stores rows there.")
+        folder = tempfile.mkdtemp(prefix="tablewright-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")

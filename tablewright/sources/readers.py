@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -40,35 +41,75 @@ def _format_of(path: str, fmt: str | None) -> str:
     return known
 
 
+_HEADER_LINES = 100  # that a header with line breaks inside quotes may take
+
+
 def _header_line(spark: SparkSession, path: str) -> str:
-    """The first line with content of the first file; reads the head of that file only."""
-    files = sorted(spark.read.text(path).inputFiles())
-    if files:
-        lines = spark.read.text(files[0]).where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
-        first = lines.limit(1).collect()
-        if first:
-            return first[0]["value"]
+    """The first line with content of the first file, with those that quotes join to it; reads the head of that file only."""
+    first_file = min(spark.read.text(path).inputFiles(), default=None)
+    if first_file:
+        lines = spark.read.text(first_file).where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
+        head = [r["value"] for r in lines.limit(_HEADER_LINES).collect()]
+        for n in range(1, len(head) + 1):
+            if "\n".join(head[:n]).count('"') % 2 == 0:
+                return "\n".join(head[:n])
+        if head:
+            return head[0]
     raise OperationError(f"'{path}' holds no table: it has no header line.")
 
 
+def _uri(file: str) -> str:
+    """A file's address in one spelling: Spark writes file:/a in one place and file:///a in another."""
+    return re.sub(r"^(\w+):/+", r"\1:/", file)
+
+
+def _files_with_open_quotes(spark: SparkSession, path: str) -> set[str]:
+    """Files in which a line ends inside quotes, so that a row goes on in the next; one pass in parallel."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = spark.read.text(path).where(quotes % 2 == 1)
+    return {r[0] for r in lines.select(F.col("_metadata.file_path")).distinct().collect()}
+
+
 def _known(c: Column) -> Column:
     return F.when(~c.isin(*MISSING), c)
 
 
-def _raw_text(spark: SparkSession, path: str, width: int, separator: str, multiline: bool) -> DataFrame:
-    """All columns as text under positional names, missing cells as NULL, with row order."""
+#: Holds what a row has beyond the header's width.
+_BEYOND = "beyond_header"
+
+
+def _raw_text(spark: SparkSession, path: str, width: int, separator: str, multiline: bool | None) -> DataFrame:
+    """All columns as text under positional names, missing cells as NULL, with row order and what is beyond the last column."""
     names = [f"c{i}" for i in range(width)]
-    rows = (
-        spark.read.schema(", ".join(f"{n} string" for n in names))
-        .option("header", True)
-        .option("sep", separator)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        .csv(path)
-    )
-    rows = with_row_order(rows, root=path)
-    return rows.select(*[_known(F.col(n)).alias(n) for n in names], *[col(c) for c in order_columns(rows)])
+
+    def read(paths: str | list[str], whole_files: bool) -> DataFrame:
+        rows = (
+            spark.read.schema(", ".join(f"{n} string" for n in [*names, _BEYOND]))
+            .option("header", True)
+            .option("sep", separator)
+            .option("quote", '"')
+            .option("escape", '"')
+            .option("multiLine", whole_files)
+            .csv(paths)
+        )
+        rows = with_row_order(rows, root=path)
+        return rows.select(*[_known(F.col(n)).alias(n) for n in names], _BEYOND, *[col(c) for c in order_columns(rows)])
+
+    if multiline is not None:
+        return read(path, multiline)
+    broken = _files_with_open_quotes(spark, path)
+    if not broken:
+        return read(path, False)
+    # Only files whose rows run over line ends are read by one task each.
+    known = {_uri(f) for f in broken}
+    others = [f for f in spark.read.text(path).inputFiles() if _uri(f) not in known]
+    parts = [read(sorted(broken), True)] + ([read(others, False)] if others else [])
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _refuse_ragged(path: str, count: int) -> None:
+    if count:
+        raise OperationError(f"'{path}' has {count} rows with more cells than its header names. Mend the file, or name the cells in its header.")
 
 
 def _without_promoted_row(raw: DataFrame, first_row: Sequence[str | None]) -> DataFrame:
@@ -82,13 +123,15 @@ def _without_promoted_row(raw: DataFrame, first_row: Sequence[str | None]) -> Da
     return raw.join(headers, [FILE, SEQ], "left_anti")
 
 
-def _inferred(raw: DataFrame, header: Header, names: Sequence[str], types: Mapping[str, str], infer: bool) -> DataFrame:
+def _inferred(path: str, raw: DataFrame, header: Header, names: Sequence[str], types: Mapping[str, str], infer: bool) -> DataFrame:
     """Name the kept columns and give each the type all of its cells have; one pass over the undeclared ones."""
     cells = {f"c{i}": name for i, name in zip(header.kept, names)}
     open_cells = [c for c, name in cells.items() if infer and name not in types]
     found: dict[str, str] = {}
+    beyond = F.col(_BEYOND)
     if open_cells:
         counts = raw.agg(
+            F.count(_BEYOND).alias(_BEYOND),
             *[
                 F.struct(
                     F.count(c).alias("filled"),
@@ -100,6 +143,7 @@ def _inferred(raw: DataFrame, header: Header, names: Sequence[str], types: Mappi
                 for c in open_cells
             ]
         ).first()
+        _refuse_ragged(path, counts[_BEYOND])
         for c in open_cells:
             n = counts[c]
             if not n["filled"]:
@@ -110,6 +154,11 @@ def _inferred(raw: DataFrame, header: Header, names: Sequence[str], types: Mappi
                 found[c] = "double"
             elif n["words"] == n["filled"]:
                 found[c] = "boolean"
+    elif cells:
+        # Without a look at the data beforehand, a row that is too long fails when it is read.
+        first = next(iter(cells))
+        refused = F.raise_error(F.lit(f"'{path}' has a row with more cells than its header names."))
+        raw = raw.withColumn(first, F.when(beyond.isNotNull(), refused.cast("string")).otherwise(F.col(first)))
     typed = [F.col(c).try_cast(types.get(name, found.get(c, "string"))).alias(name) for c, name in cells.items()]
     return raw.select(*typed, *[col(c) for c in hidden_columns(raw)])
 
@@ -132,7 +181,7 @@ def _read_csv(spark, path, separator, multiline, promote, types, infer) -> DataF
         if head and header.title_above(first_row, len(head)):
             raw = _without_promoted_row(raw, first_row)
             header = drop_phantoms(header.promoted(first_row), raw)
-    return _inferred(raw, header, header.final_names(), types or {}, infer)
+    return _inferred(path, raw, header, header.final_names(), types or {}, infer)
 
 
 @exact_names
@@ -142,7 +191,7 @@ def read_table(
     fmt: str | None = None,
     *,
     separator: str | None = None,
-    multiline: bool = False,
+    multiline: bool | None = None,
     promote: bool = True,
     types: Mapping[str, str] | None = None,
     infer: bool = True,
@@ -155,7 +204,8 @@ def read_table(
     Delimited text: names are stripped, repeated ones numbered, blank ones lettered, empty unnamed columns
     dropped and a title line above the header skipped (``promote``). Every column gets the type all of its
     cells have, found in one pass; ``types`` (name to Spark type) or ``infer=False`` saves the pass.
-    ``multiline`` allows line breaks inside quotes, at the price of reading each file in one task.
+    Files with line breaks inside quotes are found in a pass of their own and read by one task each; ``multiline`` True or False
+    takes that for granted for all files or rules it out. Rows with more cells than the header are refused.
     """
     kind = _format_of(path, fmt)
     try:

@@ -1,4 +1,3 @@
-import logging
 import os
 import sys
 
@@ -8,7 +7,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
-logging.getLogger("DataFrameQueryContextLogger").disabled = True
 
 
 @pytest.fixture(scope="session")
