@@ -156,7 +156,7 @@ def near_duplicates(
     its set; repeated rows give repeated results. A NULL text is empty. Other columns are not read.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "near-duplicates")
+    scratch = Scratch(spark, "near-duplicates", docs)
     parts = shuffle_parts(docs)
     rows = scratch.save(sketches(docs, settings, id_column, text_column))
     full = rows.where("n_shingles > 0")
@@ -179,7 +179,7 @@ def near_duplicates(
     apart = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     apart = apart.select("key", "hub", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     open_keys = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    apart = scratch.save(apart.join(open_keys.select("key"), "key").select("hub", "doc_id", "component").distinct())
+    apart = scratch.save(apart.join(open_keys.select("key"), "key").select("hub", "doc_id", "component").distinct(), few=True)
     if has_rows(apart):
         labels = joined_labels(scratch, labels, in_blocks(scratch, apart, texts, settings))
     scratch.drop(members, texts, apart)
@@ -205,7 +205,7 @@ def joined_labels(scratch: Scratch, labels: DataFrame, links: DataFrame) -> Data
     new = components(scratch, between).select(F.col("node").alias("component"), F.col("component").alias("to"))
     kept = labels.join(new, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     fresh = new.select(F.col("component").alias("node"), F.col("to").alias("component"))
-    return scratch.save(kept.union(fresh.join(kept.select("node"), "node", "left_anti")))
+    return scratch.save(kept.union(fresh.join(kept.select("node"), "node", "left_anti")), few=True)
 
 
 def in_blocks(scratch: Scratch, apart: DataFrame, texts: DataFrame, settings: NearDuplicates) -> DataFrame:
@@ -216,7 +216,7 @@ def in_blocks(scratch: Scratch, apart: DataFrame, texts: DataFrame, settings: Ne
     """
     clumps = components(scratch, apart.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")))
     docs = apart.select("doc_id", "component").distinct().join(clumps.select(F.col("node").alias("doc_id"), F.col("component").alias("clump")), "doc_id")
-    docs = scratch.save(docs)
+    docs = scratch.save(docs, few=True)
     sizes = docs.groupBy("clump", "component").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("clump").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("largest"))
     shares = sizes.select(
