@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,21 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.session import shared_folder
+
 #: The white space of the word rules: space and the control characters from tab to carriage return.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 #: Stands for a missing id where rows are put in order: it comes after every other.
 LAST_ID = 2**63 - 1
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir; where that is unset (tests), a new one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tablewright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 class Scratch:
     """Tables written to the shared folder, so that later steps read them instead of doing their work again.
 
@@ -32,13 +24,17 @@ class Scratch:
     `drop` removes what no later step needs.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, corpus: DataFrame | None = None):
         self.spark = spark
+        # Tables of ids and numbers take a small part of the corpus, so they get few files, as many more as it grows.
+        self.few = max(8, (estimated_bytes(corpus) if corpus is not None else 0) >> 26)
         self.folder = f"{shared_folder(spark)}/tablewright-{name}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, few: bool = False) -> DataFrame:
+        """The table, read from where it was written; `few`: it holds no texts."""
         self.count += 1
+        df = df.coalesce(self.few) if few else df
         path = f"{self.folder}/{self.count:03d}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
@@ -56,9 +52,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of a frame's size; for a file scan the size of its files."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return min(int(str(size)), 2**62)
+    """The size of what a frame reads, as far as the optimizer knows it; for files their size, for rows from the driver 0."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 2**60)
 
 
 def shuffle_parts(df: DataFrame, each: int = 32 << 20) -> int:
@@ -77,23 +74,23 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     Every step is a grouped minimum (combined before the shuffle) or an equi-join whose one side is unique, so no node's edges
     meet in one place.
     """
-    edges = scratch.save(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = scratch.save(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), few=True)
     labels = None
     while has_rows(edges):
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
-        step = scratch.save(both.groupBy("node").agg(F.least("node", F.min("other")).alias("to")))
+        step = scratch.save(both.groupBy("node").agg(F.least("node", F.min("other")).alias("to")), few=True)
         if labels is None:
             new = step.select("node", F.col("to").alias("component"))
-            labels = scratch.save(new)
+            labels = scratch.save(new, few=True)
         else:
             moved = step.select(F.col("node").alias("component"), "to")
-            new = scratch.save(labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+            new = scratch.save(labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), few=True)
             scratch.drop(labels)
             labels = new
         left = step.select(F.col("node").alias("a"), F.col("to").alias("a_to"))
         right = step.select(F.col("node").alias("b"), F.col("to").alias("b_to"))
         nxt = edges.join(left, "a").join(right, "b").where("a_to <> b_to")
-        nxt = scratch.save(nxt.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct())
+        nxt = scratch.save(nxt.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), few=True)
         scratch.drop(edges, step)
         edges = nxt
     if labels is None:
@@ -175,7 +172,7 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
-def in_batches(texts: list[bytes], most: int = 1 << 20):
+def in_batches(texts: list[bytes], most: int = 1 << 18):
     """Slices of the list whose texts hold about `most` bytes together; a longer text stands alone."""
     start, size = 0, 0
     for i, t in enumerate(texts):

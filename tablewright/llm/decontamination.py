@@ -60,8 +60,8 @@ def leaks(
     (negative if the item begins before it). Items of fewer words than the masks span are too short to be told from
     chance and match nothing, as do empty texts. A missing id is NULL in the result; rows that share an id are one document.
     """
-    scratch = Scratch(docs.sparkSession, "leaks")
-    items = scratch.save(hashed_words(benchmark, item_column, item_text_column).dropDuplicates())
+    scratch = Scratch(docs.sparkSession, "leaks", docs)
+    items = scratch.save(hashed_words(benchmark, item_column, item_text_column).dropDuplicates(), few=True)
     # Rows that share an item id are one item under that id, each with its own words.
     items = items.withColumn("item", F.xxhash64("id", "w")).withColumnRenamed("id", "item_id")
     known = seeds(items.select(F.col("item").alias("id"), "w"), settings)
@@ -73,7 +73,7 @@ def leaks(
     hits = found.join(known, "seed").select("id", "item", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
     sizes = items.select("item", F.size("w").alias("n_item"))
     hits = hits.join(sizes, "item").groupBy("id").agg(F.collect_list(F.struct("item", "n_item", "diagonal")).alias("hits"))
-    hits = scratch.save(hits)
+    hits = scratch.save(hits, few=True)
 
     parts = shuffle_parts(docs, 8 << 20)
     source = own.select(F.coalesce(F.col("id").cast("long"), F.lit(LAST_ID)).alias("id"), "text").repartition(parts, "id")

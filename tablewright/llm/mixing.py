@@ -74,12 +74,12 @@ def mix_sources(docs: DataFrame, mixture: Mixture = Mixture(), id_column: str =
     A NULL source is a source. A NULL text has no tokens; documents without tokens cost nothing and come once. Rows with one id have
     one place in the order and are taken or left together. An empty table gives an empty result.
     """
-    scratch = Scratch(docs.sparkSession, "mixing")
+    scratch = Scratch(docs.sparkSession, "mixing", docs)
     tokens = F.size(words(text_of(f"`{text_column}`"), SPACES)).cast("long")
     source = F.coalesce(F.col(f"`{source_column}`").cast("string"), F.lit("\0"))
     rows = scratch.save(docs.select(source.alias("s"), order_key(mixture, f"`{id_column}`").alias("k"), tokens.alias("n")))
-    blocks = scratch.save(rows.groupBy("s", F.substring("k", 1, 3).alias("b")).agg(F.sum("n").alias("n")))
-    totals = scratch.save(blocks.groupBy("s").agg(F.sum("n").alias("tokens")))
+    blocks = scratch.save(rows.groupBy("s", F.substring("k", 1, 3).alias("b")).agg(F.sum("n").alias("n")), few=True)
+    totals = scratch.save(blocks.groupBy("s").agg(F.sum("n").alias("tokens")), few=True)
     a = exponent(totals, mixture)
     whole = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"), F.sum(F.when(F.col("tokens") > 0, F.pow(F.col("tokens").cast("double"), F.lit(a)))).alias("z")).first()
     # Weights in billionths, so that budgets are products of whole numbers.
@@ -92,12 +92,12 @@ def mix_sources(docs: DataFrame, mixture: Mixture = Mixture(), id_column: str =
     # At most 4096 blocks for each source.
     summed = blocks.join(plan, "s").withColumn("upto", F.sum("n").over(Window.partitionBy("s").orderBy("b")))
     cut = summed.groupBy("s", "passes", "rest").agg(F.min(F.when(F.col("upto") > F.col("rest"), F.struct("b", (F.col("upto") - F.col("n")).alias("before")))).alias("cut"))
-    cut = scratch.save(cut.select("s", "passes", "rest", F.col("cut.b").alias("b"), F.col("cut.before").alias("before")))
+    cut = scratch.save(cut.select("s", "passes", "rest", F.col("cut.b").alias("b"), F.col("cut.before").alias("before")), few=True)
     inside = rows.withColumn("b", F.substring("k", 1, 3)).join(cut.where("b is not null"), ["s", "b"])
     inside = inside.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("s").orderBy("k").rangeBetween(Window.unboundedPreceding, 0)))
     last = inside.where("upto <= rest").groupBy("s").agg(F.max("k").alias("last"))
     # The end of the extra pass: the last document taken; without one in the cut block, all blocks before; without a cut, everything.
-    ends = scratch.save(cut.join(last, "s", "left").select("s", "passes", F.coalesce("last", "b", F.lit("g")).alias("end")))
+    ends = scratch.save(cut.join(last, "s", "left").select("s", "passes", F.coalesce("last", "b", F.lit("g")).alias("end")), few=True)
     added = ["n_tokens", "copy", "shuffle_key"]
     wide = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], source.alias("__s"), order_key(mixture, f"`{id_column}`").alias("__k"), tokens.alias("n_tokens"))
     wide = wide.join(ends.select(F.col("s").alias("__s"), F.col("passes").alias("__passes"), F.col("end").alias("__end")), "__s")

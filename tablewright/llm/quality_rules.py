@@ -139,7 +139,7 @@ def quality_rules(
     An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "quality-rules")
+    scratch = Scratch(spark, "quality-rules", docs)
     groups = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) if c in docs.columns else F.lit("") for c in group_columns]
     chosen = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.concat_ws("\x01", *groups).alias("own"), F.col(f"`{text_column}`").alias("text"))
     rows = counts(chosen, "text")
@@ -147,19 +147,19 @@ def quality_rules(
     rows = rows.withColumn("base_failed", (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.most_repeated * F.col("n_words")))
     rows = scratch.save(rows.selectExpr("*", *statistics_sql()))
     # Every row counts for all documents, and rows of groups that are large enough for their own group as well.
-    sizes = rows.groupBy("own").agg(F.count("*").alias("size"))
+    sizes = scratch.save(rows.groupBy("own").agg(F.count("*").alias("size")), few=True)
     rows = scratch.save(rows.join(sizes, "own").withColumn("g", F.when(F.col("size") >= rules.least_group, F.col("own")).otherwise(F.lit("\x02"))).drop("size", "own"))
     views = [f"tw_{scratch.folder[-12:]}_{i}" for i in range(4)]
     learn = rows.select("g", "x0", "x1", "x2", "x3", "base_failed").where("not base_failed")
     pooled = learn.withColumn("g", F.lit("\x02"))
     learn.where("g <> '\x02'").union(pooled).createOrReplaceTempView(views[0])
     spark.sql(classes_sql(views[0])).createOrReplaceTempView(views[1])
-    estimate = scratch.save(spark.sql(start_sql(views[1])))
+    estimate = scratch.save(spark.sql(start_sql(views[1])), few=True)
     for _ in range(rules.steps):
         estimate.createOrReplaceTempView(views[2])
-        near = scratch.save(spark.sql(nearest_sql(distance_sql(views[0], views[2]))))
+        near = scratch.save(spark.sql(nearest_sql(distance_sql(views[0], views[2]))), few=True)
         near.createOrReplaceTempView(views[3])
-        estimate = scratch.save(spark.sql(estimate_sql(distance_sql(views[0], views[2]), views[3])))
+        estimate = scratch.save(spark.sql(estimate_sql(distance_sql(views[0], views[2]), views[3])), few=True)
     rows.createOrReplaceTempView(views[0])
     estimate.createOrReplaceTempView(views[2])
     # A group without any row to learn from takes no estimate; its rows have all failed already.

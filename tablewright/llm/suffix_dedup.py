@@ -124,32 +124,35 @@ def packed_anchors(source: DataFrame, settings: Repeats, buckets: int) -> DataFr
         out["doc"] = np.diff(out["doc"], prepend=0)  # small steps compress well
         return {"bucket": bucket} | {c: v.astype(_KINDS[c]).tobytes() for c, v in out.items()}
 
+    def rows_of(ids: np.ndarray, texts: list[bytes]) -> list[dict]:
+        found = list(sliced_anchors(texts, settings))
+        a = {c: np.concatenate([getattr(x, c) for x in found]) for c in ("text", "start", "more", "ahead", "seed", "context")}
+        if not len(a["text"]):
+            return []
+        a["doc"] = ids[a.pop("text")]
+        order = np.lexsort((a["start"], a["doc"], a["context"]))
+        a = {c: v[order] for c, v in a.items()}
+        again = np.concatenate(([False], a["context"][1:] == a["context"][:-1]))
+        same = np.concatenate(([False], (a["doc"][1:] == a["doc"][:-1]) & (a["start"][1:] == a["start"][:-1]))) & again
+        rows = []
+        settled = np.flatnonzero(again & ~same)
+        settled = settled[np.argsort(a["doc"][settled], kind="stable")]
+        for chosen in np.array_split(settled, max(1, len(settled) // 20_000)):
+            if len(chosen):
+                rows.append(pack(int(a["seed"][chosen[0]] % buckets), {c: a[c] for c in ("doc", "start", "more")}, chosen) | {"ahead": b"", "seed": b"", "context": b""})
+        left = np.flatnonzero(~again)
+        bucket = (a["seed"] % np.uint64(buckets)).astype(np.int64)
+        left = left[np.lexsort((a["start"][left], a["doc"][left], bucket[left]))]
+        a["seed"] = a["seed"] >> np.uint64(32)
+        return rows + [pack(int(bucket[chosen[0]]), a, chosen) for chosen in np.split(left, np.flatnonzero(np.diff(bucket[left])) + 1)]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids = batch["doc_id"].to_numpy()
-            found = list(sliced_anchors([encoded(t) for t in batch["text"]], settings))
-            a = {c: np.concatenate([getattr(x, c) for x in found]) if found else np.empty(0) for c in ("text", "start", "more", "ahead", "seed", "context")}
-            if not len(a["text"]):
-                continue
-            a["doc"] = ids[a.pop("text")]
-            order = np.lexsort((a["start"], a["doc"], a["context"]))
-            a = {c: v[order] for c, v in a.items()}
-            again = np.concatenate(([False], a["context"][1:] == a["context"][:-1]))
-            same = np.concatenate(([False], (a["doc"][1:] == a["doc"][:-1]) & (a["start"][1:] == a["start"][:-1]))) & again
-            rows = []
-            settled = np.flatnonzero(again & ~same)
-            settled = settled[np.argsort(a["doc"][settled], kind="stable")]
-            for i, chosen in enumerate(np.array_split(settled, max(1, len(settled) // 20_000))):
-                if len(chosen):
-                    rows.append(pack(int(a["seed"][chosen[0]] % buckets), {c: a[c] for c in ("doc", "start", "more")}, chosen) | {"ahead": b"", "seed": b"", "context": b""})
-            left = np.flatnonzero(~again)
-            bucket = (a["seed"] % np.uint64(buckets)).astype(np.int64)
-            left = left[np.lexsort((a["start"][left], a["doc"][left], bucket[left]))]
-            a["seed"] = a["seed"] >> np.uint64(32)
-            for chosen in np.split(left, np.flatnonzero(np.diff(bucket[left])) + 1):
-                rows.append(pack(int(bucket[chosen[0]]), a, chosen))
-            for at in range(0, len(rows), 64):
-                yield pd.DataFrame(rows[at : at + 64])
+            ids, texts = batch["doc_id"].to_numpy(), [encoded(t) for t in batch["text"]]
+            for part in in_batches(texts, 8 << 20):  # contexts that repeat within so much text are settled before the shuffle
+                rows = rows_of(ids[part], texts[part])
+                if rows:
+                    yield pd.DataFrame(rows)
 
     return source.mapInPandas(run, _PACKED)
 

@@ -26,7 +26,8 @@ _ALIKE = dict(zip("аеорсухіјѕԁһӏԛԝɡɑοαρνικυτеɩ", "aeo
 _DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l"}
 
 _STANDS_IN = re.compile(r"[0134578@$!|](?=[^\W\d_])")
-_INSIDE = re.compile(r"(?<=[^\W\d_])[0134578@$!|](?=[0134578@$!|]*[^\W\d_])|(?<![\w@$!|])[0134578@$](?=[^\W\d_]{2})")
+_SIGNS = "[0134578@$!|]"
+_INSIDE = re.compile(rf"(?<=[^\W\d_]){_SIGNS}+(?=[^\W\d_])|(?<![\w@$!|])[0134578@$](?=[^\W\d_]{_SIGNS}*[^\W\d_])")
 _GAPS = re.compile(r"[\W_]+")
 
 
@@ -50,7 +51,7 @@ def folded(text: str) -> str:
     if not text.isascii():
         text = text.translate(_FOLD)
     if _STANDS_IN.search(text):
-        text = _INSIDE.sub(lambda m: _DIGITS[m.group()], text)
+        text = _INSIDE.sub(lambda m: "".join(_DIGITS[c] for c in m.group()), text)
     return _GAPS.sub(" ", f" {text} ")
 
 
