@@ -88,6 +88,7 @@ def count_tokens(
     parts = shuffle_parts(docs, 4 << 20)
     # The copy with the smallest id of each missing text is encoded; the small side is the one that is built into a table.
     texts = source.repartition(parts, "doc_id", "digest").join(misses.repartition(parts, "doc_id", "digest").hint("shuffle_hash"), ["doc_id", "digest"], "left_semi")
+    texts = texts.dropDuplicates(["doc_id", "digest"])  # repeated rows; they lie in one partition already
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = tokenizer.counter()

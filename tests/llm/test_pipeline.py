@@ -18,7 +18,7 @@ def corpus(spark, documents, tmp_path_factory):
         r = random.Random(seed)
         return " ".join("".join(r.choice("abcdefghijklmno") for _ in range(r.randrange(2, 8))) for _ in range(n))
 
-    good = [(i, prose(i, 120), "en", f"s{i % 3 if i % 10 else 0}") for i in range(200)]
+    good = [(i, prose(i, 60 + 7 * (i % 30)), "en", f"s{i % 3 if i % 10 else 0}") for i in range(200)]
     junk = [(1000 + i, " | ".join(prose(500 + i, 90).split()), "en", "s1") for i in range(60)]
     near = [(2000 + i, good[i][1] + " one more", "en", "s2") for i in range(10)]
     passage = prose(900, 60)
@@ -51,7 +51,8 @@ def test_stages_catch_what_is_planted(spark, corpus):
     passages = seen["repeated-passages"]
     assert passage in passages[3000]["text"] and all(passage not in passages[3000 + i]["text"] for i in range(1, 5))
     assert passages[3001]["n_chars"] == len(passages[3001]["text"]) and all(passages[i]["text"] == seen["quality"][i]["text"] for i in clean)
-    assert clean <= set(seen["benchmark-leaks"]) and not {4000, 4001} & set(seen["benchmark-leaks"])
+    # The second document with the item lost it as a repeated passage; the first one goes.
+    assert clean | {4001} <= set(seen["benchmark-leaks"]) and 4000 not in seen["benchmark-leaks"]
     assert set(seen["mixture"]) <= set(seen["benchmark-leaks"])
 
 
