@@ -118,8 +118,8 @@ def fill_from_neighbour(df: DataFrame, names: Sequence[str], forward: bool, bits
     """Carry the nearest value that is not blank down (``forward``) or up the table.
 
     The ordered table is cut into blocks of consecutive rows. A window fills inside every block in
-    parallel; the last (first) value of each block is carried over the blocks of a file in parallel too,
-    and only one row per file is carried in order. Blanks that reach a block's edge take the carried value
+    parallel; the last (first) filled block before each block is found over the blocks of a file in parallel too,
+    and only one address per file is carried in order. Blanks that reach a block's edge take the carried value
     by a join on the block, for which the window has already placed the rows.
     """
     base = addressed(df)
@@ -134,25 +134,35 @@ def fill_from_neighbour(df: DataFrame, names: Sequence[str], forward: bool, bits
     edges = base.groupBy(file.alias(FILE), seg.alias("__tw_seg"), block(bits).alias("__tw_block")).agg(
         *[nearest(cells[n], F.when(cells[n].isNotNull(), col(POS))).alias(slots[n]) for n in names]
     )
+    # Only the addresses of blocks are carried in order; their cells are fetched afterwards.
     seg_key = [FILE, "__tw_seg"]
+    last_block = F.max if forward else F.min
     seg_edges = edges.groupBy(*seg_key).agg(
-        *[nearest(F.col(s), F.when(F.col(s).isNotNull(), F.col("__tw_block"))).alias(s) for s in slots.values()]
+        *[last_block(F.when(F.col(s).isNotNull(), F.col("__tw_block"))).alias(s) for s in slots.values()]
     )
+
+    def address(found: Column, number: Column) -> Column:
+        return F.when(found.isNotNull(), F.struct(F.col(FILE).alias("file"), number.alias("block")))
+
     over_segs = Window.orderBy(*seg_key).rowsBetween(*before)
     seg_carry = seg_edges.select(
-        *seg_key, *[towards(s, ignorenulls=True).over(over_segs).alias(f"{s}_seg") for s in slots.values()]
+        *seg_key,
+        *[towards(address(F.col(s), F.col(s)), ignorenulls=True).over(over_segs).alias(f"{s}_seg") for s in slots.values()],
     )
     over_blocks = Window.partitionBy(*seg_key).orderBy("__tw_block").rowsBetween(*before)
     carry = (
         edges.select(
             *seg_key, "__tw_block",
-            *[towards(s, ignorenulls=True).over(over_blocks).alias(f"{s}_block") for s in slots.values()],
+            *[towards(address(F.col(s), F.col("__tw_block")), ignorenulls=True).over(over_blocks).alias(f"{s}_block") for s in slots.values()],
         )
         .join(seg_carry, seg_key)
-        .select(
-            FILE, "__tw_block", *[F.coalesce(f"{s}_block", f"{s}_seg").alias(f"{s}_carry") for s in slots.values()]
-        )
+        .select(FILE, "__tw_block", *[F.coalesce(f"{s}_block", f"{s}_seg").alias(f"{s}_at") for s in slots.values()])
     )
+    for s in slots.values():
+        cell = edges.where(F.col(s).isNotNull()).select(
+            F.struct(F.col(FILE).alias("file"), F.col("__tw_block").alias("block")).alias(f"{s}_at"), F.col(s).alias(f"{s}_carry")
+        )
+        carry = carry.join(cell, f"{s}_at", "left").drop(f"{s}_at")
     in_block = Window.partitionBy(FILE, "__tw_block").orderBy(POS).rowsBetween(*upto)
     placed = base.withColumn("__tw_block", block(bits))
     filled = placed.select("*", *[towards(cells[n], ignorenulls=True).over(in_block).alias(slots[n]) for n in names])
