@@ -87,11 +87,11 @@ def merge_side_by_side(spark, sf):
     return merge({"parts": parts, "suppliers": suppliers})
 
 
-@query("""select 'nation list' as sheet, count(*) as n from nation union all select 'region', count(*) from region""")
+@query("""select 'nation list' as sheet, n_nationkey as k, n_name as name from nation union all select 'region', r_regionkey, r_name from region""")
 def combined_sheets(spark, sf):
     sheets = combine_sheets({"nation/list": source(spark, sf, "nation"), "region": source(spark, sf, "region")})
-    counts = [df.agg(F.lit(label).alias("sheet"), F.count(F.lit(1)).alias("n")) for label, df in sheets.items()]
-    return counts[0].unionByName(counts[1])
+    rows = [df.select(F.lit(label).alias("sheet"), F.col(df.columns[0]).alias("k"), F.col(df.columns[1]).alias("name")) for label, df in sheets.items()]
+    return rows[0].unionByName(rows[1])
 
 
 _EDITS = [
