@@ -42,12 +42,18 @@ def is_plain(formula: str) -> bool:
 
 @dataclass(frozen=True)
 class Term:
-    """A translated part of a formula. ``kind`` is number, text, bool, date or null."""
+    """A translated part of a formula. ``kind`` is number, text, bool, date or null.
+
+    ``whole`` is the same number as an exact bigint where all that it is made of is whole; ``counted`` tells that a column
+    is part of it, as numbers alone stay doubles.
+    """
 
     column: Column
     kind: str
     constant: object = None
     maybe_nan: bool = False
+    whole: Column | None = None
+    counted: bool = False
 
 
 @dataclass
@@ -57,9 +63,14 @@ class Formula:
     term: Term | None = None
     exponents: list[Column] = field(default_factory=list)
 
+    @property
+    def is_whole(self) -> bool:
+        return self.term.whole is not None and self.term.counted
+
     @property
     def column(self) -> Column:
-        return self.term.column
+        """The value; whole numbers stay whole, and one that outgrows 64 bits is NULL."""
+        return self.term.whole if self.is_whole else self.term.column
 
 
 def _double(value: float) -> Column:
@@ -96,6 +107,7 @@ _ARITHMETIC: dict[type, Callable[[Column, Column], Column]] = {
     ast.Mod: _floor_modulo,
     ast.Pow: F.pow,
 }
+_WHOLE = {ast.Add: F.try_add, ast.Sub: F.try_subtract, ast.Mult: F.try_multiply}
 _COMPARISON: dict[type, Callable] = {
     ast.Gt: operator.gt,
     ast.Lt: operator.lt,
@@ -106,6 +118,11 @@ _COMPARISON: dict[type, Callable] = {
 }
 
 
+def _wholes(terms: list[Term]) -> list[Column] | None:
+    found = [t.whole for t in terms if t.whole is not None]
+    return found if len(found) == len(terms) else None
+
+
 class _Translator(ast.NodeVisitor):
     def __init__(self, names: Mapping[str, Term]):
         self.names = names
@@ -128,7 +145,8 @@ class _Translator(ast.NodeVisitor):
 
     @staticmethod
     def _number(value: float, shown=None) -> Term:
-        return Term(_double(value), "number", value if shown is None else shown)
+        whole = F.lit(shown).cast("bigint") if isinstance(shown, int) and abs(shown) < 2**63 else None
+        return Term(_double(value), "number", value if shown is None else shown, whole=whole)
 
     def visit_Name(self, node) -> Term:
         if node.id not in self.names:
@@ -150,7 +168,8 @@ class _Translator(ast.NodeVisitor):
             return inner
         if isinstance(node.op, ast.USub):
             constant = -inner.constant if inner.constant is not None else None
-            return replace(inner, column=-inner.column, constant=constant)
+            whole = F.try_subtract(F.lit(0).cast("bigint"), inner.whole) if inner.whole is not None else None
+            return replace(inner, column=-inner.column, constant=constant, whole=whole)
         return self.generic_visit(node)
 
     def visit_BinOp(self, node) -> Term:
@@ -169,7 +188,9 @@ class _Translator(ast.NodeVisitor):
             except ArithmeticError:
                 constant = None
         risky = isinstance(node.op, (ast.Div, ast.Mod, ast.Pow)) or left.maybe_nan or right.maybe_nan
-        return Term(build(left.column, right.column), "number", constant, risky)
+        exact, wholes = _WHOLE.get(type(node.op)), _wholes([left, right])
+        whole = exact(*wholes) if exact and wholes else None
+        return Term(build(left.column, right.column), "number", constant, risky, whole, left.counted or right.counted)
 
     def _check_exponent(self, exponent: Term) -> None:
         if exponent.constant is None:
@@ -228,8 +249,12 @@ class _Translator(ast.NodeVisitor):
         columns = [n.column for n in numbers]
         risky = any(n.maybe_nan for n in numbers)
         first = columns[0]
+        wholes, counted = _wholes(numbers), any(n.counted for n in numbers)
+        if name in ("ABS", "SQRT", "INT") and len(args) > 1:
+            raise OperationError(f"{name} takes one argument.")
         if name == "ABS":
-            return Term(F.abs(first), "number", maybe_nan=risky)
+            whole = F.when(wholes[0] < 0, F.try_subtract(F.lit(0).cast("bigint"), wholes[0])).otherwise(wholes[0]) if wholes else None
+            return Term(F.abs(first), "number", maybe_nan=risky, whole=whole, counted=counted)
         if name == "SQRT":
             return Term(F.sqrt(first), "number", maybe_nan=True)
         if name == "INT":
@@ -243,9 +268,13 @@ class _Translator(ast.NodeVisitor):
         if name in ("MIN", "MAX"):
             pick = F.least if name == "MIN" else F.greatest
             value = pick(*columns) if len(columns) > 1 else first
-            return Term(F.when(~_any_null(columns), value), "number")
+            exact = (pick(*wholes) if len(wholes) > 1 else wholes[0]) if wholes else None
+            whole = F.when(~_any_null(columns), exact) if wholes else None
+            return Term(F.when(~_any_null(columns), value), "number", whole=whole, counted=counted)
         total = reduce(operator.add, columns)
-        return Term(total if name == "SUM" else total / _double(len(columns)), "number", maybe_nan=risky)
+        if name == "SUM":
+            return Term(total, "number", maybe_nan=risky, whole=reduce(F.try_add, wholes) if wholes else None, counted=counted)
+        return Term(total / _double(len(columns)), "number", maybe_nan=risky)
 
     def _if(self, args: list[Term]) -> Term:
         if len(args) not in (2, 3):
@@ -262,8 +291,11 @@ class _Translator(ast.NodeVisitor):
         kind = kinds.pop() if len(kinds) == 1 else "text" if kinds else "null"
         if kind == "text":
             then, other = self._as_text(then), self._as_text(other)
-        column = F.when(F.coalesce(condition, F.lit(False)), then.column).otherwise(other.column)
-        return Term(column, kind, maybe_nan=then.maybe_nan or other.maybe_nan)
+        met = F.coalesce(condition, F.lit(False))
+        column = F.when(met, then.column).otherwise(other.column)
+        branches = [t for t in (then, other) if t.kind != "null"]
+        whole = F.when(met, then.whole).otherwise(other.whole) if kind == "number" and len(branches) == 2 and _wholes(branches) else None
+        return Term(column, kind, maybe_nan=then.maybe_nan or other.maybe_nan, whole=whole, counted=all(b.counted for b in branches))
 
     @staticmethod
     def _as_text(term: Term) -> Term:

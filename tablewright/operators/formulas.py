@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablewright.columns import col, dtype, exact_names, replace_columns, require_columns, visible_columns
 from tablewright.errors import OperationError
 from tablewright.functions.formula import MAX_EXPONENT, MAX_LENGTH, Formula, Term, is_plain, placeholders, translate
-from tablewright.functions.values import is_temporal, is_text, to_num
+from tablewright.functions.values import is_integral, is_temporal, is_text, to_num
 from tablewright.operators.profiling import number_like, require_scalar
 
 
@@ -31,7 +31,7 @@ def build_formula(df: DataFrame, formula: str, types: Mapping[str, str] | None =
     def resolve(name: str) -> Term:
         c, t = col(name), dtype(df, name)
         if numeric[name]:
-            return Term(to_num(c, t).cast("double"), "number")
+            return Term(to_num(c, t).cast("double"), "number", whole=c.cast("bigint") if is_integral(t) else None, counted=True)
         if is_temporal(t):
             return Term(c.cast("timestamp_ntz"), "date")
         return Term(c if is_text(t) else c.cast("string"), "text")
@@ -68,11 +68,11 @@ def add_formula_column(
     """Add column ``name`` computed per row, e.g. ``{Qty} * {Price}`` or ``IF({Qty} > 2, "many", "few")``.
 
     Supports ``+ - * / % **``, comparisons, ``and``/``or``, and IF ABS SQRT INT ROUND SUM AVERAGE MIN MAX
-    over the cells of a row. x/0 gives an infinity; ``div_zero="null"`` gives NULL for it and for NaN.
+    over the cells of a row. Sums, differences and products of whole columns stay whole. x/0 gives an infinity; ``div_zero="null"`` gives NULL for it and for NaN.
     """
     target = check_target(df, name, formula, overwrite)
     built = build_formula(df, formula, types)
     value = built.column
-    if div_zero == "null" and built.term.kind == "number":
+    if div_zero == "null" and built.term.kind == "number" and not built.is_whole:
         value = F.when(F.abs(value) < float("inf"), value)
     return replace_columns(df, {target: value.cast("string") if built.term.kind == "null" else value})

@@ -47,3 +47,12 @@ for _name, (_table, _columns, _formula, _sql) in _FORMULAS.items():
         ),
         f"select {_columns}, {_sql} as result from {_table}",
     )
+
+register(
+    "formula_whole_numbers",
+    lambda spark, sf: add_formula_column(
+        source(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_orderkey + 9007199254740992 as big"),
+        "result", "SUM({big}, {l_linenumber}, 1) - 2 * {l_linenumber}",
+    ),
+    "select *, big + l_linenumber + 1 - 2 * l_linenumber as result from (select l_orderkey, l_linenumber, l_orderkey + 9007199254740992 as big from lineitem)",
+)
