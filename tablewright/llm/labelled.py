@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.llm.common import Scratch
+
 #: Rows of a whole sample, at about this many the fraction of the rest is set by their number.
 MOST_ROWS = 20_000
 
@@ -26,9 +28,9 @@ def labelled_sample(labels: DataFrame, label: str, train: Column, most_rows: int
 
 
 def labelled_texts(docs: DataFrame, sample: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(doc_id, text, label) of the sample; the sample is small by construction, so it is sent to all tasks."""
+    """(doc_id, text, label) of the sample, written down; its ids are few by construction, so they are sent to all tasks."""
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    return source.join(F.broadcast(sample), "doc_id")
+    return Scratch(docs.sparkSession, "labelled").save(source.join(F.broadcast(sample), "doc_id"))
 
 
 @dataclass

@@ -84,11 +84,16 @@ def fit_quality(
                 rows += [(doc, i, kind, data[at : at + settings.piece_bytes]) for i, at in enumerate(range(0, len(data), settings.piece_bytes))]
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "label", "data"])
 
-    pieces = sample.mapInPandas(cut, "doc_id long, piece int, label int, data binary")
-    found = {
-        kind: [bytes(r["data"]) for r in pieces.where(F.col("label") == kind).orderBy(F.xxhash64("doc_id", "piece"), "doc_id", "piece").limit(settings.most_pieces).collect()]
-        for kind in (0, 1)
-    }
+    pieces = sample.mapInPandas(cut, "doc_id long, piece int, label int, data binary").withColumn("place", F.xxhash64("doc_id", "piece"))
+    numbers = {r["label"]: r["count"] for r in pieces.groupBy("label").count().collect()}
+
+    def chosen(kind: int) -> list[bytes]:
+        # A little more than the pieces wanted, by their hashes, so that no task sends many that are not needed.
+        share = int(1.2 * settings.most_pieces / max(1, numbers.get(kind, 0)) * 1_000_000) + 1000
+        near = pieces.where((F.col("label") == kind) & (F.pmod("place", F.lit(1_000_000)) < share))
+        return [bytes(r["data"]) for r in near.orderBy(F.pmod("place", F.lit(1_000_000)), "doc_id", "piece").limit(settings.most_pieces).collect()]
+
+    found = {kind: chosen(kind) for kind in (0, 1)}
     good, bad = _dictionary(found[1], settings), _dictionary(found[0], settings)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -64,7 +64,7 @@ class ToxicitySettings:
     longest: int = 10
     most_entries: int = 5000
     evidence: float = 14.0  # least log-likelihood ratio of an entry against chance
-    odds: float = 3.0  # least weight
+    odds: float = 2.0  # least weight
 
 
 @dataclass
