@@ -172,3 +172,20 @@ def test_columns_are_pruned_and_filters_pushed(spark, tmp_path):
     assert "t:string" not in plan and "GreaterThan(n,4)" in plan
     bare = read_table(spark, path, order=False).select("id")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<id:bigint>" in bare
+
+
+def test_line_breaks_inside_quotes_are_read_by_default(spark, rows, tmp_path):
+    folder = tmp_path / "many.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text('k,t\n1,"one\ntwo"\n2,"say ""hi"""\n')
+    (folder / "b.csv").write_text("k,t\n3,plain\n")
+    found = rows(read_table(spark, str(folder)))
+    assert sorted(found) == [(1, "one\ntwo"), (2, 'say "hi"'), (3, "plain")]
+
+
+def test_rows_with_more_cells_than_the_header_are_refused(spark, csv):
+    with pytest.raises(OperationError, match="1 rows"):
+        read_table(spark, csv("a,b\n1,2\n3,4,5\n"))
+    with pytest.raises(Exception, match="more cells"):
+        read_table(spark, csv("a,b\n1,2\n3,4,5\n"), infer=False).collect()
+    assert read_table(spark, csv("a,b\n1,2\n3\n")).count() == 2
