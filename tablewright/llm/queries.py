@@ -14,7 +14,17 @@ from tablewright.llm.licenses import STATEMENTS, scan_licenses
 from tablewright.llm.minhash import NearDuplicates, near_duplicates
 from tablewright.llm.mixing import Mixture, mix_sources
 from tablewright.llm.quality import fit_quality, score_quality
-from tablewright.llm.quality_rules import quality_rules
+from tablewright.llm.quality_rules import (
+    SYMBOLS,
+    QualityRules,
+    classes_sql,
+    distance_sql,
+    estimate_sql,
+    nearest_sql,
+    quality_rules,
+    start_sql,
+    statistics_sql,
+)
 from tablewright.llm.suffix_dedup import without_repeats
 from tablewright.llm.token_counts import TokenizerFile, count_tokens
 from tablewright.llm.toxicity import fit_toxicity, score_toxicity
@@ -82,7 +92,35 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(score_quality(docs, model), 3, 1)
 
 
-@query("op8_quality_rules")
+def _rules_sql() -> str:
+    """The base counts in SQL of their own; the estimate by the steps that the operator runs, as one chain of CTEs."""
+    rules = QualityRules()
+    steps = []
+    for i in range(rules.steps):
+        steps.append(f"n{i} as ({nearest_sql(distance_sql('learn', f'e{i}'))})")
+        steps.append(f"e{i + 1} as ({estimate_sql(distance_sql('learn', f'e{i}'), f'n{i}')})")
+    return rf"""
+with d as (select doc_id, lang || chr(1) || source as own, coalesce(text, '') as t from documents),
+w as (select *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
+run as (select doc_id, w, unnest(range(1, len(w) - 3)) as i from w),
+twice as (select doc_id, i from run qualify count(*) over (partition by doc_id, w[i:i + 4]) > 1),
+covered as (select doc_id, count(distinct i + o) as n from twice, range(5) r(o) group by doc_id),
+base as (select w.doc_id, own, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+  (length(t) - length(translate(t, '{SYMBOLS}', '')))::bigint as n_symbols, len(lines)::bigint as n_lines,
+  (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(n, 0)::bigint as n_repeat_words from w left join covered using (doc_id)),
+measured as (select *, n_words < {rules.least_words} or 100 * n_repeat_words > {rules.most_repeated} * n_words as base_failed,
+  case when count(*) over (partition by own) >= {rules.least_group} then own else chr(2) end as g, {", ".join(statistics_sql())} from base),
+learn as (select g, x0, x1, x2, x3 from measured where not base_failed and g <> chr(2) union all select chr(2), x0, x1, x2, x3 from measured where not base_failed),
+classes as ({classes_sql("learn")}),
+e0 as ({start_sql("classes")}),
+{", ".join(steps)},
+done as ({distance_sql("measured", f"e{rules.steps}").replace(f" join e{rules.steps}", f" left join e{rules.steps}")})
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(d, 0) <= {rules.cut} as kept from done
+"""
+
+
+@query("op8_quality_rules", _rules_sql())
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("distance")
 
