@@ -43,6 +43,7 @@ class Context:
     types: Mapping[str, str]
 
 
+# The plan vocabulary, that is the names of actions and of the fields that steps read, is fixed: plans written elsewhere use it.
 Action = Callable[[DataFrame, Mapping, Context], Step]
 _ACTIONS: dict[str, Action] = {}
 
@@ -77,12 +78,25 @@ def _sort(df, op, context) -> Step:
     return Step(sort(df, columns, orders, context.types), say=lambda n: f"Sorted by {', '.join(named)}.")
 
 
+def _told(given) -> str:
+    """A condition in words, as in: Ward equals 7."""
+    c = filters.Condition.of(given)
+    parts = [c.column, c.operator.replace("_", " ")]
+    if c.operator == "between":
+        parts.append(f"{c.value} and {c.value2}")
+    elif c.operator not in filters.BLANK_TESTS:
+        parts.append(", ".join(map(str, c.values)) if c.values else str(c.value))
+    return " ".join(parts)
+
+
 @action("filter")
 def _filter(df, op, context) -> Step:
     kept = filters.filter_predicate(df, op.get("conditions"), op.get("combine"), context.types)
     facts = [_rows("rows_before", df), Fact("rows_after", df, F.count_if(kept))]
+    joiner = " or " if (op.get("combine") or "and").lower() == "or" else " and "
+    told = joiner.join(map(_told, op["conditions"]))
     return Step(
-        df.where(kept), facts, lambda n: f"Kept {plural(n['rows_after'], 'row')} of {plural(n['rows_before'], 'row')}."
+        df.where(kept), facts, lambda n: f"Kept {plural(n['rows_after'], 'row')} of {plural(n['rows_before'], 'row')} where {told}."
     )
 
 

@@ -35,7 +35,10 @@ class Header:
         return Header(self.names, tuple(i for i in self.kept if i not in phantom))
 
     def title_above(self, first_row: Sequence[str | None], rows_seen: int) -> bool:
-        """The line read as header is a title: mostly blank, over a fuller first row that names the columns."""
+        """The line read as header is a title: mostly blank, over a fuller first row that names the columns.
+
+        Fixed rule: at least two rows; at least as many blank names as others; a first row that fills more, and all but one column.
+        """
         blank, named = len(self.unnamed), len(self.kept) - len(self.unnamed)
         filled = sum(first_row[i] is not None for i in self.kept)
         return rows_seen >= 2 and blank >= max(1, named) and filled > named and filled >= len(self.kept) - 1
