@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -34,14 +35,18 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as spark.checkpoint.dir names it.
 
-    Where that is unset, a session whose executors are threads of the driver (as in tests) gets a new folder, and the
-    setting with it; on a cluster a folder of one machine would be no use.
+    Where that is unset, a session whose executors are threads of the driver (as in tests) gets a new folder, the same for the whole
+    process; on a cluster a folder of one machine would be no use.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise OperationError("Set spark.checkpoint.dir to a folder that all executors share; this step stores rows there.")
-        folder = tempfile.mkdtemp(prefix="tablewright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _own_folder()
     return folder.rstrip("/")
+
+
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="tablewright-")
