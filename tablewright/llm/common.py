@@ -98,6 +98,16 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     return labels
 
 
+def row_id(id_column: str) -> Column:
+    """A row's id; a missing one comes after every other."""
+    return F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID))
+
+
+def text_key(text_column: str) -> Column:
+    """A hash of a row's text. It tells rows apart that share an id or have none; with `row_id` it is a row's key."""
+    return F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit("")))
+
+
 def crc32_of_id(id_column: str) -> Column:
     """crc32 of an id's decimal text; a missing id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.llm.common import _BYTE, LAST_ID, Scratch, encoded, estimated_bytes, in_batches, mix, shuffle_parts
+from tablewright.llm.common import _BYTE, LAST_ID, Scratch, encoded, estimated_bytes, in_batches, mix, row_id, shuffle_parts, text_key
 
 _BASE = 0x9E3779B97F4A7C15
 _POSITION = np.uint64((1 << 24) - 1)
@@ -111,46 +111,53 @@ def sliced_anchors(texts: list[bytes], settings: Repeats) -> Iterator[Anchors]:
 
 _PACKED = T.StructType(
     [T.StructField("bucket", T.LongType())]
-    + [T.StructField(c, T.BinaryType()) for c in ("doc", "start", "more", "ahead", "seed", "context")]
+    + [T.StructField(c, T.BinaryType()) for c in ("doc", "twin", "start", "more", "ahead", "seed", "context")]
 )
-_KINDS = {"doc": np.int64, "start": np.uint32, "more": np.uint8, "ahead": np.uint8, "seed": np.uint32, "context": np.uint64}
+_KINDS = {"doc": np.int64, "twin": np.int64, "start": np.uint32, "more": np.uint8, "ahead": np.uint8, "seed": np.uint32, "context": np.uint64}
+
+
+def _same_place(a: dict[str, np.ndarray]) -> np.ndarray:
+    """Which anchors lie at the place of the one before, in an equal row."""
+    return np.concatenate(([False], np.logical_and.reduce([a[c][1:] == a[c][:-1] for c in ("doc", "twin", "start")])))[: len(a["doc"])]
 
 
 def packed_anchors(source: DataFrame, settings: Repeats, buckets: int) -> DataFrame:
-    """Anchors packed by bucket of their seeds; anchors that repeat a context of their own batch have no seed and lie in any bucket."""
+    """Anchors of rows (doc_id, twin, text), packed by bucket of their seeds; anchors that repeat a context of their own batch have no seed and lie in any bucket."""
 
     def pack(bucket: int, columns: dict[str, np.ndarray], chosen: np.ndarray) -> dict:
         out = {c: columns[c][chosen] for c in columns}
-        out["doc"] = np.diff(out["doc"], prepend=0)  # small steps compress well
+        for c in ("doc", "twin"):
+            out[c] = np.diff(out[c], prepend=0)  # small steps compress well
         return {"bucket": bucket} | {c: v.astype(_KINDS[c]).tobytes() for c, v in out.items()}
 
-    def rows_of(ids: np.ndarray, texts: list[bytes]) -> list[dict]:
+    def rows_of(ids: np.ndarray, twins: np.ndarray, texts: list[bytes]) -> list[dict]:
         found = list(sliced_anchors(texts, settings))
         a = {c: np.concatenate([getattr(x, c) for x in found]) for c in ("text", "start", "more", "ahead", "seed", "context")}
         if not len(a["text"]):
             return []
-        a["doc"] = ids[a.pop("text")]
-        order = np.lexsort((a["start"], a["doc"], a["context"]))
+        text = a.pop("text")
+        a["doc"], a["twin"] = ids[text], twins[text]
+        order = np.lexsort((a["start"], a["twin"], a["doc"], a["context"]))
         a = {c: v[order] for c, v in a.items()}
         again = np.concatenate(([False], a["context"][1:] == a["context"][:-1]))
-        same = np.concatenate(([False], (a["doc"][1:] == a["doc"][:-1]) & (a["start"][1:] == a["start"][:-1]))) & again
+        same = _same_place(a) & again
         rows = []
         settled = np.flatnonzero(again & ~same)
-        settled = settled[np.argsort(a["doc"][settled], kind="stable")]
+        settled = settled[np.lexsort((a["twin"][settled], a["doc"][settled]))]
         for chosen in np.array_split(settled, max(1, len(settled) // 20_000)):
             if len(chosen):
-                rows.append(pack(int(a["seed"][chosen[0]] % buckets), {c: a[c] for c in ("doc", "start", "more")}, chosen) | {"ahead": b"", "seed": b"", "context": b""})
+                rows.append(pack(int(a["seed"][chosen[0]] % buckets), {c: a[c] for c in ("doc", "twin", "start", "more")}, chosen) | {"ahead": b"", "seed": b"", "context": b""})
         left = np.flatnonzero(~again)
         bucket = (a["seed"] % np.uint64(buckets)).astype(np.int64)
-        left = left[np.lexsort((a["start"][left], a["doc"][left], bucket[left]))]
+        left = left[np.lexsort((a["start"][left], a["twin"][left], a["doc"][left], bucket[left]))]
         a["seed"] = a["seed"] >> np.uint64(32)
         return rows + [pack(int(bucket[chosen[0]]), a, chosen) for chosen in np.split(left, np.flatnonzero(np.diff(bucket[left])) + 1)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, texts = batch["doc_id"].to_numpy(), [encoded(t) for t in batch["text"]]
+            ids, twins, texts = batch["doc_id"].to_numpy(), batch["twin"].to_numpy(), [encoded(t) for t in batch["text"]]
             for part in in_batches(texts, 8 << 20):  # contexts that repeat within so much text are settled before the shuffle
-                rows = rows_of(ids[part], texts[part])
+                rows = rows_of(ids[part], twins[part], texts[part])
                 if rows:
                     yield pd.DataFrame(rows)
 
@@ -158,64 +165,65 @@ def packed_anchors(source: DataFrame, settings: Repeats, buckets: int) -> DataFr
 
 
 def settle(packed: DataFrame) -> DataFrame:
-    """(doc_id, start, more, ahead): settled repeats (ahead is NULL) and anchors whose passages must be compared."""
+    """(doc_id, twin, start, more, ahead): settled repeats (ahead is NULL) and anchors whose passages must be compared."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         loose = group["seed"].str.len() == 0
 
         def column(rows: pd.DataFrame, c: str) -> np.ndarray:
             parts = [np.frombuffer(v, _KINDS[c]) for v in rows[c]]
-            parts = [np.cumsum(p) for p in parts] if c == "doc" else parts
+            parts = [np.cumsum(p) for p in parts] if c in ("doc", "twin") else parts
             return np.concatenate(parts) if parts else np.empty(0, _KINDS[c])
 
-        done = {c: column(group[loose], c) for c in ("doc", "start", "more")}
+        done = {c: column(group[loose], c) for c in ("doc", "twin", "start", "more")}
         a = {c: column(group[~loose], c) for c in _KINDS}
-        order = np.lexsort((a["start"], a["doc"], a["context"], a["seed"]))
+        order = np.lexsort((a["start"], a["twin"], a["doc"], a["context"], a["seed"]))
         a = {c: v[order] for c, v in a.items()}
         n = len(order)
         seed_starts = np.concatenate(([True], a["seed"][1:] != a["seed"][:-1]))[:n]
         class_starts = seed_starts | np.concatenate(([True], a["context"][1:] != a["context"][:-1]))[:n]
         again = ~class_starts
-        same = again & np.concatenate(([False], (a["doc"][1:] == a["doc"][:-1]) & (a["start"][1:] == a["start"][:-1])))[:n]
+        same = again & _same_place(a)
         groups = np.cumsum(seed_starts) - 1
         several = np.bincount(groups, class_starts)[groups] > 1 if n else np.empty(0, bool)
         settled, compare = again & ~same, class_starts & several
         return pd.DataFrame(
             {
                 "doc_id": np.concatenate((done["doc"], a["doc"][settled], a["doc"][compare])),
+                "twin": np.concatenate((done["twin"], a["twin"][settled], a["twin"][compare])),
                 "start": np.concatenate((done["start"], a["start"][settled], a["start"][compare])).astype(np.int64),
                 "more": np.concatenate((done["more"], a["more"][settled], a["more"][compare])).astype(np.int32),
                 "ahead": pd.array([None] * (len(done["doc"]) + int(settled.sum())) + a["ahead"][compare].tolist(), "Int32"),
             }
         )
 
-    return packed.groupBy("bucket").applyInPandas(run, "doc_id long, start long, more int, ahead int")
+    return packed.groupBy("bucket").applyInPandas(run, "doc_id long, twin long, start long, more int, ahead int")
 
 
 def contexts(source: DataFrame, compare: DataFrame, settings: Repeats, parts: int) -> DataFrame:
-    """(lead, doc_id, start, context) of the anchors that must be compared; lead: the first bytes of the anchor's suffix."""
+    """(lead, doc_id, twin, start, context) of the anchors that must be compared; lead: the first bytes of the anchor's suffix."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, text, found in zip(batch["doc_id"], batch["text"], batch["found"], strict=True):
+            for doc, twin, text, found in zip(batch["doc_id"], batch["twin"], batch["text"], batch["found"], strict=True):
                 data = encoded(text)
                 for x in found:
                     lo, at = x["start"], x["start"] + x["ahead"]
-                    rows.append((data[at : at + settings.seed], doc, lo, data[lo : lo + x["more"] + settings.length]))
+                    rows.append((data[at : at + settings.seed], doc, twin, lo, data[lo : lo + x["more"] + settings.length]))
             for at in range(0, len(rows), 20_000):
-                yield pd.DataFrame(rows[at : at + 20_000], columns=["lead", "doc_id", "start", "context"])
+                yield pd.DataFrame(rows[at : at + 20_000], columns=["lead", "doc_id", "twin", "start", "context"])
 
-    found = compare.groupBy("doc_id").agg(F.collect_list(F.struct("start", "more", "ahead")).alias("found"))
-    joined = source.repartition(parts, "doc_id").join(found.repartition(parts, "doc_id").hint("shuffle_hash"), "doc_id")
-    return joined.mapInPandas(run, "lead binary, doc_id long, start long, context binary")
+    found = compare.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("start", "more", "ahead")).alias("found"))
+    joined = source.repartition(parts, "doc_id", "twin").join(found.repartition(parts, "doc_id", "twin").hint("shuffle_hash"), ["doc_id", "twin"])
+    return joined.mapInPandas(run, "lead binary, doc_id long, twin long, start long, context binary")
 
 
 def compared(found: DataFrame, settings: Repeats, parts: int) -> DataFrame:
-    """(doc_id, start, stop): bytes of passages that also occur in an earlier context, with any equal leading bytes."""
+    """(doc_id, twin, start, stop): bytes of passages that also occur in an earlier context, with any equal leading bytes."""
 
     def repeats(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["doc_id", "start"]).sort_values(["doc_id", "start"])
+        rows = rows.drop_duplicates(["doc_id", "twin", "start"]).sort_values(["doc_id", "twin", "start"])
         data = list(rows["context"])
         sizes = np.array([len(d) for d in data])
         ends = np.cumsum(sizes)
@@ -231,11 +239,11 @@ def compared(found: DataFrame, settings: Repeats, parts: int) -> DataFrame:
         hit = np.flatnonzero(again)
         cuts = np.flatnonzero((np.diff(hit) != 1) | (np.diff(row[hit]) != 0)) + 1
         if not len(hit):
-            return pd.DataFrame({"doc_id": [], "start": [], "stop": []}).astype(np.int64)
+            return pd.DataFrame({"doc_id": [], "twin": [], "start": [], "stop": []}).astype(np.int64)
         first, last = hit[np.concatenate(([0], cuts))], hit[np.concatenate((cuts - 1, [len(hit) - 1]))]
-        ids, starts = rows["doc_id"].to_numpy(), rows["start"].to_numpy()
+        ids, twins, starts = rows["doc_id"].to_numpy(), rows["twin"].to_numpy(), rows["start"].to_numpy()
         return pd.DataFrame(
-            {"doc_id": ids[row[first]], "start": starts[row[first]] + within[first], "stop": starts[row[last]] + within[last] + settings.length}
+            {"doc_id": ids[row[first]], "twin": twins[row[first]], "start": starts[row[first]] + within[first], "stop": starts[row[last]] + within[last] + settings.length}
         )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -254,8 +262,8 @@ def compared(found: DataFrame, settings: Repeats, parts: int) -> DataFrame:
         if held:
             yield repeats(pd.concat(held))
 
-    ordered = found.repartitionByRange(parts, "lead").sortWithinPartitions("lead", "doc_id", "start")
-    return ordered.mapInPandas(run, "doc_id long, start long, stop long")
+    ordered = found.repartitionByRange(parts, "lead").sortWithinPartitions("lead", "doc_id", "twin", "start")
+    return ordered.mapInPandas(run, "doc_id long, twin long, start long, stop long")
 
 
 def without_repeats(
@@ -265,19 +273,21 @@ def without_repeats(
     character go too), and the columns n_bytes, n_removed and n_spans added, which take the place of columns of that name.
 
     With digest=True only doc_id, the three counts and kept_sha256, the digest of the remaining bytes.
-    A NULL text stays NULL and counts as empty. A missing id counts as the largest. Rows that share an id count as one document:
-    they don't repeat each other, and equal rows get equal results.
+    A NULL text stays NULL and counts as empty. A missing id counts as the largest. Equal rows (id and text) count as one document: they
+    don't repeat each other and get equal results. Different texts under one id, or without any, are documents of their own, in the
+    order of a hash of their texts.
     """
     scratch = Scratch(docs.sparkSession, "repeats")
-    source = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    key = [row_id(id_column).alias("doc_id"), text_key(text_column).alias("twin"), F.col(text_column).cast("string").alias("text")]
+    source = docs.select(*key)
     parts = shuffle_parts(docs, 8 << 20)
     buckets = int(min(max(64, estimated_bytes(docs) // settings.bucket_bytes), 100_000_000))
     flags = scratch.save(settle(packed_anchors(source, settings, buckets)))
     open_flags = flags.where("ahead is not null")
     found = scratch.save(contexts(source, open_flags, settings, parts))
     more = compared(found, settings, shuffle_parts(found, 4 << 20))
-    cut = flags.where("ahead is null").select("doc_id", "start", (F.col("start") + F.col("more") + settings.length).alias("stop")).union(more)
-    cut = cut.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cut"))
+    cut = flags.where("ahead is null").select("doc_id", "twin", "start", (F.col("start") + F.col("more") + settings.length).alias("stop")).union(more)
+    cut = cut.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("start", "stop")).alias("cut"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -296,8 +306,8 @@ def without_repeats(
     added = ["n_bytes", "n_removed", "n_spans"]
     carried = [] if digest else [c for c in docs.columns if c not in (text_column, *added)]
     row = F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row") if carried else F.lit(None).cast("int").alias("row")
-    wide = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.col(text_column).cast("string").alias("text"), row)
-    wide = wide.repartition(parts, "doc_id").join(cut.repartition(parts, "doc_id").hint("shuffle_hash"), "doc_id", "left")
+    wide = docs.select(*key, row)
+    wide = wide.repartition(parts, "doc_id", "twin").join(cut.repartition(parts, "doc_id", "twin").hint("shuffle_hash"), ["doc_id", "twin"], "left")
     kinds = T.StructType([wide.schema["doc_id"], wide.schema["row"], *[T.StructField(c, T.LongType()) for c in added], T.StructField("result", T.StringType())])
     done = wide.select("doc_id", "row", "text", "cut").mapInPandas(run, kinds)
     if digest:

@@ -54,6 +54,28 @@ def test_texts_and_other_columns_are_kept(documents):
     assert [r["text"] for r in found.where("doc_id = 3").collect()] == [None]
 
 
+def test_texts_that_share_an_id_or_have_none_are_documents_of_their_own(documents):
+    r = random.Random(5)
+    passages = ["".join(r.choice("abcdefgh \n") for _ in range(60)) for _ in range(6)]
+
+    def text(parts):
+        return "".join("".join(r.choice("abcdefgh") for _ in range(100)) if p is None else passages[p] for p in parts)
+
+    for parts in (1, 5):
+        # The repeated passages stand at equal and at other places, and where one text repeats, another holds text of its own.
+        rows = [(1, text([None, 0, None])), (3, text([None, 1])), (3, text([None, 1, None])), (3, text([2, None]))]
+        rows += [(None, text(p)) for p in ([None, 3, None], [None, 3, None, 0], [None, 4], [None, None, None], [2, None, 4])]
+        found = without_repeats(documents([*rows, rows[4], rows[1]]).repartition(parts), Repeats(length=40, seed=16), digest=True).collect()
+        spark = documents(rows).sparkSession
+        keys = spark.createDataFrame(list(enumerate(t for _, t in rows)), "i int, t string").selectExpr("i", "xxhash64(t) as k").collect()
+        order = sorted(range(len(rows)), key=lambda i: (rows[i][0] or 99, keys[i]["k"]))
+        want = brute([(place, rows[i][1]) for place, i in enumerate(order)], 40)
+        want = [((rows[i][0] or 99), *want[place]) for place, i in enumerate(order)]
+        got = sorted((x["doc_id"] or 99, x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in found)
+        again = [want[order.index(i)] for i in (4, 1)]
+        assert got == sorted([*want, *again])
+
+
 def test_empty_table_and_very_long_text(documents, monkeypatch):
     assert without_repeats(documents([]), digest=True).count() == 0
     from tablewright.llm import suffix_dedup
