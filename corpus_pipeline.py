@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import Scratch, table
+from tablewright.llm.common import Scratch, row_id, table, text_key
 from tablewright.llm.decontamination import leaks
 from tablewright.llm.minhash import near_duplicates
 from tablewright.llm.mixing import mix_sources
@@ -17,6 +17,16 @@ from tablewright.llm.suffix_dedup import without_repeats
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with the key of each row: ids may be missing or repeated, so id and text tell rows apart."""
+    return docs.withColumns({"__id": row_id("doc_id"), "__text": text_key("text")})
+
+
+def _keys(found: DataFrame) -> DataFrame:
+    """The keys of an operator's rows."""
+    return found.select(row_id("doc_id").alias("__id"), F.col("text_key").alias("__text")).distinct()
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learned from the labels of the documents at hand, does not reject."""
     model = fit_quality(docs, table(spark, sf_dir, "labels"), F.lit(True))
@@ -24,12 +34,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; of rows that repeat an id, one."""
-    found = near_duplicates(docs)
-    kept = found.where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.join(kept.hint("shuffle_hash"), docs["doc_id"] == kept["__id"], "left_semi").dropDuplicates(["doc_id"])
-    # At most one group of near duplicates can be known by no id at all; its rows and those of others without an id can't be told apart.
-    return rows.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(docs.columns)
+    """The first document of each group of near duplicates, by id and for one id by a hash of the text; of rows that repeat id and text, one."""
+    kept = _keys(near_duplicates(docs, keyed=True).where("kept"))
+    rows = _keyed(docs).join(kept.hint("shuffle_hash"), ["__id", "__text"], "left_semi")
+    return rows.dropDuplicates(["__id", "__text"]).select(docs.columns)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +48,8 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left_anti").select(docs.columns)
+    found = _keys(leaks(docs, table(spark, sf_dir, "benchmark"), keyed=True))
+    return _keyed(docs).join(found, ["__id", "__text"], "left_anti").select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import LAST_ID, Scratch, shuffle_parts
+from tablewright.llm.common import LAST_ID, Scratch, row_id, shuffle_parts, text_key
 from tablewright.llm.native import NO_LETTERS, hashes, let, lowered, text_of, upto, words
 
 
@@ -40,9 +40,9 @@ def seeds(hashed: DataFrame, settings: Decontamination) -> DataFrame:
     return every.select("id", (F.col("at") % F.col("n")).alias("at"), "seed")
 
 
-def hashed_words(rows: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    source = rows.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID)).alias("id"), lowered(text_of(f"`{text_column}`")).alias("text"))
-    return source.select("id", hashes(words(F.col("text"), NO_LETTERS)).alias("w"))
+def hashed_words(rows: DataFrame) -> DataFrame:
+    """(id, w) of texts given as id and text."""
+    return rows.select("id", lowered(text_of("text")).alias("text")).select("id", hashes(words(F.col("text"), NO_LETTERS)).alias("w"))
 
 
 def leaks(
@@ -53,31 +53,33 @@ def leaks(
     text_column: str = "text",
     item_column: str = "item_id",
     item_text_column: str = "text",
+    keyed: bool = False,
 ) -> DataFrame:
     """(doc_id, item_id, n_equal, n_item, best, window, first_word) of every document that holds most of some window of an item.
 
     n_equal: item words that agree in the best alignment; best: of the best window; first_word: where that alignment starts in the text
-    (negative if the item begins before it). Items of fewer words than the masks span are too short to be told from
-    chance and match nothing, as do empty texts. A missing id is NULL in the result; rows that share an id are one document.
+    (negative if the item begins before it). With keyed=True also text_key, which tells documents of one id apart. Items of fewer words than the masks span are too short to be told from
+    chance and match nothing, as do empty texts. A missing id is NULL in the result. Equal rows
+    (id and text) are one document; different texts under one id, or without any, are documents of their own.
     """
     scratch = Scratch(docs.sparkSession, "leaks", docs)
-    items = scratch.save(hashed_words(benchmark, item_column, item_text_column).dropDuplicates(), few=True)
+    items = scratch.save(hashed_words(benchmark.select(row_id(f"`{item_column}`").alias("id"), F.col(f"`{item_text_column}`").alias("text"))).dropDuplicates(), few=True)
     # Rows that share an item id are one item under that id, each with its own words.
     items = items.withColumn("item", F.xxhash64("id", "w")).withColumnRenamed("id", "item_id")
     known = seeds(items.select(F.col("item").alias("id"), "w"), settings)
     known = known.select(F.col("id").alias("item"), F.col("at").alias("place"), "seed")
     bucket = F.pmod(F.col("seed"), F.lit(settings.buckets))
     occupied = known.select(bucket.alias("bucket")).distinct()
-    own = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
-    found = seeds(hashed_words(own, "id", "text"), settings).withColumn("bucket", bucket).join(F.broadcast(occupied), "bucket", "left_semi")
+    key = F.struct(row_id(f"`{id_column}`").alias("doc_id"), text_key(f"`{text_column}`").alias("text_key")).alias("id")
+    own = docs.select(key, F.col(f"`{text_column}`").alias("text"))
+    found = seeds(hashed_words(own), settings).withColumn("bucket", bucket).join(F.broadcast(occupied), "bucket", "left_semi")
     hits = found.join(known, "seed").select("id", "item", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
     sizes = items.select("item", F.size("w").alias("n_item"))
     hits = hits.join(sizes, "item").groupBy("id").agg(F.collect_list(F.struct("item", "n_item", "diagonal")).alias("hits"))
     hits = scratch.save(hits, few=True)
 
     parts = shuffle_parts(docs, 8 << 20)
-    source = own.select(F.coalesce(F.col("id").cast("long"), F.lit(LAST_ID)).alias("id"), "text").repartition(parts, "id")
-    near = source.join(hits.repartition(parts, "id").hint("shuffle_hash"), "id")
+    near = own.repartition(parts, "id").join(hits.repartition(parts, "id").hint("shuffle_hash"), "id")
 
     def aligned(w):
         def at(h):
@@ -98,8 +100,9 @@ def leaks(
     best = F.max(F.struct("n_equal", "best", (-F.col("diagonal")).alias("back"), "n_item", "window")).alias("b")
     out = laid.groupBy("id", "item_id").agg(best)
     return out.select(
-        F.when(F.col("id") != LAST_ID, F.col("id")).alias("doc_id"),
+        F.when(F.col("id.doc_id") != LAST_ID, F.col("id.doc_id")).alias("doc_id"),
         F.when(F.col("item_id") != LAST_ID, F.col("item_id")).alias("item_id"),
         *[F.col(f"b.{c}").cast("long").alias(c) for c in ("n_equal", "n_item", "best", "window")],
         (-F.col("b.back")).cast("long").alias("first_word"),
+        *([F.col("id.text_key").alias("text_key")] if keyed else []),
     )

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import LAST_ID, Scratch, components, encoded, has_rows, in_batches, mix, shingle_sets, shuffle_parts
+from tablewright.llm.common import LAST_ID, Scratch, components, encoded, has_rows, in_batches, mix, row_id, shingle_sets, shuffle_parts, text_key
 
 
 @dataclass(frozen=True)
@@ -73,7 +73,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, bas
 
 
 def sketches(docs: DataFrame, settings: NearDuplicates, id_column: str, text_column: str) -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, registers) of every row; no registers for an empty set."""
+    """(doc_id, text_key, n_shingles, digest of the set, registers) of every row; no registers for an empty set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -83,15 +83,15 @@ def sketches(docs: DataFrame, settings: NearDuplicates, id_column: str, text_col
                 yield pd.DataFrame(
                     {
                         "doc_id": batch["doc_id"].iloc[part].to_numpy(),
+                        "text_key": batch["text_key"].iloc[part].to_numpy(),
                         "n_shingles": [len(s) for s in sets],
                         "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                         "registers": [sketch(s, settings).tobytes() if len(s) else None for s in sets],
                     }
                 )
 
-    source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    source = source.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)))
-    return source.mapInPandas(run, "doc_id long, n_shingles long, digest binary, registers binary")
+    source = docs.select(row_id(id_column).alias("doc_id"), text_key(text_column).alias("text_key"), F.col(text_column).cast("string").alias("text"))
+    return source.mapInPandas(run, "doc_id long, text_key long, n_shingles long, digest binary, registers binary")
 
 
 def band_keys(classes: DataFrame, settings: NearDuplicates) -> DataFrame:
@@ -147,22 +147,24 @@ def verified(pairs: DataFrame, texts: DataFrame, settings: NearDuplicates) -> Da
 
 
 def near_duplicates(
-    docs: DataFrame, settings: NearDuplicates = NearDuplicates(), id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, settings: NearDuplicates = NearDuplicates(), id_column: str = "doc_id", text_column: str = "text", keyed: bool = False
 ) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id, kept.
+    """One row for each row of docs: doc_id, n_shingles, component_id, kept; with keyed=True also text_key, which tells rows of one id apart.
 
     component_id is the smallest id reachable over links; documents without a word stand alone. A missing id counts as
-    the largest of all and comes back as NULL. Rows with one id are taken as one document with the first text found by
-    its set; repeated rows give repeated results. A NULL text is empty. Other columns are not read.
+    the largest of all and comes back as NULL. Equal rows (id and text) are one document and give repeated results; different texts
+    under one id, or without any, are documents of their own, in the order of text_key, and the first of a component is kept.
+    A NULL text is empty. Other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-duplicates", docs)
     parts = shuffle_parts(docs)
     rows = scratch.save(sketches(docs, settings, id_column, text_column))
     full = rows.where("n_shingles > 0")
-    # One document stands for all with the same set.
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    classes = full.join(classes, ["digest", "doc_id"]).dropDuplicates(["doc_id"])
+    # One document stands for all with the same set. Classes go by numbers of their own in what follows, as ids need not be unique.
+    first = full.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("digest", "first.*")
+    classes = full.join(first, ["digest", "doc_id", "text_key"]).dropDuplicates(["digest"])
+    classes = classes.select("digest", F.struct("doc_id", "text_key").alias("first"), "n_shingles", "registers", F.monotonically_increasing_id().alias("doc_id"))
     classes = scratch.save(classes)
     keys = band_keys(classes, settings).repartition(parts, "key")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub")).where("n > 1")
@@ -170,8 +172,10 @@ def near_duplicates(
     pairs = members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
 
     involved = members.select("doc_id").distinct()
-    source = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    texts = scratch.save(source.join(involved.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    involved = classes.select("doc_id", "first").join(involved, "doc_id").select(F.col("doc_id").alias("node"), "first.*")
+    source = docs.select(row_id(id_column).alias("doc_id"), text_key(text_column).alias("text_key"), F.col(text_column).cast("string").alias("text"))
+    texts = source.join(involved.hint("shuffle_hash"), ["doc_id", "text_key"]).select(F.col("node").alias("doc_id"), "text")
+    texts = scratch.save(texts.dropDuplicates(["doc_id"]))
 
     links = verified(promising(pairs, classes, settings), texts, settings)
     labels = components(scratch, links)
@@ -184,16 +188,16 @@ def near_duplicates(
         labels = joined_labels(scratch, labels, in_blocks(scratch, apart, texts, settings))
     scratch.drop(members, texts, apart)
     labels = labels.withColumnRenamed("node", "doc_id")
-    classes = classes.select("digest", "doc_id").join(labels, "doc_id", "left")
-    classes = classes.select("digest", F.coalesce("component", "doc_id").alias("component"))
+    classes = classes.select("digest", "doc_id", "first")
+    # A component is known by its first document.
+    tops = labels.join(classes, "doc_id").groupBy("component").agg(F.min("first").alias("top"))
+    labels = labels.join(tops, "component").select("doc_id", "top")
+    classes = classes.join(labels, "doc_id", "left").select("digest", F.coalesce("top", "first").alias("top"))
     out = rows.drop("registers").join(classes, "digest", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select(
-        F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")).alias("doc_id"),
-        "n_shingles",
-        F.when(component != LAST_ID, component).alias("component_id"),
-        (F.col("doc_id") == component).alias("kept"),
-    )
+    own = F.struct("doc_id", "text_key")
+    out = out.withColumn("top", F.coalesce("top", own)).withColumn("kept", own == F.col("top"))
+    out = out.withColumns({c: F.when(F.col(of) != LAST_ID, F.col(of)) for c, of in (("component_id", "top.doc_id"), ("doc_id", "doc_id"))})
+    return out.select("doc_id", "n_shingles", "component_id", "kept", *(["text_key"] if keyed else []))
 
 
 def joined_labels(scratch: Scratch, labels: DataFrame, links: DataFrame) -> DataFrame:

@@ -56,6 +56,26 @@ def test_stages_catch_what_is_planted(spark, corpus):
     assert set(seen["mixture"]) <= set(seen["benchmark-leaks"])
 
 
+def test_rows_without_an_id_and_texts_of_one_id_are_decided_one_by_one(spark, documents, prose, tmp_path):
+    item = prose(1, 30, 5000)
+    texts = {i: prose(10 + i, 80, 5000) for i in range(8)}
+    bad = f"{prose(30, 60, 5000)} {item}"
+    rows = [(1, texts[0]), (2, texts[1]), (3, texts[2]), (3, texts[3]), (3, texts[3] + " more"), (4, texts[3].upper())]
+    rows += [(None, texts[4]), (None, texts[4]), (None, texts[4] + " more"), (None, texts[5]), (None, texts[0]), (None, texts[1] + " more")]
+    leaking = [(None, bad), (5, bad + " x"), (5, texts[6])]
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def left(stage, rows):
+        return [(r["doc_id"], r["text"]) for r in stage(spark, documents(rows), str(tmp_path)).collect()]
+
+    got = left(corpus_pipeline.without_near_duplicates, rows)
+    assert {(1, texts[0]), (2, texts[1]), (3, texts[2]), (None, texts[5])} <= set(got) and len(got) == 6
+    assert len({(3, texts[3]), (3, texts[3] + " more")} & set(got)) == 1
+    assert len({(None, texts[4]), (None, texts[4] + " more")} & set(got)) == 1
+    got = left(corpus_pipeline.without_leaks, rows + leaking)
+    assert sorted(map(repr, got)) == sorted(map(repr, [*rows, leaking[2]]))
+
+
 def test_run_gives_the_last_stage_s_rows(spark, corpus):
     out = corpus_pipeline.run(spark, corpus[0])
     assert {"doc_id", "text", "copy", "n_tokens"} <= set(out.columns) and out.count() > 0
