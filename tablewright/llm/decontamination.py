@@ -7,7 +7,11 @@ against the text's: an item is leaked if some window of it agrees in most words.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,23 +22,37 @@ from tablewright.llm.native import NO_LETTERS, hashes, let, lowered, text_of, up
 
 @dataclass(frozen=True)
 class Decontamination:
-    """Settings. The masks name the places of a span that a seed reads; all masks have one span."""
+    """Settings. The masks name the places of a span that a seed reads. Whatever a whole window accepts, one of `masks` hits; items
+    shorter than a window need the short masks as well, and items shorter than the span masks of their own."""
 
-    masks: tuple[tuple[int, ...], ...] = ((0, 1, 3, 4, 7), (0, 2, 3, 6, 7))
+    masks: tuple[tuple[int, ...], ...] = ((0, 1, 3, 4, 7), (0, 2, 3, 6, 7), (0, 1, 2, 3, 4))
+    short_masks: tuple[tuple[int, ...], ...] = ((0, 1, 3, 5, 6),)
     window: int = 13  # words of an item (or all, of a shorter one) that are laid against the text at once
     least_equal: int = 80  # hundredths of the window's words that must agree
     buckets: int = 1 << 20  # of the filter that goes to every task, at most one row each
 
 
-def seeds(hashed: DataFrame, settings: Decontamination) -> DataFrame:
-    """(id, at, seed): the seeds of all masks at all places of texts given as id and w (hashed words)."""
-    span = max(max(m) for m in settings.masks)
+def masks_of(n: int, settings: Decontamination) -> tuple[tuple[int, ...], ...]:
+    """The masks for items of n words, of which one hits every alignment that is accepted."""
+    if n >= settings.window:
+        return settings.masks
+    if n > max(max(m) for m in settings.masks):
+        return settings.masks + settings.short_masks
+    # All words but as many as may differ.
+    return tuple(combinations(range(n), -(-settings.least_equal * n // 100)))
 
-    def of(mask_number: int, mask: tuple[int, ...]):
-        places = upto(F.size("w") - 1 - span)
-        return F.transform(places, lambda i: F.xxhash64(F.lit(mask_number), *[F.get("w", i + o) for o in mask]))
 
-    every = hashed.select("id", F.greatest(F.size("w") - span, F.lit(1)).alias("n"), F.concat(*[of(k, m) for k, m in enumerate(settings.masks)]).alias("seeds"))
+def seeds(hashed: DataFrame, masks: Iterable[tuple[int, ...]]) -> DataFrame:
+    """(id, at, seed): the seeds of the masks at all places of texts given as id and w (hashed words)."""
+
+    def of(mask: tuple[int, ...]):
+        def seed(i):
+            return F.xxhash64(F.lit(",".join(map(str, mask))), *[F.get("w", i + o) for o in mask])
+
+        # Every mask gives as many elements as there are words, so that an element's place is known from its number.
+        return F.transform(upto(F.size("w") - 1), lambda i: F.when(i < F.size("w") - max(mask), seed(i)))
+
+    every = hashed.select("id", F.greatest(F.size("w"), F.lit(1)).alias("n"), F.concat(*[of(m) for m in masks]).alias("seeds"))
     # An outer explode: of an inner one Spark asks beforehand whether it has rows, and would split the text again for every word.
     every = every.select("id", "n", F.posexplode_outer("seeds").alias("at", "seed")).where("seed is not null")
     return every.select("id", (F.col("at") % F.col("n")).alias("at"), "seed")
@@ -58,21 +76,28 @@ def leaks(
     """(doc_id, item_id, n_equal, n_item, best, window, first_word) of every document that holds most of some window of an item.
 
     n_equal: item words that agree in the best alignment; best: of the best window; first_word: where that alignment starts in the text
-    (negative if the item begins before it). With keyed=True also text_key, which tells documents of one id apart. Items of fewer words than the masks span are too short to be told from
-    chance and match nothing, as do empty texts. A missing id is NULL in the result. Equal rows
+    (negative if the item begins before it). With keyed=True also text_key, which tells documents of one id apart. Items of any
+    number of words are found, be it one; empty texts match nothing. A missing id is NULL in the result. Equal rows
     (id and text) are one document; different texts under one id, or without any, are documents of their own.
     """
     scratch = Scratch(docs.sparkSession, "leaks", docs)
     items = scratch.save(hashed_words(benchmark.select(row_id(f"`{item_column}`").alias("id"), F.col(f"`{item_text_column}`").alias("text"))).dropDuplicates(), few=True)
     # Rows that share an item id are one item under that id, each with its own words.
     items = items.withColumn("item", F.xxhash64("id", "w")).withColumnRenamed("id", "item_id")
-    known = seeds(items.select(F.col("item").alias("id"), "w"), settings)
+    # Items of one set of masks together; texts need only the masks that some item has, and a window is the most words that matter.
+    lengths = items.select(F.least(F.size("w"), F.lit(settings.window)).alias("n")).where("n > 0").distinct().collect()
+    groups = defaultdict(list)
+    for r in sorted(lengths):
+        groups[masks_of(r["n"], settings)].append(r["n"])
+    groups = groups or {settings.masks: [settings.window]}
+    sized = items.select(F.col("item").alias("id"), "w", F.least(F.size("w"), F.lit(settings.window)).alias("n"))
+    known = reduce(DataFrame.union, [seeds(sized.where(F.col("n").isin(of)).select("id", "w"), masks) for masks, of in groups.items()])
     known = known.select(F.col("id").alias("item"), F.col("at").alias("place"), "seed")
     bucket = F.pmod(F.col("seed"), F.lit(settings.buckets))
     occupied = known.select(bucket.alias("bucket")).distinct()
     key = F.struct(row_id(f"`{id_column}`").alias("doc_id"), text_key(f"`{text_column}`").alias("text_key")).alias("id")
     own = docs.select(key, F.col(f"`{text_column}`").alias("text"))
-    found = seeds(hashed_words(own), settings).withColumn("bucket", bucket).join(F.broadcast(occupied), "bucket", "left_semi")
+    found = seeds(hashed_words(own), dict.fromkeys(m for masks in groups for m in masks)).withColumn("bucket", bucket).join(F.broadcast(occupied), "bucket", "left_semi")
     hits = found.join(known, "seed").select("id", "item", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
     sizes = items.select("item", F.size("w").alias("n_item"))
     hits = hits.join(sizes, "item").groupBy("id").agg(F.collect_list(F.struct("item", "n_item", "diagonal")).alias("hits"))

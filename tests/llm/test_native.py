@@ -1,10 +1,11 @@
+import itertools
 import random
 import re
 from collections import Counter
 
 import pytest
 
-from tablewright.llm.decontamination import Decontamination, leaks
+from tablewright.llm.decontamination import Decontamination, leaks, masks_of
 from tablewright.llm.licenses import scan_licenses
 from tablewright.llm.quality_rules import quality_rules
 
@@ -69,6 +70,31 @@ def test_leaks_tolerate_substitutions_and_spare_others(spark, documents, prose):
     assert at[26]["first_word"] == 10 and at[26]["n_equal"] == at[26]["n_item"] == 28 and at[20]["n_equal"] == 23
 
 
+def accepted(n):
+    """Places of an item of n words that may differ, in every way that the comparison of a window accepts."""
+    most = n - (80 * n + 99) // 100
+    return [gone for k in range(most + 1) for gone in itertools.combinations(range(n), k)]
+
+
+@pytest.mark.parametrize("n", range(1, 14))
+def test_masks_hit_every_alignment_that_is_accepted(n):
+    masks = masks_of(n, Decontamination())
+    assert all(any(not {i + o for o in m} & set(gone) for m in masks for i in range(n - max(m))) for gone in accepted(n))
+
+
+def test_short_items_and_all_substitutions_are_found(spark, documents):
+    items, rows, want = [], [], set()
+    for n in (1, 4, 6, 8, 10, 13):
+        words = [f"w{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(words)))
+        for gone in accepted(n):
+            rows.append((len(rows), " ".join(["before", *("other" if i in gone else w for i, w in enumerate(words)), "after"])))
+            want.add((rows[-1][0], n))
+        rows.append((len(rows), " ".join(w for i, w in enumerate(words) if i >= n - (80 * n + 99) // 100 + 1)))  # one word too few
+    found = leaks(documents(rows), bench(spark, items)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want and len(found) == len(want)
+
+
 def test_leaks_of_empty_tables(spark, documents):
     assert leaks(documents([]), bench(spark, [(1, "a b c")])).count() == 0
     assert leaks(documents([(1, "a b c")]), bench(spark, [])).count() == 0
