@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.llm.collocations import collocations
 from tablewright.llm.common import Scratch, crc32_of_id, table
 from tablewright.llm.decontamination import leaks
 from tablewright.llm.html_text import extract_text
@@ -230,3 +231,29 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_html_text")
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+_COLLOCATIONS_SQL = r"""
+with pieces as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces),
+totals as (select lang, sum(len(w))::hugeint as n from w group by lang),
+runs as (select lang, size, array_to_string(w[i:i + size - 1], ' ') as phrase
+  from (select lang, size, w, unnest(range(1, len(w) - size + 2)) as i from w, range(1, 6) r(size))),
+f as (select lang, size, phrase, count(*)::hugeint as f from runs group by all having count(*) >= 100),
+cand as (select *, string_split(phrase, ' ') as w from f where size > 1),
+inside as (select distinct lang, array_to_string(w[i:i + size - 1], ' ') as phrase, f
+  from (select c.*, r.size as longer, unnest(range(1, c.size - r.size + 2)) as i, r.size from cand c, range(2, 5) r(size) where r.size < c.size) t(lang, whole, p, f, w, longer, i, size)),
+kept as (select c.* from cand c where not exists (select 1 from inside i where i.lang = c.lang and i.phrase = c.phrase and 100 * i.f >= 100 * c.f)),
+cuts as (select kept.lang, kept.phrase, kept.f as a, n, k, x.f as l, y.f as r, 1000 * kept.f * n // (x.f * y.f) as score
+  from kept, range(1, 5) r(k), f x, f y, totals where k < kept.size and x.lang = kept.lang and y.lang = kept.lang and totals.lang = kept.lang
+    and x.phrase = array_to_string(kept.w[1:k], ' ') and y.phrase = array_to_string(kept.w[k + 1:], ' ')),
+best as (select *, row_number() over (partition by lang, phrase order by score, k) as i from cuts),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from best where i = 1)
+select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from ranked where rank <= 2000
+"""
+
+
+@query("op13_collocations", _COLLOCATIONS_SQL)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
