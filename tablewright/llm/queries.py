@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.collocations import collocations
 from tablewright.llm.common import Scratch, crc32_of_id, table
+from tablewright.llm.conversations import repair_report
 from tablewright.llm.decontamination import leaks
 from tablewright.llm.html_text import extract_text
 from tablewright.llm.licenses import STATEMENTS, scan_licenses
@@ -257,3 +258,8 @@ select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bi
 @query("op13_collocations", _COLLOCATIONS_SQL)
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(table(spark, sf_dir, "conversations"))
