@@ -260,6 +260,54 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
-@query("op12_conversation_repair")
+def _repair_sql() -> str:
+    """Costs and least audits from the last turn to the first, as text: nine digits of cost, then the letters; x where no edits lead on."""
+
+    def paid(value: str, cost: str, letter: str) -> str:
+        return f"case when {value} = 'x' then 'x' else lpad((left({value}, 9)::bigint + {cost})::varchar, 9, '0') || '{letter}' || substr({value}, 10) end"
+
+    def best(state: str) -> str:
+        turn = "va" if state == "vu" else "vu"
+        keeps = {"v0": "when initial = 's' then vs when initial = 'u' then vu", "vu": "when initial = 'a' then va"}.get(state, "when initial = 'u' then vu")
+        kept = f"(case when must_go then 'x' {keeps} else 'x' end)"
+        moved = f"(case when must_go then 'x' else {turn} end)"
+        return f"least({paid(state, '4', 'D')}, {paid(kept, 'extra', 'K')}, {paid(moved, '3 + extra', 'R')}) as {state}"
+
+    return rf"""
+with recursive given as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+  list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''),
+    lambda c: [ord(c)::bigint, 0, 0, 0, 0, 0, 0, 0]))), lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))) as crc from conversations),
+fated as (select *, xor(crc, 4294967295) % 20 as fate from given),
+after as (select conv_id, turn, case when fate = 4 then 'user' else role end as role,
+  case fate when 1 then '' when 2 then translate(text, '.!?', '') else text end as text from fated, range(2) r(copy) where fate <> 0 and (copy = 0 or fate = 3)),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, left(text, 64), md5(text)) as i from after),
+judged as (select *, left(role, 1) as initial, regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) as last,
+  row_number() over (partition by conv_id, role, text order by i) > 1 as again, lag(left(role, 1)) over (partition by conv_id order by i) as before from placed),
+t as (select *, last = '' as blank, last <> '' and again as duplicate, last <> '' and not again and last not in ('.', '!', '?') as truncated from judged),
+u as (select *, blank or duplicate as must_go, case when truncated then 3 else 0 end as extra from t),
+counts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count_if(blank) as blank, count_if(duplicate) as duplicate,
+  count_if(truncated) as truncated, count_if(before is not null and before || initial not in ('su', 'ua', 'au')) as illegal, max(i) as n from u group by conv_id),
+back as (select conv_id, n + 1 as i, '000000000' as v0, '000000006II' as vs, '000000003I' as vu, '000000000' as va from counts
+  union all select conv_id, i, least(v0, {paid("nu", "3", "I")}), least(vs, {paid("nu", "3", "I")}), nu, least(va, {paid("nu", "3", "I")})
+  from (select *, least(vu, {paid("va", "3", "I")}) as nu from (select u.conv_id, u.i, {", ".join(best(s) for s in ("v0", "vs", "vu", "va"))}
+    from back join u on u.conv_id is not distinct from back.conv_id and u.i = back.i - 1))),
+found as (select conv_id, left(v0, 9)::bigint as cost, substr(v0, 10) as audit from back where i = 1),
+walk as (select conv_id, audit, 1 as spot, 1::bigint as i, '' as state, []::varchar[] as lines from found
+  union all select w.conv_id, audit, spot + 1, case when e = 'I' then w.i else w.i + 1 end,
+    case e when 'D' then state when 'K' then initial else other end,
+    case e when 'D' then lines when 'I' then list_append(lines, other_role || ':') when 'K' then list_append(lines, role || ':' || text) else list_append(lines, other_role || ':' || text) end
+  from (select *, substr(audit, spot, 1) as e, case when state = 'u' then 'a' else 'u' end as other, case when state = 'u' then 'assistant' else 'user' end as other_role from walk) w
+    left join u on u.conv_id is not distinct from w.conv_id and u.i = w.i where spot <= length(audit)),
+every as (select distinct conv_id from conversations)
+select every.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+  coalesce(illegal, 0)::bigint as illegal, coalesce(f.cost, 0)::bigint as cost, coalesce(f.audit, '') as audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) as repaired_sha256
+from every left join counts c on c.conv_id is not distinct from every.conv_id left join found f on f.conv_id is not distinct from every.conv_id
+  left join (select * from walk where spot > length(audit)) w on w.conv_id is not distinct from every.conv_id
+"""
+
+
+@query("op12_conversation_repair", _repair_sql())
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(table(spark, sf_dir, "conversations"))
