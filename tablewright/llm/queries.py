@@ -15,6 +15,7 @@ from tablewright.llm.html_text import extract_text
 from tablewright.llm.licenses import STATEMENTS, scan_licenses
 from tablewright.llm.minhash import NearDuplicates, near_duplicates
 from tablewright.llm.mixing import Mixture, mix_sources
+from tablewright.llm.packing import packed
 from tablewright.llm.quality import fit_quality, score_quality
 from tablewright.llm.quality_rules import (
     SYMBOLS,
@@ -311,3 +312,8 @@ from every left join counts c on c.conv_id is not distinct from every.conv_id le
 @query("op12_conversation_repair", _repair_sql())
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_packed_sequences")
+def op11_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"))
