@@ -39,17 +39,30 @@ def test_encoder_gives_the_library_s_ids(tokenizer, library):
     r = random.Random(1)
     parts = [" ", "  ", "\n", "\n\n", "\t", "a", "Bc", "é", "'s", "don't", "1", "23", ".", ",", "!?", "<|endoftext|>", " ", "　", "漢字", "😀", "\r", "\x1c", "\x85"]
     texts = ["".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(3000)]
+    texts += ["".join(r.choice("aehinorst ACE.,'") for _ in range(r.randrange(60))) for _ in range(2000)]
     encoder = Encoder(tokenizer.data.decode())
-    encoder.most = 500  # so that it forgets on the way
     assert encoder.cuts
+    assert encoder.fast
     for at in range(0, len(texts), 100):
         got = encoder.encode(texts[at : at + 100])
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts[at : at + 100]]
 
 
+def test_long_texts_are_encoded_in_parts(tokenizer, library, monkeypatch):
+    from tablewright.llm import packing
+
+    monkeypatch.setattr(packing, "_SEGMENT", 20)
+    r = random.Random(2)
+    texts = ["".join(r.choice(["a", "the ", " ", "  ", "\n", ".", "é ", "1 2", "\t x"]) for _ in range(r.randrange(200))) for _ in range(400)]
+    assert max(len(list(packing._segments(t))) for t in texts) > 5
+    got = Encoder(tokenizer.data.decode()).encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_other_tokenizers_get_whole_texts():
     encoder = Encoder(TokenizerFile.read(public_tokenizers.path("word_bpe_49k.json")).data.decode())
     assert not encoder.cuts
+    assert not encoder.fast
     other = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     assert np.frombuffer(encoder.encode(["Two words, here"])[0], "<u4").tolist() == other.encode("Two words, here", add_special_tokens=False).ids
 
