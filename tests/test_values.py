@@ -35,6 +35,13 @@ DATES = [
     ("Fri, 3 Jan 2025", datetime(2025, 1, 3)), ("3rd Feb 2025", datetime(2025, 2, 3)), ("sept 9 2025", datetime(2025, 9, 9)),
     ("2025-02-30", None), ("2025-01-01 tail", None), ("notadate", None), ("", None), (None, None), ("Janus 3 2025", None),
     ("  2025-01-02  ", datetime(2025, 1, 2)), ("99/99/2025", None), ("5000", None),
+    # A half of the day before a zone, and zones that can't be.
+    ("01/01/2025 10:00 PM UTC", datetime(2025, 1, 1, 22)), ("2025-01-01 10:00 PM +05:30", datetime(2025, 1, 1, 16, 30)),
+    ("Jan 1 2025 12:15 a.m. -0330", datetime(2025, 1, 1, 3, 45)), ("2025-01-01T22:00:01.1234567Z", datetime(2025, 1, 1, 22, 0, 1, 123456)),
+    ("2025-01-01 10:00 +99:99", None), ("2025-01-01 10:00 +05:75", None), ("2025-01-01 25:00", None), ("2025-01-01 10:60", None),
+    ("2025-01-01 10:00:60", None), ("2025-01-01\n10:00", datetime(2025, 1, 1, 10)), ("20250103 10:00", None), ("2025 10:00", None),
+    ("31/12/99 11:59 pm", datetime(1999, 12, 31, 23, 59)), ("12/31/68", datetime(2068, 12, 31)), ("13/13/2025", None), ("0/1/2025", None),
+    ("2025 march 4", datetime(2025, 3, 4)), ("2025-01-01 " + "x" * 200, None), ("1.2.2025", datetime(2025, 1, 2)), ("a\x01b jan", None),
 ]
 
 
