@@ -44,8 +44,8 @@ def is_plain(formula: str) -> bool:
 class Term:
     """A translated part of a formula. ``kind`` is number, text, bool, date or null.
 
-    ``whole`` is the same number as an exact bigint where all that it is made of is whole; ``counted`` tells that a column
-    is part of it, as numbers alone stay doubles.
+    ``whole`` is the same number as an exact bigint (or, translated with ``wide``, decimal) where all that it is made of is whole;
+    ``counted`` tells that a column is part of it, as numbers alone stay doubles.
     """
 
     column: Column
@@ -58,10 +58,12 @@ class Term:
 
 @dataclass
 class Formula:
-    """A translated formula. ``exponents`` are column-dependent powers whose size must be checked on the data."""
+    """A translated formula. ``exponents`` are column-dependent powers whose size must be checked on the data; ``grows`` tells that
+    whole numbers are added or multiplied, so that the result may need more than 64 bits."""
 
     term: Term | None = None
     exponents: list[Column] = field(default_factory=list)
+    grows: bool = False
 
     @property
     def is_whole(self) -> bool:
@@ -69,7 +71,7 @@ class Formula:
 
     @property
     def column(self) -> Column:
-        """The value; whole numbers stay whole, and one that outgrows 64 bits is NULL."""
+        """The value; whole numbers stay whole, and one that outgrows its type is NULL."""
         return self.term.whole if self.is_whole else self.term.column
 
 
@@ -90,13 +92,32 @@ def _floor_modulo(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.when(a.isNotNull(), _double("nan"))).otherwise(a - b * F.floor(a / b).cast("double"))
 
 
+def _whole_modulo(a: Column, b: Column) -> Column:
+    """Remainder of whole numbers with the sign of the divisor, which is not zero."""
+    rest = a % b
+    return F.when((rest != 0) & ((rest < 0) != (b < 0)), rest + b).otherwise(rest)
+
+
 def _any_null(columns: list[Column]) -> Column:
     return reduce(operator.or_, [c.isNull() | F.isnan(c) for c in columns])
 
 
 def _round_half_even(c: Column, digits: int) -> Column:
     scale = _double(10.0 ** abs(digits))
-    return F.rint(c * scale) / scale if digits >= 0 else F.rint(c / scale) * scale
+    if digits < 0:
+        return F.rint(c / scale) * scale
+    scaled = c * scale
+    # A number too large to be scaled has no such digits to round.
+    return F.when(F.abs(scaled) < float("inf"), F.rint(scaled) / scale).otherwise(c)
+
+
+def _whole_round(c: Column, digits: int) -> Column:
+    """Whole numbers rounded to tens, hundreds, ..., halves to the even side."""
+    if digits >= 0:
+        return c
+    if digits < -18:
+        return F.when(c.isNotNull(), F.lit(0)).cast("bigint")
+    return F.bround(c.cast("decimal(38,0)"), digits).try_cast("decimal(38,0)")
 
 
 _ARITHMETIC: dict[type, Callable[[Column, Column], Column]] = {
@@ -124,9 +145,14 @@ def _wholes(terms: list[Term]) -> list[Column] | None:
 
 
 class _Translator(ast.NodeVisitor):
-    def __init__(self, names: Mapping[str, Term]):
+    def __init__(self, names: Mapping[str, Term], wide: bool = False):
         self.names = names
         self.exponents: list[Column] = []
+        self.wide = wide
+        self.grows = False
+
+    def _int(self, value: int) -> Column:
+        return F.lit(value).cast("decimal(38,0)" if self.wide else "bigint")
 
     def generic_visit(self, node):
         raise OperationError("The formula uses something that is not supported.")
@@ -143,9 +169,8 @@ class _Translator(ast.NodeVisitor):
             return Term(F.lit(value), "text", value)
         return self.generic_visit(node)
 
-    @staticmethod
-    def _number(value: float, shown=None) -> Term:
-        whole = F.lit(shown).cast("bigint") if isinstance(shown, int) and abs(shown) < 2**63 else None
+    def _number(self, value: float, shown=None) -> Term:
+        whole = self._int(shown) if isinstance(shown, int) and abs(shown) < 2**63 else None
         return Term(_double(value), "number", value if shown is None else shown, whole=whole)
 
     def visit_Name(self, node) -> Term:
@@ -168,7 +193,7 @@ class _Translator(ast.NodeVisitor):
             return inner
         if isinstance(node.op, ast.USub):
             constant = -inner.constant if inner.constant is not None else None
-            whole = F.try_subtract(F.lit(0).cast("bigint"), inner.whole) if inner.whole is not None else None
+            whole = F.try_subtract(self._int(0), inner.whole) if inner.whole is not None else None
             return replace(inner, column=-inner.column, constant=constant, whole=whole)
         return self.generic_visit(node)
 
@@ -189,9 +214,17 @@ class _Translator(ast.NodeVisitor):
                 constant = None
         risky = isinstance(node.op, (ast.Div, ast.Mod, ast.Pow)) or left.maybe_nan or right.maybe_nan
         exact, wholes = _WHOLE.get(type(node.op)), _wholes([left, right])
-        whole = exact(*wholes) if exact and wholes else None
+        whole = self._fit(exact(*wholes)) if exact and wholes else None
+        self.grows |= whole is not None and (left.counted or right.counted)
+        if isinstance(node.op, ast.Mod) and wholes and right.constant:
+            whole = self._fit(_whole_modulo(*wholes))
+            return Term(whole.cast("double"), "number", constant, left.maybe_nan, whole, left.counted)
         return Term(build(left.column, right.column), "number", constant, risky, whole, left.counted or right.counted)
 
+    def _fit(self, whole: Column) -> Column:
+        """A whole number in the type that whole numbers have here."""
+        return whole.cast("decimal(38,0)") if self.wide else whole
+
     def _check_exponent(self, exponent: Term) -> None:
         if exponent.constant is None:
             self.exponents.append(exponent.column)
@@ -253,18 +286,23 @@ class _Translator(ast.NodeVisitor):
         if name in ("ABS", "SQRT", "INT") and len(args) > 1:
             raise OperationError(f"{name} takes one argument.")
         if name == "ABS":
-            whole = F.when(wholes[0] < 0, F.try_subtract(F.lit(0).cast("bigint"), wholes[0])).otherwise(wholes[0]) if wholes else None
+            whole = F.when(wholes[0] < 0, F.try_subtract(self._int(0), wholes[0])).otherwise(wholes[0]) if wholes else None
             return Term(F.abs(first), "number", maybe_nan=risky, whole=whole, counted=counted)
         if name == "SQRT":
             return Term(F.sqrt(first), "number", maybe_nan=True)
         if name == "INT":
-            whole = F.abs(first) < 2.0**52  # larger doubles have no fraction; floor() would not fit them
-            return Term(F.when(whole, F.floor(first).cast("double")).otherwise(first), "number", maybe_nan=risky)
+            small = F.abs(first) < 2.0**52  # larger doubles have no fraction; floor() would not fit them
+            value = F.when(small, F.floor(first).cast("double")).otherwise(first)
+            return Term(value, "number", maybe_nan=risky, whole=wholes[0] if wholes else None, counted=counted)
         if name == "ROUND":
             digits = args[1].constant if len(args) > 1 else 0
             if isinstance(digits, bool) or not isinstance(digits, (int, float)) or abs(digits) > 300:
                 raise OperationError("ROUND takes a plain number of digits.")
-            return Term(_round_half_even(first, int(digits)), "number", maybe_nan=risky)
+            exact = _wholes(numbers[:1])
+            whole = _whole_round(exact[0], int(digits)) if exact else None
+            if whole is not None and not self.wide:
+                whole = whole.try_cast("bigint")
+            return Term(_round_half_even(first, int(digits)), "number", maybe_nan=risky, whole=whole, counted=numbers[0].counted)
         if name in ("MIN", "MAX"):
             pick = F.least if name == "MIN" else F.greatest
             value = pick(*columns) if len(columns) > 1 else first
@@ -273,7 +311,9 @@ class _Translator(ast.NodeVisitor):
             return Term(F.when(~_any_null(columns), value), "number", whole=whole, counted=counted)
         total = reduce(operator.add, columns)
         if name == "SUM":
-            return Term(total, "number", maybe_nan=risky, whole=reduce(F.try_add, wholes) if wholes else None, counted=counted)
+            self.grows |= bool(wholes) and counted
+            whole = reduce(lambda a, b: self._fit(F.try_add(a, b)), wholes) if wholes else None
+            return Term(total, "number", maybe_nan=risky, whole=whole, counted=counted)
         return Term(total / _double(len(columns)), "number", maybe_nan=risky)
 
     def _if(self, args: list[Term]) -> Term:
@@ -307,8 +347,8 @@ class _Translator(ast.NodeVisitor):
         return Term(term.column.cast("string"), "text")
 
 
-def translate(formula: str, resolve: Callable[[str], Term]) -> Formula:
-    """Translate ``formula``; ``resolve`` gives the term of each column it names."""
+def translate(formula: str, resolve: Callable[[str], Term], wide: bool = False) -> Formula:
+    """Translate ``formula``; ``resolve`` gives the term of each column it names. With ``wide`` whole numbers have 38 digits."""
     if len(formula) > MAX_LENGTH:
         raise OperationError(f"A formula may have at most {MAX_LENGTH} characters.")
     names: dict[str, Term] = {}
@@ -325,12 +365,12 @@ def translate(formula: str, resolve: Callable[[str], Term]) -> Formula:
         return "==" if found["equal"] else found[0]
 
     python = _TOKEN.sub(spell, formula).strip()
-    translator = _Translator(names)
+    translator = _Translator(names, wide)
     try:
         term = translator.visit(ast.parse(python, mode="eval").body)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as problem:
         if isinstance(problem, OperationError):
             raise
         raise OperationError(f"The formula {formula[:80]!r} can't be read.") from None
-    return Formula(term, translator.exponents)
+    return Formula(term, translator.exponents, translator.grows)
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tablewright.columns import col, dtype, exact_names, replace_columns, require_columns, visible_columns
 from tablewright.errors import OperationError
@@ -14,6 +15,10 @@ from tablewright.functions.values import is_integral, is_temporal, is_text, to_n
 from tablewright.operators.profiling import number_like, require_scalar
 
 
+def _any(df: DataFrame, test: Column) -> bool:
+    return bool(df.agg(F.coalesce(F.bool_or(test), F.lit(False))).first()[0])
+
+
 @exact_names
 def build_formula(df: DataFrame, formula: str, types: Mapping[str, str] | None = None) -> Formula:
     """Translate a formula against a table, after checking on the data what the rules depend on."""
@@ -28,15 +33,20 @@ def build_formula(df: DataFrame, formula: str, types: Mapping[str, str] | None =
         if words:
             raise OperationError(f"A formula needs numbers, and these columns hold something else: {', '.join(words)}.")
 
-    def resolve(name: str) -> Term:
+    def resolve(name: str, whole: str = "bigint") -> Term:
         c, t = col(name), dtype(df, name)
         if numeric[name]:
-            return Term(to_num(c, t).cast("double"), "number", whole=c.cast("bigint") if is_integral(t) else None, counted=True)
+            return Term(to_num(c, t).cast("double"), "number", whole=c.cast(whole) if is_integral(t) else None, counted=True)
         if is_temporal(t):
             return Term(c.cast("timestamp_ntz"), "date")
         return Term(c if is_text(t) else c.cast("string"), "text")
 
     built = translate(formula, resolve)
+    if built.is_whole and built.grows and any(isinstance(dtype(df, n), LongType) for n in names):
+        # Only long columns can outgrow 64 bits in a formula of this length, and they seldom do: one look tells.
+        wide = translate(formula, lambda name: resolve(name, "decimal(38,0)"), wide=True)
+        if not df.isStreaming and _any(df, built.column.isNull() & wide.column.isNotNull()):
+            built = wide
     if built.exponents:
         largest = df.agg(F.max(F.greatest(F.lit(0.0), *[F.abs(e) for e in built.exponents]))).first()[0]
         if largest is not None and largest > MAX_EXPONENT:
@@ -68,7 +78,8 @@ def add_formula_column(
     """Add column ``name`` computed per row, e.g. ``{Qty} * {Price}`` or ``IF({Qty} > 2, "many", "few")``.
 
     Supports ``+ - * / % **``, comparisons, ``and``/``or``, and IF ABS SQRT INT ROUND SUM AVERAGE MIN MAX
-    over the cells of a row. Sums, differences and products of whole columns stay whole. x/0 gives an infinity; ``div_zero="null"`` gives NULL for it and for NaN.
+    over the cells of a row. Sums, differences, products, remainders and roundings of whole columns stay whole and exact; where some
+    result outgrows 64 bits the column is a decimal of 38 digits. x/0 gives an infinity; ``div_zero="null"`` gives NULL for it and for NaN.
     """
     target = check_target(df, name, formula, overwrite)
     built = build_formula(df, formula, types)

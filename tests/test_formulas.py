@@ -150,3 +150,30 @@ def test_refusals_are_quick_and_named(table):
 def test_stays_in_generated_code(table):
     plan = add_formula_column(table("a long", [1]), "out", "IF({a} > 0, ROUND({a} / 3, 2), SQRT({a} % 7))")
     assert "Python" not in plan._jdf.queryExecution().toString()
+
+
+BIG = 9007199254740993  # 2 ** 53 + 1
+
+
+def test_whole_numbers_stay_exact_beyond_doubles(table, value):
+    df = table("a long, b int", [(BIG, 3), (-BIG, 7), (None, 1), (2**62, 0)])
+    assert value(df, "{a} % 10") == [BIG % 10, -BIG % 10, None, 2**62 % 10]
+    assert value(df, "{a} % -10") == [BIG % -10, -BIG % -10, None, 2**62 % -10]
+    assert value(df, "INT({a})") == [BIG, -BIG, None, 2**62]
+    assert value(df, "ROUND({a})") == [BIG, -BIG, None, 2**62]
+    assert value(df, "ROUND({a}, 2)") == [BIG, -BIG, None, 2**62]
+    assert value(table("a long", [25, 35, -25, BIG]), "ROUND({a}, -1)") == [20, 40, -20, BIG - 3]
+    assert value(table("a long", [BIG]), "ROUND({a}, -30)") == [0]
+    assert value(table("x double", [1e300, 1.25]), "ROUND({x}, 20)") == [1e300, 1.25]
+
+
+def test_whole_results_that_outgrow_64_bits_are_decimals(table, value):
+    df = table("a long, b int", [(2**62, 5), (-(2**62), 3), (None, 1)])
+    assert value(df, "{a} * {b}") == [5 * 2**62, -3 * 2**62, None]
+    assert value(df, "{a} + {a} + 1") == [2**63 + 1, -(2**63) + 1, None]
+    assert value(df, "SUM({a}, {a}, {b}) % 7") == [(2**63 + 5) % 7, (-(2**63) + 3) % 7, None]
+    assert value(df, "IF({b} > 3, {a} * {a}, {a} - 1)") == [2**124, -(2**62) - 1, None]
+    out = add_formula_column(df, "out", "{a} + {b}")
+    assert dict(out.dtypes)["out"] == "bigint"  # nothing outgrows it
+    assert dict(add_formula_column(df, "out", "{a} * {b}").dtypes)["out"] == "decimal(38,0)"
+    assert dict(add_formula_column(df, "out", "{b} * {b}").dtypes)["out"] == "bigint"
