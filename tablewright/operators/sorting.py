@@ -12,12 +12,13 @@ from tablewright.columns import col, dtype, exact_names, replace_columns, requir
 from tablewright.errors import OperationError
 from tablewright.functions.dates import to_ts
 from tablewright.functions.values import is_text, present, to_num
+from tablewright.operators.cutting import first_rows
 from tablewright.operators.profiling import require_scalar, sort_meaning
 from tablewright.operators.roworder import SORT, order_terms, rows_at, sort_keys, with_row_order
 
 # A top-k of up to TOP_K_DIRECT rows merges one list per partition; up to TOP_K_ROWS - beyond which Spark
-# no longer limits groups before a shuffle - groups of partitions are merged first; larger ones go by row
-# positions.
+# no longer limits groups before a shuffle - groups of partitions are merged first; for larger ones the key is found at which the
+# order is cut.
 TOP_K_DIRECT = 100
 TOP_K_ROWS = 1000
 TOP_K_GROUPS = 256
@@ -85,11 +86,16 @@ def _fewer_candidates(df: DataFrame, count: int, reverse: bool) -> DataFrame:
 
 @exact_names
 def limit(df: DataFrame, count: int, from_end: bool = False) -> DataFrame:
-    """The first ``count`` rows in the table's order, or the last ones; after ``sort`` this is top-N."""
+    """The first ``count`` rows in the table's order, or the last ones; after ``sort`` this is top-N.
+
+    The result keeps the order's keys, whatever the count. Only a table made in memory is written once, if many rows are asked for,
+    as its row numbers may differ from one run to the next.
+    """
     count = _positive(count)
     df = with_row_order(df)
     if count > TOP_K_ROWS:
-        return rows_at(df, count, from_end)
+        found = first_rows(df, count, from_end)
+        return rows_at(df, count, from_end) if found is None else found
     if count > TOP_K_DIRECT:
         df = _fewer_candidates(df, count, from_end)
     return df.orderBy(*order_terms(df, reverse=from_end)).limit(count)

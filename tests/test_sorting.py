@@ -124,3 +124,56 @@ def test_equal_values_are_spread_by_the_address(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.shuffle.partitions", "2")
     assert len(counts) == 4 and max(counts) < 2000
+
+
+def _messy_file(spark, folder, n=3000):
+    from pyspark.sql import functions as F
+
+    df = spark.range(n).select(
+        F.col("id").alias("n"),
+        F.when(F.col("id") % 7 != 0, F.floor(F.col("id") * 7919 % 13)).cast("int").alias("few"),
+        F.when(F.col("id") % 5 != 0, F.concat(F.lit("Å"), (F.col("id") * 31 % 400).cast("string"))).alias("text"),
+        F.when(F.col("id") % 11 != 0, F.timestamp_seconds(F.col("id") * 7777 % 100_000 + 1_700_000_000)).alias("moment"),
+        F.when(F.col("id") % 3 != 0, (F.col("id") * 17 % 1000) / 8).alias("x"),
+        F.lit(1).alias("same"),
+    )
+    df.repartition(5, "n").write.parquet(folder)
+
+
+@pytest.mark.parametrize(("columns", "orders"), [(["few", "text"], ["desc", "asc"]), (["moment"], ["asc"]), (["x", "few"], ["asc", "desc"]), (["text"], ["desc"]), (["same"], ["asc"]), ([], [])])
+@pytest.mark.parametrize("from_end", [False, True])
+def test_the_first_rows_are_a_filter(spark, rows, tmp_path, monkeypatch, columns, orders, from_end):
+    from tablewright import read_table
+    from tablewright.operators import cutting, roworder, sorting
+
+    monkeypatch.setattr(cutting.first_rows, "__defaults__", (False, 40, 5))  # many rounds on a small table
+    monkeypatch.setattr(sorting, "TOP_K_ROWS", 10)
+    monkeypatch.setattr(roworder, "scratch_path", lambda spark: pytest.fail("nothing is to be written"))
+    _messy_file(spark, str(tmp_path / "t.parquet"))
+    df = read_table(spark, str(tmp_path / "t.parquet"))
+    df = sort(df, columns, orders) if columns else df
+    everything = rows(df, "n")
+    for count in (11, 700, 5000):
+        out = limit(df, count, from_end)
+        assert out.columns == df.columns  # the order's keys stay
+        assert rows(out, "n") == (everything[-count:] if from_end else everything[:count])
+
+
+def test_the_first_rows_of_one_key_repeated(spark):
+    from tablewright.operators.cutting import first_rows
+
+    df = with_row_order(spark.createDataFrame([(i // 500,) for i in range(2000)], "n long"), ["n"])
+    for count in (1, 499, 500, 501, 1700):
+        out = first_rows(df, count, sample=30, bounds=4)
+        assert sorted(r[0] for r in out.select("n").collect()) == [i // 500 for i in range(count)]
+    assert first_rows(with_row_order(spark.range(5)), 2) is None
+
+
+def test_the_first_rows_of_a_text_file(spark, rows, tmp_path):
+    from tablewright import read_table
+
+    path = tmp_path / "t.csv"
+    path.write_text("n,t\n" + "".join(f"{i * 7 % 3001},w{i % 9}\n" for i in range(3000)))
+    df = read_table(spark, str(path))
+    assert rows(limit(df, 2000), "n") == [i * 7 % 3001 for i in range(2000)]
+    assert rows(limit(sort(df, ["t"], ["desc"]), 1500), "n") == rows(sort(df, ["t"], ["desc"]), "n")[:1500]
