@@ -5,7 +5,7 @@ of a few thousand pieces. Each shard is evolved on several islands, each a row o
 whole well-filled sequences from one parent, loses the sequences of the other parent that hold the same pieces, and the pieces
 displaced by that are put where they fit best. After every epoch an island's best packing migrates to the next island of its shard,
 in place of the worst there. The best packing of a shard's islands stands; what its badly filled sequences hold is dealt and
-evolved anew with that of other shards, until one shard is left.
+evolved anew with that of other shards, until one shard is left or that saves less than half a percent of its sequences.
 """
 
 from __future__ import annotations
@@ -299,7 +299,7 @@ def _level(scratch: Scratch, items: DataFrame, n: int, level: int, packing: Pack
     """item, length, sequence_id, offset, open of the items (item, length), packed shard by shard."""
     shards = -(-n // packing.shard)
     dealt = items.groupBy(F.pmod(F.xxhash64("item", F.lit(level)), F.lit(shards)).alias("shard")).agg(F.sort_array(F.collect_list(F.struct("item", "length"))).alias("own"))
-    dealt = scratch.save(dealt.select("shard", F.col("own.item").alias("items"), F.col("own.length").alias("lengths")))
+    dealt = scratch.save(dealt.select("shard", F.col("own.item").alias("items"), F.col("own.length").alias("lengths")), few=True)
     parts = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(shards * packing.islands // 4, 100_000))
     every = dealt.select("shard", "lengths", F.explode(F.sequence(F.lit(0), F.lit(packing.islands - 1))).alias("island"))
     nothing = F.expr("cast(array() as array<binary>)")
@@ -349,20 +349,19 @@ def packed(docs: DataFrame, tokenizer: TokenizerFile, packing: Packing = Packing
     scratch = Scratch(docs.sparkSession, "packing", docs)
     found = pieces(docs, tokenizer, packing, id_column, text_column, with_ids).withColumn("item", F.monotonically_increasing_id())
     found = scratch.save(found)
-    items, placed, level = found.where(F.col("length") < packing.limit).select("item", "length"), None, 0
+    items, placed, level, before = found.where(F.col("length") < packing.limit).select("item", "length"), None, 0, None
     while has_rows(items):
         n = items.count()
         done = _level(scratch, items, n, level, packing)
-        last = n <= packing.shard
+        by_sequence = done.groupBy("sequence_id").agg(F.max("open").alias("open"))
+        made, still_open = by_sequence.agg(F.count("*"), F.count_if("open")).first()
+        # The last shard, or dealing anew has saved next to nothing.
+        last = n <= packing.shard or not still_open or (before is not None and 1000 * made > 995 * before)
         kept = done if last else done.where("not open")
         placed = kept if placed is None else placed.union(kept)
         if last:
             break
-        rest = scratch.save(done.where("open").select("item", "length"), few=True)
-        if rest.count() == n:  # nothing settles, and dealing anew won't help
-            placed = done if level == 0 else placed.union(done.where("open"))
-            break
-        items, level = rest, level + 1
+        items, level, before = scratch.save(done.where("open").select("item", "length"), few=True), level + 1, still_open
     own = -F.col("item") - 1  # full pieces are sequences of their own
     if placed is None:
         return found.withColumns({"sequence_id": own, "offset": F.lit(0).cast("long")}).drop("item")
