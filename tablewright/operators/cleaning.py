@@ -13,6 +13,7 @@ from tablewright.columns import col, dtype, exact_names, replace_columns, requir
 from tablewright.errors import OperationError
 from tablewright.functions.dates import to_ts
 from tablewright.functions.values import WHITESPACE_RUN, is_blank, is_text, number_text, once, to_num, trim_ws
+from tablewright.operators.asking import asked
 from tablewright.operators.profiling import require_scalar, text_columns
 from tablewright.operators.roworder import order_columns
 
@@ -78,7 +79,7 @@ def find_replace(
     for name in replace_targets(df, find, column):
         text = number_text(col(name), dtype(df, name), keep_point=True)
         cell, hit = replacement(text, find, replace or "", match_case, whole_cell)
-        if is_text(dtype(df, name)) or not df.where(hit).isEmpty():
+        if is_text(dtype(df, name)) or not asked(df.where(hit).isEmpty):
             new[name] = cell
     return replace_columns(df, new)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
 from tablewright.columns import col, dtype
+from tablewright.operators.asking import asked
 from tablewright.operators.roworder import FILE, SEQ, order_columns
 
 #: Keys that the driver looks at in a round, and bounds that a round counts between.
@@ -127,13 +128,18 @@ def first_rows(df: DataFrame, count: int, reverse: bool = False, sample: int = S
     None if its row numbers differ from one run to the next, as those of tables made in memory may.
     """
     lasting = F.coalesce(F.bool_and(col(FILE).contains("\x01")), F.lit(True)) if SEQ in df.columns else F.lit(True)
-    total, lasts = df.agg(F.count(F.lit(1)), lasting).first()
+    order = Order(df, reverse)
+
+    def cut() -> tuple[bool, tuple | None]:
+        total, lasts = df.agg(F.count(F.lit(1)), lasting).first()
+        return lasts, _cut(df, order, count, total, sample, bounds) if lasts and count < total else None
+
+    lasts, found = asked(cut)
     if not lasts:
         return None
-    if count >= total:
+    if found is None:
         return df
-    order = Order(df, reverse)
-    key, kept, alike = _cut(df, order, count, total, sample, bounds)
+    key, kept, alike = found
     if kept == alike:
         return df.where(order.upto(key))
     return df.where(order.before(key)).unionByName(df.where(order.same(key)).limit(kept))

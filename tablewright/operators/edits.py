@@ -12,6 +12,7 @@ from tablewright.columns import col, dtype, exact_names, replace_columns, requir
 from tablewright.errors import OperationError
 from tablewright.functions.dates import to_ts
 from tablewright.functions.values import is_integral, is_number, is_temporal, number_text, to_num, trim_ws
+from tablewright.operators.asking import asked
 from tablewright.operators.profiling import number_like, require_scalar
 from tablewright.operators.roworder import BLOCK_BITS, FILE, POS, addressed, block, block_starts
 
@@ -48,7 +49,7 @@ def _targets(edits: DataFrame, df: DataFrame, names: Sequence[str]) -> dict[str,
         checks.append(F.count_if(value.isNotNull() & read.isNull()).alias(f"unfit{i}"))
         fraction = (read != F.floor(read)) if is_integral(t) else F.lit(False)
         checks.append(F.count_if(fraction).alias(f"fraction{i}"))
-    found = edits.agg(*checks).first()
+    found = asked(lambda: edits.agg(*checks).first())
     targets = {}
     for i, name in enumerate(names):
         kept = dtype(df, name).simpleString()
@@ -65,7 +66,7 @@ def apply_edits(df: DataFrame, edits: DataFrame, keys: Sequence[str], bounded: b
     says that the edits are known to be few, so that they are broadcast.
     """
     # One name more than there are columns is enough to meet an unknown one, which is an error.
-    names = [r[0] for r in edits.select("column").distinct().limit(len(df.columns) + 1).collect()]
+    names = asked(lambda: [r[0] for r in edits.select("column").distinct().limit(len(df.columns) + 1).collect()])
     if not names:
         return df
     require_columns(df, names)
@@ -144,7 +145,7 @@ def patch(df: DataFrame, usable: Sequence[tuple], bits: int = BLOCK_BITS) -> tup
         return df, 0
     base = addressed(df)
     hits = located_edits(base, usable, bits)
-    found = hits.collect()
+    found = asked(hits.collect)
     if not found:
         return df, 0
     fixed = df.sparkSession.createDataFrame(found, hits.schema)

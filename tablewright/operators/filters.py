@@ -117,6 +117,10 @@ def _numbers(cond: Condition) -> list[int | float] | None:
     return None if None in numbers else numbers
 
 
+def has_number_bounds(cond: Condition) -> bool:
+    return _numbers(cond) is not None
+
+
 def _comparable(cond: Condition, c: Column, t: DataType, kinds: Kinds) -> tuple[Column, list, bool]:
     """The cell and the given bounds in one comparable kind; the last item tells dates from numbers."""
     numbers = _numbers(cond)

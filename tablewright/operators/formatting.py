@@ -12,6 +12,7 @@ from tablewright.errors import OperationError
 from tablewright.functions.dates import to_ts
 from tablewright.functions.display import shown_date, shown_number
 from tablewright.functions.values import number_text, to_num
+from tablewright.operators.asking import asked
 from tablewright.operators.profiling import have_dates, have_numbers, require_scalar
 
 # The formats, and what their columns should hold.
@@ -67,4 +68,4 @@ def format_mismatches(
         return []
     fits = (have_dates if number_format == "date" else have_numbers)(df, columns, types)
     unfit = [c for c in columns if not fits[c]]
-    return unfit if unfit and not df.isEmpty() else []
+    return unfit if unfit and not asked(df.isEmpty) else []

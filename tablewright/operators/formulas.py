@@ -12,6 +12,7 @@ from tablewright.columns import col, dtype, exact_names, replace_columns, requir
 from tablewright.errors import OperationError
 from tablewright.functions.formula import MAX_EXPONENT, MAX_LENGTH, Formula, Term, is_plain, placeholders, translate
 from tablewright.functions.values import is_integral, is_temporal, is_text, to_num
+from tablewright.operators.asking import asked
 from tablewright.operators.profiling import number_like, require_scalar
 
 
@@ -45,10 +46,12 @@ def build_formula(df: DataFrame, formula: str, types: Mapping[str, str] | None =
     if built.is_whole and built.grows and any(isinstance(dtype(df, n), LongType) for n in names):
         # Only long columns can outgrow 64 bits in a formula of this length, and they seldom do: one look tells.
         wide = translate(formula, lambda name: resolve(name, "decimal(38,0)"), wide=True)
-        if not df.isStreaming and _any(df, built.column.isNull() & wide.column.isNotNull()):
+        outgrown = built.column.isNull() & wide.column.isNotNull()
+        if not df.isStreaming and asked(lambda: _any(df, outgrown)):
             built = wide
     if built.exponents:
-        largest = df.agg(F.max(F.greatest(F.lit(0.0), *[F.abs(e) for e in built.exponents]))).first()[0]
+        sizes = F.max(F.greatest(F.lit(0.0), *[F.abs(e) for e in built.exponents]))
+        largest = asked(lambda: df.agg(sizes).first()[0])
         if largest is not None and largest > MAX_EXPONENT:
             raise OperationError(f"Powers above {MAX_EXPONENT} are not supported.")
     return built

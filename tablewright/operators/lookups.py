@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tablewright.columns import col, dtype, exact_names, replace_columns, require_columns, visible_columns
 from tablewright.errors import OperationError
 from tablewright.functions.values import is_blank, norm_key, number_text, present
+from tablewright.operators.asking import asked
 from tablewright.operators.duplicates import first_per_key
 from tablewright.operators.profiling import require_scalar
 from tablewright.operators.roworder import addressed, order_columns, with_row_order
@@ -57,7 +58,7 @@ def _keyed_source(source: DataFrame, source_key_column: str, return_column: str)
 
 def _measured_bytes(source: DataFrame) -> int:
     size = F.octet_length(KEY) + F.coalesce(F.octet_length(F.col(VALUE).cast("string")), F.lit(0)) + ROW_OVERHEAD
-    return source.agg(F.sum(size.cast("bigint"))).first()[0] or 0
+    return asked(lambda: source.agg(F.sum(size.cast("bigint"))).first()[0]) or 0
 
 
 def _salted_join(left: DataFrame, first: DataFrame, hot_rows: int) -> DataFrame:
@@ -68,7 +69,7 @@ def _salted_join(left: DataFrame, first: DataFrame, hot_rows: int) -> DataFrame:
     """
     keyed = left.where(F.col(KEY).isNotNull())
     counts = keyed.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total = asked(lambda: counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     each = max(hot_rows, total // HOT_SHARE)
     hot = counts.where(F.col("n") > each).select(KEY, F.floor(F.col("n") / each + 1).cast("bigint").alias(_SALTS))
     salts = F.coalesce(F.col(_SALTS), F.lit(1).cast("bigint"))

@@ -24,6 +24,7 @@ from tablewright.functions.values import (
     parse_number,
     present,
 )
+from tablewright.operators.asking import asked
 from tablewright.operators.profiling import chosen_columns
 from tablewright.operators.roworder import BLOCK_BITS, FILE, POS, addressed, block, segment
 
@@ -109,7 +110,8 @@ def fill_missing(
         if text is not None:
             as_text[name] = text
     if as_text:
-        gaps = df.agg(*[F.count_if(blank(df, n)).alias(f"g{i}") for i, n in enumerate(as_text)]).first()
+        counts = [F.count_if(blank(df, n)).alias(f"g{i}") for i, n in enumerate(as_text)]
+        gaps = asked(lambda: df.agg(*counts).first())
         filled.update({n: text for (n, text), gap in zip(as_text.items(), gaps) if gap})
     return replace_columns(df, filled)
 

@@ -19,6 +19,7 @@ from tablewright.columns import col, dtype, exact_names, require_columns, visibl
 from tablewright.errors import OperationError
 from tablewright.functions.dates import to_ts
 from tablewright.functions.values import is_blank, is_integral, is_number, is_scalar, is_temporal, is_text, to_num
+from tablewright.operators.asking import asked
 from tablewright.operators.roworder import POS, ordered, with_row_order
 
 SAMPLE_ROWS = 5
@@ -48,15 +49,39 @@ def require_scalar(df: DataFrame, names: Iterable[str]) -> None:
 Types = Mapping[str, str] | None
 
 
-class _Cells:
-    """Readings of one text column's cells, for the questions below."""
+Question = tuple[str, str]  # a text column, and what some cell of it may be
 
-    def __init__(self, df: DataFrame, name: str):
-        self.cell, t = col(name), dtype(df, name)
-        self.filled = self.cell.isNotNull()
-        self.blank = is_blank(self.cell, t)
-        self.number = to_num(self.cell, t).isNotNull()
-        self.date = to_ts(self.cell, t).isNotNull()
+#: What some cell may be; the questions about dates are dear and asked together only.
+PLAIN_QUESTIONS = ("filled", "number", "word", "no number")
+DATE_QUESTIONS = ("date", "no date")
+
+
+def _test(df: DataFrame, question: Question) -> Column:
+    """Whether a cell is what is asked for: not NULL, a number, neither blank nor a number, ..."""
+    name, what = question
+    cell, t = col(name), dtype(df, name)
+    if what == "filled":
+        return cell.isNotNull()
+    if what == "word":
+        return ~is_blank(cell, t) & to_num(cell, t).isNull()
+    read = to_ts(cell, t) if what.endswith("date") else to_num(cell, t)
+    return cell.isNotNull() & read.isNull() if what.startswith("no ") else read.isNotNull()
+
+
+def known_answers(df: DataFrame) -> dict[Question, bool]:
+    """What is known of a table's text columns: whether some cell of a column is a number, and so on. Kept with the table, so that a
+    column is looked at once however many steps ask about it."""
+    if not hasattr(df, "tw_answers"):
+        df.tw_answers = {}
+    return df.tw_answers
+
+
+def carry_answers(old: DataFrame, new: DataFrame, columns: Mapping[str, str], same_rows: bool) -> None:
+    """Keep for `new` what is known of the columns (old to new name) that it took over from `old`. Of fewer rows only what no cell
+    was remains known."""
+    for (name, what), found in known_answers(old).items():
+        if name in columns and columns[name] in new.columns and (same_rows or not found):
+            known_answers(new)[columns[name], what] = found
 
 
 def _known_kinds(df: DataFrame, names: Iterable[str], types: Types) -> tuple[dict[str, str], list[str]]:
@@ -75,61 +100,70 @@ def _known_kinds(df: DataFrame, names: Iterable[str], types: Types) -> tuple[dic
     return known, unknown
 
 
-def _seen_in_all(df: DataFrame, tests: Mapping[str, Column]) -> set[str]:
-    """The tests that some row satisfies.
+def _seen(df: DataFrame, questions: Iterable[Question]) -> set[Question]:
+    """The questions to which some cell is an answer.
 
-    The first rows often settle the matter, and reading them touches only the first files. What they leave
-    open is answered by one pass over the table.
+    The first rows often settle the matter, and reading them touches only the first files. What they leave open is answered by one
+    pass over the table, which answers what else may be asked of these columns as well.
     """
-    if not tests:
-        return set()
-    flags = {f"t{i}": test for i, test in enumerate(tests.values())}
-    names = dict(zip(flags, tests))
-    head = df.select(*[F.coalesce(t, F.lit(False)).alias(f) for f, t in flags.items()]).limit(PROBE_ROWS).collect()
-    seen = {f for f in flags if any(r[f] for r in head)}
-    still_open = [f for f in flags if f not in seen]
-    if still_open and len(head) == PROBE_ROWS:
-        found = df.agg(*[F.bool_or(flags[f]).alias(f) for f in still_open]).first()
-        seen |= {f for f in still_open if found[f]}
-    return {names[f] for f in seen}
+    wanted = list(dict.fromkeys(questions))
+    known = known_answers(df)
+    new = [q for q in wanted if q not in known]
+
+    def in_head() -> tuple[set[Question], bool]:
+        tests = [F.coalesce(_test(df, q), F.lit(False)).alias(f"t{i}") for i, q in enumerate(new)]
+        head = df.select(*tests).limit(PROBE_ROWS).collect()
+        return {q for i, q in enumerate(new) if any(r[i] for r in head)}, len(head) < PROBE_ROWS
+
+    def in_all(questions: list[Question]) -> set[Question]:
+        found = df.agg(*[F.bool_or(_test(df, q)).alias(f"t{i}") for i, q in enumerate(questions)]).first()
+        return {q for q, seen in zip(questions, found, strict=True) if seen}
+
+    if new:
+        seen, whole = asked(in_head)
+        known.update(dict.fromkeys(seen, True))
+        left = [q for q in new if q not in seen]
+        if left and not whole:
+            names = {n for n, _ in left}
+            kinds = PLAIN_QUESTIONS + (DATE_QUESTIONS if any(what in DATE_QUESTIONS for _, what in left) else ())
+            left = [(n, what) for n in df.columns if n in names for what in kinds if not known.get((n, what))]
+            seen = asked(lambda: in_all(left))
+            known.update(dict.fromkeys(seen, True))
+        known.update({q: False for q in left if q not in seen})
+    return {q for q in wanted if known[q]}
 
 
 @exact_names
 def have_numbers(df: DataFrame, names: Iterable[str], types: Types = None) -> dict[str, bool]:
     """Whether any cell of a column is a number."""
     known, unknown = _known_kinds(df, names, types)
-    seen = _seen_in_all(df, {n: _Cells(df, n).number for n in unknown})
-    return {**{n: kind in NUMERIC_KINDS for n, kind in known.items()}, **{n: n in seen for n in unknown}}
+    seen = _seen(df, [(n, "number") for n in unknown])
+    return {**{n: kind in NUMERIC_KINDS for n, kind in known.items()}, **{n: (n, "number") in seen for n in unknown}}
 
 
 @exact_names
 def have_dates(df: DataFrame, names: Iterable[str], types: Types = None) -> dict[str, bool]:
     """Whether any cell of a column is a date."""
     known, unknown = _known_kinds(df, names, types)
-    seen = _seen_in_all(df, {n: _Cells(df, n).date for n in unknown})
-    return {**{n: kind == "date" for n, kind in known.items()}, **{n: n in seen for n in unknown}}
+    seen = _seen(df, [(n, "date") for n in unknown])
+    return {**{n: kind == "date" for n, kind in known.items()}, **{n: (n, "date") in seen for n in unknown}}
 
 
 @exact_names
 def number_like(df: DataFrame, names: Iterable[str], types: Types = None) -> dict[str, bool]:
     """Whether a column can be computed with: every cell that is not blank is a number."""
     known, unknown = _known_kinds(df, names, types)
-    cells = {n: _Cells(df, n) for n in unknown}
-    words = _seen_in_all(df, {n: ~c.blank & ~c.number for n, c in cells.items()})
-    return {**{n: kind in NUMERIC_KINDS for n, kind in known.items()}, **{n: n not in words for n in unknown}}
+    words = _seen(df, [(n, "word") for n in unknown])
+    return {**{n: kind in NUMERIC_KINDS for n, kind in known.items()}, **{n: (n, "word") not in words for n in unknown}}
 
 
 @exact_names
 def sort_meaning(df: DataFrame, names: Iterable[str], types: Types = None) -> dict[str, str]:
     """What a column is ordered as: numbers or dates if every cell that is not NULL is one, else text."""
     known, unknown = _known_kinds(df, names, types)
-    cells = {n: _Cells(df, n) for n in unknown}
-    tests: dict[tuple[str, str], Column] = {}
-    for n, c in cells.items():
-        tests[n, "filled"] = c.filled
-        tests[n, "no number"] = c.filled & ~c.number
-        tests[n, "no date"] = c.filled & ~c.date
-    seen = _seen_in_all(df, tests)
+    seen = _seen(df, [(n, what) for n in unknown for what in ("filled", "no number")])
+    # Dates are looked for only where numbers are ruled out.
+    seen |= _seen(df, [(n, "no date") for n in unknown if (n, "no number") in seen])
 
     def meaning(n: str) -> str:
         if (n, "filled") not in seen:

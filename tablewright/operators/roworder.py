@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tablewright.columns import HIDDEN, col, dtype, exact_names, hidden_columns, replace_columns, require_columns
 from tablewright.functions.values import present
+from tablewright.operators.asking import asked
 from tablewright.session import shared_folder
 
 FILE = HIDDEN + "file"
@@ -138,9 +139,14 @@ def addressed(df: DataFrame) -> DataFrame:
     if POS in df.columns and not sort_keys(df):
         return df
     spark = df.sparkSession
-    path = scratch_path(spark)
     rows = ordered(df).drop(*hidden_columns(df)).withColumn(POS, F.monotonically_increasing_id())
-    rows.write.parquet(path)
+
+    def written() -> str:
+        path = scratch_path(spark)
+        rows.write.parquet(path)
+        return path
+
+    path = asked(written)
     return spark.read.schema(rows.schema).parquet(path).withColumn(FILE, F.lit(""))
 
 
@@ -210,7 +216,7 @@ def rows_at(df: DataFrame, count: int, from_end: bool = False, bits: int = BLOCK
     the block at the border is numbered."""
     base = addressed(df).withColumn("__tw_block", block(bits))
     names = [c for c in base.columns if c != "__tw_block"]
-    total = base.count() if from_end else None
+    total = asked(base.count) if from_end else None
     low, high = (total - count, total) if from_end else (0, count)
     first, after = F.col("start"), F.col("start") + F.col("n")
     wanted = (
