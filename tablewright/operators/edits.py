@@ -11,7 +11,8 @@ from pyspark.sql.types import BooleanType, DataType, DoubleType, StringType
 from tablewright.columns import col, dtype, exact_names, replace_columns, require_columns
 from tablewright.errors import OperationError
 from tablewright.functions.dates import to_ts
-from tablewright.functions.values import is_integral, is_number, is_temporal, number_text, to_num, trim_ws
+from tablewright.functions.fitting import holding, measured, needs_of, read_into
+from tablewright.functions.values import is_number, is_temporal, number_text, to_num, trim_ws
 from tablewright.operators.asking import asked
 from tablewright.operators.profiling import number_like, require_scalar
 from tablewright.operators.roworder import BLOCK_BITS, FILE, POS, addressed, block, block_starts
@@ -30,30 +31,30 @@ def _given(value: Column) -> Column:
 def _read_as(value: Column, t: DataType) -> Column:
     """The edit's value in the column's own kind; NULL when it can't be read so."""
     if is_temporal(t):
-        return to_ts(value, _TEXT)
+        return to_ts(value, _TEXT).cast(t)
     if is_number(t):
-        return to_num(value, _TEXT)
+        return read_into(value, t)
     if isinstance(t, BooleanType):
         return F.when(F.lower(value).isin("true", "false"), F.lower(value) == "true")
     return value
 
 
-def _targets(edits: DataFrame, df: DataFrame, names: Sequence[str]) -> dict[str, str]:
-    """The type each edited column ends up with: its own, double for fractions put among whole numbers, or
-    text for values that don't fit. One pass over the edits."""
+def _targets(edits: DataFrame, df: DataFrame, names: Sequence[str]) -> dict[str, DataType]:
+    """The type each edited column ends up with: its own, the narrowest number type that holds its numbers and the new ones, or text
+    for values that don't fit. One pass over the edits."""
     checks = []
     for i, name in enumerate(names):
         t = dtype(df, name)
         value = F.when(F.col("column") == name, _given(F.col("value")))
-        read = _read_as(value, t)
-        checks.append(F.count_if(value.isNotNull() & read.isNull()).alias(f"unfit{i}"))
-        fraction = (read != F.floor(read)) if is_integral(t) else F.lit(False)
-        checks.append(F.count_if(fraction).alias(f"fraction{i}"))
+        if is_number(t):
+            checks.append(needs_of(value).alias(f"c{i}"))
+        else:
+            checks.append(F.struct(F.count_if(value.isNotNull() & _read_as(value, t).isNull()).alias("others")).alias(f"c{i}"))
     found = asked(lambda: edits.agg(*checks).first())
     targets = {}
     for i, name in enumerate(names):
-        kept = dtype(df, name).simpleString()
-        targets[name] = "string" if found[f"unfit{i}"] else "double" if found[f"fraction{i}"] else kept
+        t, row = dtype(df, name), found[f"c{i}"]
+        targets[name] = _TEXT if row["others"] else holding(t, measured(row)) if is_number(t) else t
     return targets
 
 
@@ -82,14 +83,14 @@ def apply_edits(df: DataFrame, edits: DataFrame, keys: Sequence[str], bounded: b
     new = {}
     for name, slot in slots.items():
         t, value = dtype(df, name), F.col(slot)["v"]
-        if targets[name] == "string" and t != _TEXT:
+        if targets[name] == _TEXT and t != _TEXT:
             old, cell = number_text(col(name), t), value
         elif t == _TEXT:
             number = to_num(value, _TEXT)
             plain = F.coalesce(number_text(number, DoubleType()), value)
             old, cell = col(name), plain if numeric[name] else value
         else:
-            old, cell = col(name).cast(targets[name]), _read_as(value, t).cast(targets[name])
+            old, cell = col(name).cast(targets[name]), _read_as(value, targets[name])
         new[name] = F.when(F.col(slot).isNotNull(), cell).otherwise(old)
     return replace_columns(patched, new).select(*[col(c) for c in df.columns])
 

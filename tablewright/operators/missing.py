@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import operator
 from collections.abc import Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,13 +14,13 @@ from pyspark.sql.types import BooleanType
 from tablewright.columns import col, dtype, exact_names, replace_columns, visible_columns
 from tablewright.errors import OperationError
 from tablewright.functions.dates import date_literal, parse_date
+from tablewright.functions.fitting import Needs, holding
 from tablewright.functions.values import (
     is_blank,
-    is_integral,
+    is_fractional,
     is_number,
     is_temporal,
     is_text,
-    number_literal,
     number_text,
     parse_number,
     present,
@@ -63,18 +64,19 @@ def flag_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 
 def _fixed_fill(df: DataFrame, name: str, value) -> tuple[Column, Column | None]:
-    """The filled column, and where the fill value does not fit the column's type, its form in the type that both fit."""
+    """The filled column, and where the fill value does not fit the column's type, its form in the narrowest type that both fit."""
     c, t = col(name), dtype(df, name)
     gap = blank(df, name)
     if is_text(t):
         return F.when(gap, F.lit(str(value))).otherwise(c), None
     if is_number(t):
-        number = parse_number(value)
-        if number is not None:
-            literal = number_literal(number)
-            if is_integral(t) and not isinstance(number, int):
-                return c, F.when(gap, literal).otherwise(c.cast("double"))
-            return F.when(gap, literal.cast(t)).otherwise(c), None
+        if parse_number(value) is not None:
+            exact = Decimal(str(value).strip()) if not isinstance(value, bool) else Decimal(int(value))
+            fit = holding(t, Needs.of(exact))
+            literal = F.lit(float(exact)) if is_fractional(fit) else F.lit(exact)
+            if fit == t:
+                return F.when(gap, literal.cast(t)).otherwise(c), None
+            return c, F.when(gap, literal.cast(fit)).otherwise(c.cast(fit))
     elif is_temporal(t):
         moment = parse_date(value)
         if moment is not None:
@@ -94,8 +96,9 @@ def fill_missing(
     """Fill blank cells of ``columns`` (default: all).
 
     With ``fill_method`` "previous" or "next" a blank takes the nearest value above or below it in the
-    table's order; otherwise ``fill_value`` is put in. A value that does not fit a typed column turns the
-    column into text (whole numbers into doubles, for a fraction), but only if there is a blank to fill.
+    table's order; otherwise ``fill_value`` is put in. A number that does not fit a number column widens its type as far as needed
+    (whole numbers become doubles for a fraction), any other value that does not fit turns the column into text; both only if there
+    is a blank to fill.
     """
     method = (fill_method or "").strip().lower()
     names = chosen_columns(df, columns)

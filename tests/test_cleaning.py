@@ -1,6 +1,9 @@
+import math
+from decimal import Decimal
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright import (
     OperationError,
@@ -192,3 +195,29 @@ def test_operators_chain(table, rows):
     df = table("a string, n long", [(" x ", 1), ("y", 2), (None, 3)])
     out = df.transform(trim).transform(drop_missing).transform(filter_rows, [{"column": "n", "operator": "less_than", "value": 2}])
     assert rows(out) == [("x", 1)]
+
+
+@pytest.mark.parametrize(
+    ("kind", "value", "became", "cell"),
+    [
+        ("tinyint", "100", "tinyint", 100), ("tinyint", "300", "smallint", 300), ("tinyint", "-40000", "int", -40000),
+        ("int", "99999999999", "bigint", 99999999999), ("bigint", "9223372036854775808", "decimal(38,0)", Decimal(2**63)),
+        ("bigint", "9007199254740993", "bigint", 9007199254740993), ("int", "0.5", "double", 0.5), ("bigint", "1e400", "double", math.inf),
+        ("decimal(5,2)", "12345.678", "decimal(8,3)", Decimal("12345.678")), ("decimal(5,2)", "1.239", "decimal(6,3)", Decimal("1.239")),
+        ("decimal(5,2)", "7", "decimal(5,2)", Decimal(7)), ("decimal(38,2)", "0.001", "double", 0.001),
+        ("float", "1e39", "double", 1e39), ("float", "0.5", "float", 0.5), ("double", "3", "double", 3.0), ("int", "1e3", "int", 1000),
+        ("int", "soon", "string", "soon"),
+    ],
+)
+def test_fills_and_edits_widen_a_column_as_far_as_needed(table, rows, kind, value, became, cell):
+    from tablewright import set_cells
+
+    df = table("s string", ["1", None]).withColumn("x", F.col("s").try_cast(kind)).drop("s")
+    if not (kind == "bigint" and value == "1e400"):  # no finite number, so a fill takes it for text
+        filled = fill_missing(df, ["x"], value)
+        assert (dict(filled.dtypes)["x"], rows(filled, "x")[1]) == (became, cell)
+        assert float(rows(filled, "x")[0]) == 1
+        assert dict(fill_missing(df.where("x is not null"), ["x"], value).dtypes)["x"] == kind  # no gap, no change
+    edited = set_cells(df, [{"row": 1, "column": "x", "value": value}])
+    assert (dict(edited.dtypes)["x"], rows(edited, "x")[1]) == (became, cell)
+    assert float(rows(edited, "x")[0]) == 1
