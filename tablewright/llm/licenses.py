@@ -2,7 +2,8 @@
 
 All runs of three words of every text are joined by hash with the places of such runs in licence statements. Each hit votes for a diagonal
 (its place in the text less its place in the statement); diagonals close to each other are one copy with words added or
-left out. A copy counts if enough of the statement's runs were found in a span of fitting length.
+left out. Each merged diagonal is verified by the statement's words that it lays in order over words of the text: those that its
+hits cover. A copy counts if enough of them do, in a span of fitting length.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ STATEMENTS = [
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike"),
     ("cc-by", "Licensed under CC BY 4"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4"),
+    ("cc-by", "Licensed under a Creative Commons Attribution 4"),
 ]
 
 
@@ -49,7 +51,9 @@ STATEMENTS = [
 class LicenseScan:
     run: int = 3  # words of a run
     near: int = 3  # diagonals this close to the one before belong to one copy
-    least_share: int = 80  # hundredths of a statement's runs that a copy must hold
+    least_share: int = 80  # hundredths of a statement's runs that a copy must hold, or of its words, if it has enough of them
+    enough: int = 10  # words; of a shorter statement a single word may be what tells it from another
+    short: int = 16  # words; of statements up to this length the last word, which tells variants apart, must be there
     longest: int = 150  # hundredths of a statement's length that a copy's span may have
 
 
@@ -73,10 +77,16 @@ def copies(hashed: DataFrame, known: DataFrame, scan: LicenseScan) -> DataFrame:
     votes = votes.withColumn("opens", (before.isNull() | (F.col("diagonal") - before > scan.near)).cast("int"))
     votes = votes.withColumn("copy", F.sum("opens").over(order.rangeBetween(Window.unboundedPreceding, 0)))
     found = votes.groupBy("doc", "digest", "statement", "label", "n", "n_runs", "copy").agg(
-        F.count_distinct("place").alias("runs"), F.min("at").alias("first_word"), (F.max("at") + scan.run - 1).alias("last_word")
+        F.collect_set("place").alias("places"), F.min("at").alias("first_word"), (F.max("at") + scan.run - 1).alias("last_word")
     )
-    found = found.withColumn("share", F.col("runs") / F.col("n_runs"))
-    fits = (100 * F.col("runs") >= scan.least_share * F.col("n_runs")) & (100 * (F.col("last_word") - F.col("first_word") + 1) <= scan.longest * F.col("n"))
+    # One changed word costs a run for each of its places in a run, but itself only where words are counted.
+    covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + scan.run - 1)))))
+    found = found.withColumns({"runs": F.size("places"), "covered": covered})
+    found = found.withColumn("share", F.greatest(F.col("runs") / F.col("n_runs"), F.col("covered") / F.col("n")))
+    by_runs = 100 * F.col("runs") >= scan.least_share * F.col("n_runs")
+    by_words = (F.col("n") >= scan.enough) & (100 * F.col("covered") >= scan.least_share * F.col("n"))
+    whole_end = (F.col("n") > scan.short) | (F.array_max("places") + scan.run == F.col("n"))
+    fits = (by_runs | by_words) & whole_end & (100 * (F.col("last_word") - F.col("first_word") + 1) <= scan.longest * F.col("n"))
     return found.where(fits).select("doc", "digest", "label", "share", "first_word", "last_word")
 
 
@@ -97,7 +107,8 @@ def scan_licenses(docs: DataFrame, scan: LicenseScan = LicenseScan(), id_column:
     """One row for each row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, copies.
 
     A NULL text has no words: counts of 0, no place, empty labels, score 0. copies lists the spans of the copies found.
-    score is 1 where a phrase stands, else the largest share of a statement that was found.
+    score is 1 where a phrase stands, else the largest share of a statement's runs or words that was found in a copy. Repeated rows
+    give repeated results, a long text is scanned whole, an empty table gives no rows; other columns are not read.
     """
     text = lowered(text_of(f"`{text_column}`"))
     source = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID)).alias("doc"), text.alias("text")).withColumn("digest", F.xxhash64("text"))

@@ -167,8 +167,10 @@ kr as (select *, w[place:place + 2] as run from kp),
 hits as (select doc_id, statement, label, n, n_runs, i as spot, place, i - place as diagonal from p join kr on p.w[i:i + 2] = kr.run),
 opened as (select *, case when coalesce(diagonal - lag(diagonal) over (partition by doc_id, statement order by diagonal), 99) > 3 then 1 else 0 end as opens from hits),
 grouped as (select *, sum(opens) over (partition by doc_id, statement order by diagonal range unbounded preceding) as c from opened),
-found as (select doc_id, label, count(distinct place) as runs, n, n_runs, max(spot) + 2 - min(spot) + 1 as wide from grouped group by doc_id, statement, label, n, n_runs, c),
-more as (select doc_id, list(label) as labels, max(runs / n_runs) as share from found where 100 * runs >= 80 * n_runs and 100 * wide <= 150 * n group by doc_id)
+found as (select doc_id, label, count(distinct place) as runs, count(distinct place + o) as covered, n, n_runs, max(spot) + 2 - min(spot) + 1 as wide, max(place) + 2 as upto
+  from grouped, range(3) r(o) group by doc_id, statement, label, n, n_runs, c),
+more as (select doc_id, list(label) as labels, max(greatest(runs / n_runs, covered / n)) as share from found
+  where (100 * runs >= 80 * n_runs or (n >= 10 and 100 * covered >= 80 * n)) and (n > 16 or upto = n) and 100 * wide <= 150 * n group by doc_id)
 select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
   array_to_string(coalesce(base.labels, []), ',') as base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') as labels,

@@ -124,3 +124,16 @@ def test_licenses_of_repeated_rows_missing_ids_and_no_rows(documents):
     assert found == [(0, 2, 0, "mit"), (1, 3, 1, "mit"), (1, 3, 1, "mit"), (2, 5002, 5000, "apache")]
     assert scan_licenses(documents([])).count() == 0
     assert Decontamination().window == 13
+
+
+@pytest.mark.parametrize(("notice", "label"), [
+    ("This post is licensed under a Creative Commons Attribution 4.0", "cc-by"),
+    ("Licensed under a Creative Commons Attribution 4.0", "cc-by"),
+    ("This work is licensed under the Creative Commons Attribution 4.0", "cc-by"),
+    ("This Source Code File is subject to the terms of the Mozilla Public License", "mpl"),
+    ("Licensed under CC BY-NC", "cc-by-nc"),
+    ("They were licensed under the old rules of the town", ""),
+])
+def test_one_changed_word_leaves_a_licence_known(documents, notice, label):
+    row = scan_licenses(documents([(1, f"Some words before. {notice}, and some words behind.")])).first()
+    assert row["labels"] == label and (row["score"] >= 0.8) == bool(label)
