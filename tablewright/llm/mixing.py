@@ -31,9 +31,14 @@ class Mixture:
     turns: int = 4  # of narrowing
 
 
-def order_key(mixture: Mixture, id_column: str) -> Column:
+def row_name(id_column: str, text_column: str) -> Column:
+    """What a document's place depends on: its id, or without one a digest of its text."""
+    return F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit(":"), F.md5(text_of(text_column).cast("binary"))))
+
+
+def order_key(mixture: Mixture, id_column: str, text_column: str) -> Column:
     """A document's place in its source's permutation; the first three digits are its block."""
-    return F.md5(F.concat(F.lit(f"{mixture.seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit(""))).cast("binary"))
+    return F.md5(F.concat(F.lit(f"{mixture.seed}:"), row_name(id_column, text_column)).cast("binary"))
 
 
 def exponent(totals: DataFrame, mixture: Mixture) -> float:
@@ -71,13 +76,13 @@ def mix_sources(docs: DataFrame, mixture: Mixture = Mixture(), id_column: str =
     """docs with n_tokens (words), copy (0, 1, ...) and shuffle_key added, a row for each copy; the new columns take the place of
     columns of those names. Training reads by copy and shuffle_key.
 
-    A NULL source is a source. A NULL text has no tokens; documents without tokens cost nothing and come once. Rows with one id have
-    one place in the order and are taken or left together. An empty table gives an empty result.
+    A NULL source is a source. A NULL text has no tokens; documents without tokens cost nothing and come once. Rows with one id, and
+    equal texts without an id, have one place in the order and are taken or left together. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "mixing", docs)
     tokens = F.size(words(text_of(f"`{text_column}`"), SPACES)).cast("long")
     source = F.coalesce(F.col(f"`{source_column}`").cast("string"), F.lit("\0"))
-    rows = scratch.save(docs.select(source.alias("s"), order_key(mixture, f"`{id_column}`").alias("k"), tokens.alias("n")))
+    rows = scratch.save(docs.select(source.alias("s"), order_key(mixture, f"`{id_column}`", f"`{text_column}`").alias("k"), tokens.alias("n")))
     blocks = scratch.save(rows.groupBy("s", F.substring("k", 1, 3).alias("b")).agg(F.sum("n").alias("n")), few=True)
     totals = scratch.save(blocks.groupBy("s").agg(F.sum("n").alias("tokens")), few=True)
     a = exponent(totals, mixture)
@@ -99,9 +104,9 @@ def mix_sources(docs: DataFrame, mixture: Mixture = Mixture(), id_column: str =
     # The end of the extra pass: the last document taken; without one in the cut block, all blocks before; without a cut, everything.
     ends = scratch.save(cut.join(last, "s", "left").select("s", "passes", F.coalesce("last", "b", F.lit("g")).alias("end")), few=True)
     added = ["n_tokens", "copy", "shuffle_key"]
-    wide = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], source.alias("__s"), order_key(mixture, f"`{id_column}`").alias("__k"), tokens.alias("n_tokens"))
+    wide = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], source.alias("__s"), order_key(mixture, f"`{id_column}`", f"`{text_column}`").alias("__k"), tokens.alias("n_tokens"))
     wide = wide.join(ends.select(F.col("s").alias("__s"), F.col("passes").alias("__passes"), F.col("end").alias("__end")), "__s")
     copies = F.col("__passes") + (F.col("__k") <= F.col("__end")).cast("long")
     wide = wide.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies))).where(F.col("copy") < copies)
-    key = F.md5(F.concat_ws(":", F.lit(mixture.seed), F.col("copy").cast("string"), F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit(""))).cast("binary"))
+    key = F.md5(F.concat_ws(":", F.lit(mixture.seed), F.col("copy").cast("string"), row_name(f"`{id_column}`", f"`{text_column}`")).cast("binary"))
     return wide.withColumn("shuffle_key", key).drop("__s", "__k", "__passes", "__end")

@@ -93,3 +93,13 @@ def test_counts_are_the_library_s_and_the_cache_is_used(spark, documents, tmp_pa
 def test_special_strings_and_versions():
     a = TokenizerFile("model", b"x")
     assert a.version != TokenizerFile("json", b"x").version != TokenizerFile("json", b"y").version
+
+
+def test_a_source_without_ids_gets_its_budget(documents):
+    rows = [(i, f"w{i} " * 9, "en", "big") for i in range(400)] + [(None, f"t{i} " * 8, "en", "nameless") for i in range(50)]
+    found = mix_sources(documents(rows), Mixture(entropy=0.5, budget=0.9)).collect()
+    tokens = sum(r["n_tokens"] for r in found if r["source"] == "nameless")
+    total = {"big": 3600, "nameless": 400}
+    a = exponent(list(total.values()), Mixture(entropy=0.5, budget=0.9))
+    budget = 400**a / (400**a + 3600**a) * 4000 * 0.9
+    assert budget - 8 < tokens <= budget
