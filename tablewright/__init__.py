@@ -28,7 +28,7 @@ from tablewright.operators.sorting import limit, sort
 from tablewright.plans.runner import ACTIONS, PlanResult, run_plan
 from tablewright.session import build_session
 from tablewright.sources.readers import TableSet, read_folder, read_table, read_tables
-from tablewright.sources.writers import result_path, write_table, write_tables
+from tablewright.sources.writers import result_path, write_table, write_tables, written_tables
 from tablewright.streaming.rowwise import run_on_stream
 
 __all__ = [
@@ -39,5 +39,5 @@ __all__ = [
     "missing_report", "offenders", "ordered", "preview", "profile", "read_folder", "read_table",
     "read_tables", "remove_duplicates", "rename_columns", "result_path", "run_on_stream", "run_plan",
     "select_columns", "set_cells", "sort", "trim", "visible", "with_positions", "with_row_order", "write_table",
-    "write_tables",
+    "write_tables", "written_tables",
 ]

@@ -19,8 +19,8 @@ from tablewright.operators.roworder import (
     POS,
     POSITION,
     SEQ,
-    addressed,
-    sort_keys,
+    SORT,
+    order_columns,
     with_positions,
     with_row_order,
 )
@@ -44,21 +44,15 @@ def unified_names(
     Columns listed as aliases of a group take its name. Of the others, those that differ only in case,
     spaces and punctuation take the spelling seen first.
     """
-    synonym: dict[str, str] = {}
-    spelling: dict[str, str] = {}
-    for group in column_groups or []:
-        name = (group.get("name") or "").strip()
-        if name:
-            spelling.setdefault(norm_col(name), name)
-            synonym.update({alias: name for alias in group.get("aliases") or []})
-    for names in columns.values():
-        for name in names:
-            spelling.setdefault(norm_col(name), name)
-    spelling.pop("", None)  # names without a latin letter or digit are left alone
+    groups = [((g.get("name") or "").strip(), g.get("aliases") or []) for g in column_groups or []]
+    named = {alias: name for name, aliases in groups if name for alias in aliases}
+    # One target for each normalised name: a group's name, else the spelling seen first. Names without a latin letter or digit have none.
+    seen = [name for name, _ in groups if name] + [n for names in columns.values() for n in names]
+    target = {norm_col(n): n for n in reversed(seen) if norm_col(n)}
 
     renames: dict[str, dict[str, str]] = {}
     for table, names in columns.items():
-        new = [synonym.get(n) or spelling.get(norm_col(n), n) for n in names]
+        new = [named.get(n) or target.get(norm_col(n), n) for n in names]
         clash = sorted({n for n in new if new.count(n) > 1})
         if clash:
             raise OperationError(f"Table '{table}' has several columns that mean {', '.join(map(repr, clash))}.")
@@ -77,21 +71,27 @@ def _common_type(types: Sequence[DataType]) -> str | None:
     return "string"
 
 
-def _stack_order(df: DataFrame, index: int, name: str) -> list[Column]:
-    file = F.concat(F.lit(f"{index:06d}\x02"), col(FILE))
-    return [file.alias(FILE), col(POS if POS in df.columns else SEQ).alias(name)]
+def _own_keys(df: DataFrame) -> list[str]:
+    """The hidden columns that a table is sorted by, without its rows' places."""
+    return [c for c in order_columns(df) if c not in (FILE, POS, SEQ)]
 
 
 def stack(frames: Sequence[DataFrame]) -> DataFrame:
     """All rows of the first table, then the second, ...; a column absent from a table is NULL there.
 
-    No shuffle: the tables' rows stay where they are. Columns whose types conflict become text.
+    No shuffle and no write: the tables' rows stay where they are. Where a table was sorted, the result is ordered by the number of the
+    table and then by that table's own keys, which are NULL in the rows of others. Columns whose types conflict become text.
     """
     frames = [with_row_order(f) for f in frames]
-    frames = [addressed(f) if sort_keys(f) or FILE not in f.columns else f for f in frames]
-    order = POS if all(POS in f.columns for f in frames) else SEQ
+    place = POS if all(POS in f.columns or FILE not in f.columns for f in frames) else SEQ
     names = list(dict.fromkeys(c for f in frames for c in visible_columns(f)))
     targets = {n: _common_type([dtype(f, n) for f in frames if n in f.columns]) for n in names}
+    # New names of all tables' keys, after the number of the table.
+    keys: list[dict[str, str]] = []
+    taken = 1
+    for f in frames:
+        keys.append({c: f"{SORT}{taken + i:02d}_{c.rsplit('_', 1)[1]}" for i, c in enumerate(_own_keys(f))})
+        taken += len(keys[-1])
 
     def fitted(df: DataFrame, name: str) -> Column:
         t = dtype(df, name)
@@ -99,12 +99,17 @@ def stack(frames: Sequence[DataFrame]) -> DataFrame:
             return col(name)
         return (number_text(col(name), t) if targets[name] == "string" else col(name).cast(targets[name])).alias(name)
 
-    aligned = [
-        f.select(*[fitted(f, n) for n in names if n in f.columns], *_stack_order(f, i, order)) for i, f in enumerate(frames)
-    ]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), aligned).select(
-        *[col(n) for n in names], FILE, order
-    )
+    def hidden(df: DataFrame, index: int) -> list[Column]:
+        file = col(FILE) if FILE in df.columns else F.lit("")
+        number = next((col(c) for c in (POS, SEQ) if c in df.columns), F.lit(0).cast("bigint"))
+        out = [F.concat(F.lit(f"{index:06d}\x02"), file).alias(FILE), number.alias(place)]
+        if taken > 1:
+            out += [F.lit(index).alias(f"{SORT}00_asc"), *[col(c).alias(new) for c, new in keys[index].items()]]
+        return out
+
+    aligned = [f.select(*[fitted(f, n) for n in names if n in f.columns], *hidden(f, i)) for i, f in enumerate(frames)]
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), aligned)
+    return whole.select(*[col(n) for n in names], *sorted(c for c in whole.columns if c.startswith(SORT)), FILE, place)
 
 
 def side_by_side(frames: Sequence[DataFrame], bits: int = BLOCK_BITS) -> DataFrame:

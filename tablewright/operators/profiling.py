@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -270,7 +271,7 @@ def _first_files(df: DataFrame, n: int) -> DataFrame:
     """The leading files of an unchanged stored table that hold ``n`` rows, or the table itself."""
     stored, files = getattr(df, "stored_as", None), []
     if stored and POS in df.columns:
-        files = sorted(df.inputFiles())
+        files = sorted(map(unquote, df.inputFiles()))
     taken = 1
     while taken < len(files):
         reader = df.sparkSession.read.format(stored.format).schema(visible(df).schema).option("basePath", stored.path)

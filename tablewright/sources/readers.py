@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,7 +47,7 @@ _HEADER_LINES = 100  # that a header with line breaks inside quotes may take
 
 def _header_line(spark: SparkSession, path: str) -> str:
     """The first line with content of the first file, with those that quotes join to it; reads the head of that file only."""
-    first_file = min(spark.read.text(path).inputFiles(), default=None)
+    first_file = min(map(unquote, spark.read.text(path).inputFiles()), default=None)
     if first_file:
         lines = spark.read.text(first_file).where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
         head = [r["value"] for r in lines.limit(_HEADER_LINES).collect()]
@@ -67,7 +68,7 @@ def _files_with_open_quotes(spark: SparkSession, path: str) -> set[str]:
     """Files in which a line ends inside quotes, so that a row goes on in the next; one pass in parallel."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     lines = spark.read.text(path).where(quotes % 2 == 1)
-    return {r[0] for r in lines.select(F.col("_metadata.file_path")).distinct().collect()}
+    return {unquote(r[0]) for r in lines.select(F.col("_metadata.file_path")).distinct().collect()}
 
 
 def _known(c: Column) -> Column:
@@ -102,7 +103,7 @@ def _raw_text(spark: SparkSession, path: str, width: int, separator: str, multil
         return read(path, False)
     # Only files whose rows run over line ends are read by one task each.
     known = {_uri(f) for f in broken}
-    others = [f for f in spark.read.text(path).inputFiles() if _uri(f) not in known]
+    others = [f for f in map(unquote, spark.read.text(path).inputFiles()) if _uri(f) not in known]
     parts = [read(sorted(broken), True)] + ([read(others, False)] if others else [])
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 

@@ -191,3 +191,22 @@ def test_edits_by_key(table, spark, rows):
     edits = spark.createDataFrame(
         [(1, "t", "x", 0), (1, "t", "y", 1), (2, "n", "7.0", 2), (9, "t", "z", 3)], "id long, column string, value string, seq long")
     assert rows(apply_edits(df, edits, ["id"])) == [(1, "y", "1"), (2, "b", "7")]
+
+
+def test_sorted_tables_are_stacked_without_a_write(spark, rows, tmp_path, monkeypatch):
+    from tablewright import aggregate_by, read_table
+    from tablewright.operators import roworder
+
+    spark.range(50).selectExpr("id as n", "id % 7 as k").write.parquet(str(tmp_path / "a.parquet"))
+    monkeypatch.setattr(roworder, "scratch_path", lambda spark: pytest.fail("nothing is to be written"))
+    a = read_table(spark, str(tmp_path / "a.parquet"))
+    groups = aggregate_by(a, "count", None, group_by=["k"])
+    stacked = merge({"down": sort(a, ["k", "n"], ["desc", "asc"]), "plain": a, "up": sort(a, ["k"])})
+    plain = [(n, n % 7) for n in range(50)]
+    want = sorted(plain, key=lambda r: (-r[1], r[0])) + plain + sorted(plain, key=lambda r: (r[1], r[0]))
+    assert rows(stacked, "n", "k") == want
+    from tablewright import limit
+
+    assert rows(limit(sort(stacked, ["k"]), 5), "n", "k") == sorted(want, key=lambda r: r[1])[:5]
+    both = merge({"groups": groups, "down": sort(a, ["n"], ["desc"])})
+    assert rows(both, "k") == [*range(7), *[n % 7 for n in reversed(range(50))]]

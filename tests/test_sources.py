@@ -189,3 +189,22 @@ def test_rows_with_more_cells_than_the_header_are_refused(spark, csv):
     with pytest.raises(Exception, match="more cells"):
         read_table(spark, csv("a,b\n1,2\n3,4,5\n"), infer=False).collect()
     assert read_table(spark, csv("a,b\n1,2\n3\n")).count() == 2
+
+
+def test_several_tables_get_their_place_together(spark, table, tmp_path):
+    from tablewright import OperationError, visible, written_tables
+
+    base = str(tmp_path / "result")
+    good = {"first sheet": table("x long", [1, 2]), "second": table("y string", ["a"])}
+    paths = write_tables(good, base, "csv")
+    found = written_tables(spark, base)
+    assert list(found) == list(paths) == ["first sheet", "second"]
+    assert sorted(r[0] for r in visible(found["first sheet"]).collect()) == [1, 2]
+    with pytest.raises(OperationError, match="already"):
+        write_tables(good, base)
+    bad = {**good, "third": table("x long", [1]).selectExpr("struct(x) as nested")}
+    with pytest.raises(Exception):  # noqa: B017
+        write_tables(bad, str(tmp_path / "other"), "csv")
+    assert [p.name for p in tmp_path.iterdir()] == ["result"]  # no half result
+    with pytest.raises(OperationError, match="no result"):
+        written_tables(spark, str(tmp_path / "other"))
