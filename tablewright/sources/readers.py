@@ -18,6 +18,7 @@ from tablewright.functions.values import NUMBER
 from tablewright.operators.profiling import StoredAs
 from tablewright.operators.roworder import FILE, SEQ, order_columns, with_row_order
 from tablewright.sources.headers import Header, parse_line
+from tablewright.sources.records import files_with_open_lines, read_records
 
 # Cells of delimited text that mean "missing", and the words for true and false.
 MISSING = (
@@ -64,13 +65,6 @@ def _uri(file: str) -> str:
     return re.sub(r"^(\w+):/+", r"\1:/", file)
 
 
-def _files_with_open_quotes(spark: SparkSession, path: str) -> set[str]:
-    """Files in which a line ends inside quotes, so that a row goes on in the next; one pass in parallel."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    lines = spark.read.text(path).where(quotes % 2 == 1)
-    return {unquote(r[0]) for r in lines.select(F.col("_metadata.file_path")).distinct().collect()}
-
-
 def _known(c: Column) -> Column:
     return F.when(~c.isin(*MISSING), c)
 
@@ -98,14 +92,15 @@ def _raw_text(spark: SparkSession, path: str, width: int, separator: str, multil
 
     if multiline is not None:
         return read(path, multiline)
-    broken = _files_with_open_quotes(spark, path)
+    broken = {unquote(f) for f in files_with_open_lines(spark, path, separator)}
     if not broken:
         return read(path, False)
-    # Only files whose rows run over line ends are read by one task each.
+    # Files whose rows run over line ends are put together from their lines.
     known = {_uri(f) for f in broken}
     others = [f for f in map(unquote, spark.read.text(path).inputFiles()) if _uri(f) not in known]
-    parts = [read(sorted(broken), True)] + ([read(others, False)] if others else [])
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    rows = read_records(spark, sorted(broken), path, [*names, _BEYOND], separator)
+    rows = rows.select(*[_known(F.col(n)).alias(n) for n in names], _BEYOND, FILE, SEQ)
+    return rows.unionByName(read(others, False)) if others else rows
 
 
 def _refuse_ragged(path: str, count: int) -> None:
@@ -205,8 +200,8 @@ def read_table(
     Delimited text: names are stripped, repeated ones numbered, blank ones lettered, empty unnamed columns
     dropped and a title line above the header skipped (``promote``). Every column gets the type all of its
     cells have, found in one pass; ``types`` (name to Spark type) or ``infer=False`` saves the pass.
-    Files with line breaks inside quotes are found in a pass of their own and read by one task each; ``multiline`` True or False
-    takes that for granted for all files or rules it out. Rows with more cells than the header are refused.
+    Files with line breaks inside quotes are found in a pass of their own, and their rows are put together from lines in parallel;
+    ``multiline`` True has every file read by one task instead, False rules such rows out. Rows with more cells than the header are refused.
     """
     kind = _format_of(path, fmt)
     try:

@@ -208,3 +208,38 @@ def test_several_tables_get_their_place_together(spark, table, tmp_path):
     assert [p.name for p in tmp_path.iterdir()] == ["result"]  # no half result
     with pytest.raises(OperationError, match="no result"):
         written_tables(spark, str(tmp_path / "other"))
+
+
+@pytest.mark.parametrize("split_bytes", [40, 200, 10**6])
+def test_rows_over_line_ends_are_read_in_parallel(spark, rows, tmp_path, split_bytes):
+    """Splits of a few bytes: rows begin and end anywhere, some run over several splits."""
+    import csv
+    import io
+    import random
+
+    r = random.Random(split_bytes)
+    cells = ["plain", 'in "the" middle', '5" pipe', "two\nlines", 'a "quoted"\nline, with comma', "\n\n", "", "x" * 90, "a\r\nb", 'end"\n"', "é\nü", " lead", ",", '"']
+    table = [[str(i), r.choice(cells), r.choice(cells)] for i in range(120)]
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows([["n", "one\nname", "other"], *table])
+    text = out.getvalue()
+    # Inch marks as people write them, which open nothing.
+    text += '200,5" pipe,7"\n201,a"b"c,"it""s"\n'
+    want = [(int(a), b or None, c or None) for a, b, c in table] + [(200, '5" pipe', '7"'), (201, 'a"b"c', 'it"s')]
+    (tmp_path / "t.csv").write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        got = rows(read_table(spark, str(tmp_path / "t.csv"), infer=True))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == want
+
+
+def test_inch_marks_open_no_quotes(spark, tmp_path):
+    from tablewright.sources.records import files_with_open_lines
+
+    (tmp_path / "t.csv").write_text('n,size\n1,5" pipe\n2,"7"" pipe"\n')
+    assert files_with_open_lines(spark, str(tmp_path / "t.csv"), ",") == set()
