@@ -119,7 +119,16 @@ def _without_promoted_row(raw: DataFrame, first_row: Sequence[str | None]) -> Da
     return raw.join(headers, [FILE, SEQ], "left_anti")
 
 
-def _inferred(path: str, raw: DataFrame, header: Header, names: Sequence[str], types: Mapping[str, str], infer: bool) -> DataFrame:
+def _declared(cell: Column, name: str, kind: str, misfits: str) -> Column:
+    """The cell in the type that the caller declared. One that does not fit is refused when it is read, with its name and value."""
+    read = cell.try_cast(kind)
+    if misfits == "null":
+        return read
+    told = F.concat(F.lit(f"Column '{name}' was declared {kind} and holds "), cell, F.lit(". Declare it string, or read with misfits='null'."))
+    return F.when(cell.isNull() | read.isNotNull(), read).otherwise(F.raise_error(told).cast(kind))
+
+
+def _inferred(path: str, raw: DataFrame, header: Header, names: Sequence[str], types: Mapping[str, str], infer: bool, misfits: str) -> DataFrame:
     """Name the kept columns and give each the type all of its cells have; one pass over the undeclared ones."""
     cells = {f"c{i}": name for i, name in zip(header.kept, names)}
     open_cells = [c for c, name in cells.items() if infer and name not in types]
@@ -155,11 +164,13 @@ def _inferred(path: str, raw: DataFrame, header: Header, names: Sequence[str], t
         first = next(iter(cells))
         refused = F.raise_error(F.lit(f"'{path}' has a row with more cells than its header names."))
         raw = raw.withColumn(first, F.when(beyond.isNotNull(), refused.cast("string")).otherwise(F.col(first)))
-    typed = [F.col(c).try_cast(types.get(name, found.get(c, "string"))).alias(name) for c, name in cells.items()]
+    typed = [
+        (_declared(F.col(c), name, types[name], misfits) if name in types else F.col(c).try_cast(found.get(c, "string"))).alias(name) for c, name in cells.items()
+    ]
     return raw.select(*typed, *[col(c) for c in hidden_columns(raw)])
 
 
-def _read_csv(spark, path, separator, multiline, promote, types, infer) -> DataFrame:
+def _read_csv(spark, path, separator, multiline, promote, types, infer, misfits) -> DataFrame:
     cells = parse_line(_header_line(spark, path), separator)
     header = Header.of(cells)
     raw = _raw_text(spark, path, len(cells), separator, multiline)
@@ -177,7 +188,7 @@ def _read_csv(spark, path, separator, multiline, promote, types, infer) -> DataF
         if head and header.title_above(first_row, len(head)):
             raw = _without_promoted_row(raw, first_row)
             header = drop_phantoms(header.promoted(first_row), raw)
-    return _inferred(path, raw, header, header.final_names(), types or {}, infer)
+    return _inferred(path, raw, header, header.final_names(), types or {}, infer, misfits)
 
 
 @exact_names
@@ -192,6 +203,7 @@ def read_table(
     types: Mapping[str, str] | None = None,
     infer: bool = True,
     order: bool = True,
+    misfits: str = "error",
 ) -> DataFrame:
     """Read a file, or a folder of files of one layout, as a table with row order.
 
@@ -199,7 +211,8 @@ def read_table(
 
     Delimited text: names are stripped, repeated ones numbered, blank ones lettered, empty unnamed columns
     dropped and a title line above the header skipped (``promote``). Every column gets the type all of its
-    cells have, found in one pass; ``types`` (name to Spark type) or ``infer=False`` saves the pass.
+    cells have, found in one pass; ``types`` (name to Spark type) or ``infer=False`` saves the pass. A cell that a declared type does not
+    fit fails the job that reads it, with its column and value; with ``misfits="null"`` it is NULL.
     Files with line breaks inside quotes are found in a pass of their own, and their rows are put together from lines in parallel;
     ``multiline`` True has every file read by one task instead, False rules such rows out. Rows with more cells than the header are refused.
     """
@@ -207,7 +220,7 @@ def read_table(
     try:
         if kind == "csv":
             tabbed = path.lower().endswith(".tsv")
-            return _read_csv(spark, path, separator or ("\t" if tabbed else ","), multiline, promote, types, infer)
+            return _read_csv(spark, path, separator or ("\t" if tabbed else ","), multiline, promote, types, infer, misfits)
         df = spark.read.format(kind).load(path)
         table = with_row_order(df, root=path) if order else df
         table.stored_as = StoredAs(kind, path)

@@ -243,3 +243,12 @@ def test_inch_marks_open_no_quotes(spark, tmp_path):
 
     (tmp_path / "t.csv").write_text('n,size\n1,5" pipe\n2,"7"" pipe"\n')
     assert files_with_open_lines(spark, str(tmp_path / "t.csv"), ",") == set()
+
+
+def test_cells_that_a_declared_type_does_not_fit_are_not_lost(spark, rows, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b\n1,x\nz,y\n,w\n")
+    path = str(tmp_path / "t.csv")
+    with pytest.raises(Exception, match="Column 'a' was declared int and holds z"):
+        rows(read_table(spark, path, types={"a": "int"}))
+    assert rows(read_table(spark, path, types={"a": "int"}, misfits="null")) == [(1, "x"), (None, "y"), (None, "w")]
+    assert rows(read_table(spark, path, types={"b": "string"})) == [("1", "x"), ("z", "y"), (None, "w")]
