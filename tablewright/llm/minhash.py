@@ -6,8 +6,9 @@ often the more alike two sets are. Bands of registers propose pairs, a likelihoo
 be alike enough, and the whole sets of the rest are compared.
 
 No pairs of a group are multiplied out. Documents with equal sets are one class from the start. Each band's bucket ties its
-members to its first member only. What stays apart then is compared with the other documents of its buckets, block against block
-and without those of its own component, so that no link that a bucket proposes is lost; only links leave a task.
+members to its first member, its hub. What no hub's links have joined is looked at hub by hub: first by registers alone, which leaves
+the few documents that may still be linked to another component of their buckets, then by the whole sets of those few. Neither
+look emits pairs: the first gives documents, the second links.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ class NearDuplicates:
     bands: int = 40
     rows: int = 5
     base: float = 1.02  # of the exponential scale
-    block: int = 128  # documents of a block, where the rest of a bucket is compared
+    register_block: int = 4096  # documents that a task compares by registers at a time, where the rest of a bucket is looked at
+    text_block: int = 512  # and by whole sets
 
     @property
     def registers(self) -> int:
@@ -185,7 +187,9 @@ def near_duplicates(
     open_keys = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     apart = scratch.save(apart.join(open_keys.select("key"), "key").select("hub", "doc_id", "component").distinct(), few=True)
     if has_rows(apart):
-        labels = joined_labels(scratch, labels, in_blocks(scratch, apart, texts, settings))
+        doubtful = scratch.save(still_promising(apart, classes, settings), few=True)
+        labels = joined_labels(scratch, labels, links_of_the_rest(doubtful, texts, settings))
+        scratch.drop(doubtful)
     scratch.drop(members, texts, apart)
     labels = labels.withColumnRenamed("node", "doc_id")
     classes = classes.select("digest", "doc_id", "first")
@@ -212,37 +216,62 @@ def joined_labels(scratch: Scratch, labels: DataFrame, links: DataFrame) -> Data
     return scratch.save(kept.union(fresh.join(kept.select("node"), "node", "left_anti")), few=True)
 
 
-def in_blocks(scratch: Scratch, apart: DataFrame, texts: DataFrame, settings: NearDuplicates) -> DataFrame:
-    """Links between documents of open buckets that are in different components.
-
-    Buckets that share documents make a clump. The documents outside a clump's largest component meet all others of the clump, block
-    against block, so that a task holds two blocks of texts however large the clump is, and returns links only.
-    """
-    clumps = components(scratch, apart.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")))
-    docs = apart.select("doc_id", "component").distinct().join(clumps.select(F.col("node").alias("doc_id"), F.col("component").alias("clump")), "doc_id")
-    docs = scratch.save(docs, few=True)
-    sizes = docs.groupBy("clump", "component").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("clump").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("largest"))
+def in_blocks(apart: DataFrame, block: int) -> DataFrame:
+    """(hub, x, y, is_rest, doc_id, component): every hub's documents outside its largest component, in blocks x, beside all of its
+    documents, in blocks y. Nearly every hub has one block of each."""
+    sizes = apart.groupBy("hub", "component").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("hub").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("largest"))
     shares = sizes.select(
-        "clump",
+        "hub",
         F.col("largest.component").alias("largest"),
-        F.ceil((F.col("all") - F.col("largest.n")) / settings.block).cast("int").alias("rest_blocks"),
-        F.ceil(F.col("all") / settings.block).cast("int").alias("blocks"),
+        F.ceil((F.col("all") - F.col("largest.n")) / block).cast("int").alias("rest_blocks"),
+        F.ceil(F.col("all") / block).cast("int").alias("blocks"),
     )
-    docs = docs.join(shares, "clump")
+    docs = apart.join(shares.where("rest_blocks > 0"), "hub")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    rest = F.pmod(F.xxhash64("doc_id"), F.col("rest_blocks")).cast("int")
+    rest = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("rest_blocks")).cast("int")
 
     def every(n):
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    left = docs.where("component <> largest").select("clump", rest.alias("x"), every("blocks").alias("y"), F.lit(True).alias("is_rest"), "doc_id", "component")
-    right = docs.select("clump", every("rest_blocks").alias("x"), own.alias("y"), F.lit(False).alias("is_rest"), "doc_id", "component")
-    rows = left.union(right).join(texts, "doc_id")
+    left = docs.where("component <> largest").select("hub", rest.alias("x"), every("blocks").alias("y"), F.lit(True).alias("is_rest"), "doc_id", "component")
+    right = docs.select("hub", every("rest_blocks").alias("x"), own.alias("y"), F.lit(False).alias("is_rest"), "doc_id", "component")
+    return left.union(right)
+
+
+def still_promising(apart: DataFrame, classes: DataFrame, settings: NearDuplicates) -> DataFrame:
+    """The rows (hub, doc_id, component) of apart that registers and sizes don't rule out to be linked to another component of the hub."""
+    least = settings.percent / 100
+    least -= 6 * np.sqrt(least * (1 - least) / settings.registers)
+    rows = in_blocks(apart, settings.register_block).join(classes.select("doc_id", "n_shingles", "registers"), "doc_id")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        registers = np.frombuffer(b"".join(group["registers"]), np.uint16).reshape(len(group), -1)
+        is_rest, component, n = group["is_rest"].to_numpy(bool), group["component"].to_numpy(), group["n_shingles"].to_numpy(np.float64)
+        others = np.flatnonzero(~is_rest)
+        found = np.zeros(len(group), bool)
+        for x in np.flatnonzero(is_rest):
+            fit = (component[others] != component[x]) & (np.minimum(n[x], n[others]) * 100 >= np.maximum(n[x], n[others]) * settings.percent)
+            at = others[fit]
+            # The estimate follows the share of equal registers closely; it is worked out where that share comes near.
+            at = at[(registers[at] == registers[x]).mean(axis=1) >= least - 0.1]
+            if len(at):
+                a = np.broadcast_to(registers[x], (len(at), registers.shape[1]))
+                at = at[estimate(a, registers[at], np.full(len(at), n[x]), n[at], settings.base) >= least]
+                found[at] = True
+                found[x] |= len(at) > 0
+        return group.loc[found, ["hub", "doc_id", "component"]]
+
+    return rows.groupBy("hub", "x", "y").applyInPandas(run, "hub long, doc_id long, component long").distinct()
+
+
+def links_of_the_rest(doubtful: DataFrame, texts: DataFrame, settings: NearDuplicates) -> DataFrame:
+    """Links between documents of different components that share a hub, by their whole sets."""
+    rows = in_blocks(doubtful, settings.text_block).join(texts, "doc_id")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         sets = shingle_sets([encoded(t) for t in group["text"]], settings.shingle)
-        is_rest = group["is_rest"].to_numpy()
+        is_rest = group["is_rest"].to_numpy(bool)
         ids, component = group["doc_id"].to_numpy(), group["component"].to_numpy()
         others = np.flatnonzero(~is_rest)
         sizes = np.array([len(s) for s in sets])
@@ -258,7 +287,10 @@ def in_blocks(scratch: Scratch, apart: DataFrame, texts: DataFrame, settings: Ne
                 at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 common = np.bincount(owner[at], minlength=len(others))
                 alike = 100 * common >= settings.percent * (sizes[x] + sizes[others] - common)
-                found += [(ids[x], ids[others[y]]) for y in np.flatnonzero(alike & (component[others] != component[x]))]
+                # One link joins two components, so one for each is enough.
+                linked = np.flatnonzero(alike & (component[others] != component[x]))
+                _, one = np.unique(component[others][linked], return_index=True)
+                found += [(ids[x], ids[others[y]]) for y in linked[one]]
         return pd.DataFrame(found, columns=["a", "b"]).astype(np.int64)
 
-    return rows.groupBy("clump", "x", "y").applyInPandas(run, "a long, b long")
+    return rows.groupBy("hub", "x", "y").applyInPandas(run, "a long, b long")

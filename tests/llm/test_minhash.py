@@ -44,11 +44,25 @@ def test_all_links_of_groups_of_near_copies(documents, prose, block):
     rows += [(1000, rows[5][1]), (1001, rows[5][1].upper()), (1002, "one two"), (1003, "One  two"), (1004, "two one")]
     random.Random(1).shuffle(rows)
     want = brute(rows, 4, 80)
-    found = near_duplicates(documents(rows), NearDuplicates(shingle=4, block=block)).collect()
+    found = near_duplicates(documents(rows), NearDuplicates(shingle=4, register_block=block, text_block=block)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == want
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
 
+def test_chained_buckets_of_templates(documents, prose):
+    """Templates that share a third to a half of their text, some with copies of their own: buckets chain far beyond the links."""
+    r = random.Random(8)
+    rows = []
+    for i in range(120):
+        shared = [prose(r.randrange(6), 30) for _ in range(2)]
+        own = prose(1000 + i, 35)
+        rows.append((10 * i, " ".join([shared[0], own, shared[1]])))
+        if i % 3 == 0:
+            rows += [(10 * i + k, edited(rows[-1][1], 77 * i + k, 0.01 * k)) for k in range(1, 6)]
+    found = near_duplicates(documents(rows), NearDuplicates(shingle=4, bands=60, rows=2, register_block=16, text_block=8)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute(rows, 4, 80)
+
+
 def test_empty_missing_and_repeated_rows(documents):
     text = "a b c d e f g"
     found = near_duplicates(documents([(5, None), (4, ""), (3, " \t\n"), (None, text), (7, text), (7, text), (9, "x" * 100_000)])).collect()
