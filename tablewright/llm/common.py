@@ -31,12 +31,12 @@ class Scratch:
         self.folder = f"{shared_folder(spark)}/tablewright-{name}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def save(self, df: DataFrame, few: bool = False) -> DataFrame:
+    def save(self, df: DataFrame, few: bool = False, rows_per_file: int = 0) -> DataFrame:
         """The table, read from where it was written; `few`: it holds no texts."""
         self.count += 1
         df = df.coalesce(self.few) if few else df
         path = f"{self.folder}/{self.count:03d}"
-        df.write.parquet(path)
+        (df.write.option("maxRecordsPerFile", rows_per_file) if rows_per_file else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

@@ -51,20 +51,23 @@ def run(spark, rows, settings, parts=3):
     return sorted(tuple(r) for r in collocations(docs.repartition(parts), settings).collect())
 
 
-@pytest.mark.parametrize(("support", "shard_words", "bits", "absorbed"), [(3, 1 << 22, 25, 100), (4, 50, 25, 100), (5, 200, 18, 60), (2, 20, 15, 100)])
-def test_against_all_phrases(spark, support, shard_words, bits, absorbed):
+@pytest.mark.parametrize(
+    ("support", "shard_words", "part_words", "bits", "absorbed"),
+    [(3, 1 << 22, 1 << 20, 25, 100), (4, 50, 50, 25, 100), (5, 200, 30, 18, 60), (2, 20, 10, 15, 100), (4, 1 << 22, 40, 25, 100)],
+)
+def test_against_all_phrases(spark, support, shard_words, part_words, bits, absorbed):
     # 2 ** 15 bits are a single block.
-    settings = Collocations(support=support, shard_words=shard_words, bits=bits, absorbed=absorbed)
+    settings = Collocations(support=support, shard_words=shard_words, part_words=part_words, bits=bits, absorbed=absorbed)
     rows = [(random.Random(i).choice(["en", "de", None, "und", ""]), t) for i, t in enumerate([*texts(1, 150), *texts(2, 30, 60), None, "", " ", "...", "a a a a a a a a"])]
     rows += [("en", "big apple pie big apple pie")] * 7  # repeated rows
     assert run(spark, rows, settings) == by_hand(rows, settings)
 
 
-def test_long_text_makes_several_shards(spark):
+def test_long_text_makes_several_parts(spark):
     text = " ".join(texts(3, 600, 30))
-    settings = Collocations(support=12, shard_words=100)
+    settings = Collocations(support=12, shard_words=200, part_words=100)
     assert run(spark, [("en", text)], settings, 1) == by_hand([("en", text)], settings)
-    whole = Collocations(support=12, shard_words=1000)
+    whole = Collocations(support=12, part_words=1000)
     one_piece = re.sub(r"[.,;:!?\n\r]", " ", text)
     assert run(spark, [("en", one_piece)], whole, 1) == by_hand([("en", one_piece)], whole)
 
