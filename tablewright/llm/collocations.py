@@ -250,13 +250,14 @@ PHRASES = "lang string, phrase string, f long"
 _PHRASES = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 
 
-def _spelled(shard: _Shard, at: np.ndarray, size: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, f) of the phrases at some places, with their counts."""
-    for part in range(0, len(at), 20_000):
-        rows = shard.codes[at[part : part + 20_000, None] + np.arange(size)].tolist()
-        phrases = [b" ".join([shard.words[c] for c in row]).decode("utf-8", "replace") for row in rows]
-        langs = [shard.langs[row[0]] for row in rows]
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(counts[part : part + 20_000], pa.int64())], schema=_PHRASES)
+def _told(counts: dict[tuple[str, bytes], int]) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, f) of counts, which are emptied."""
+    found = list(counts.items())
+    counts.clear()
+    for at in range(0, len(found), 20_000):
+        part = found[at : at + 20_000]
+        columns = [[lang for (lang, _), _ in part], [phrase.decode("utf-8", "replace") for (_, phrase), _ in part], [f for _, f in part]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, field.type) for c, field in zip(columns, _PHRASES, strict=True)], schema=_PHRASES)
 
 
 def _count_words(corpus: DataFrame, settings: Collocations) -> DataFrame:
@@ -366,6 +367,8 @@ def _count(corpus: DataFrame, settings: Collocations, sizes: range, words, pairs
     bits = settings.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[tuple[str, bytes], int] = {}
+        n = 0
         for shard in _shards(batches, settings.count_words):
             ok = _joined(shard, words.value, pairs.value if pairs else None, bits)
             for size in sizes:
@@ -377,7 +380,15 @@ def _count(corpus: DataFrame, settings: Collocations, sizes: range, words, pairs
                     own = np.unique(own, return_inverse=True)[1] if i > 1 else own
                     own = own * len(shard.words) + shard.codes[at + i]
                 _, first, counts = np.unique(own, return_index=True, return_counts=True)
-                yield from _spelled(shard, at[first], size, counts)
+                for row, times in zip(shard.codes[at[first][:, None] + np.arange(size)].tolist(), counts.tolist(), strict=True):
+                    phrase = (shard.langs[row[0]], b" ".join([shard.words[c] for c in row]))
+                    totals[phrase] = totals.get(phrase, 0) + times
+            n += len(shard.codes)
+            # Counts of several shards are told together.
+            if n >= settings.shard_words:
+                yield from _told(totals)
+                n = 0
+        yield from _told(totals)
 
     counted = corpus.mapInArrow(run, PHRASES).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     return counted.where(F.col("f") >= settings.support)
