@@ -132,9 +132,11 @@ def fill_from_neighbour(df: DataFrame, names: Sequence[str], forward: bool, bits
     cells = {n: present(col(n), dtype(base, n)) for n in names}
     slots = {n: f"__tw_c{i}" for i, n in enumerate(names)}
     nearest = F.max_by if forward else F.min_by
-    towards = F.last if forward else F.first
-    before = (Window.unboundedPreceding, -1) if forward else (1, Window.unboundedFollowing)
-    upto = (Window.unboundedPreceding, 0) if forward else (0, Window.unboundedFollowing)
+    # Upwards the rows are taken in reverse, as a frame that ends at the last row is computed anew for each row.
+    before, upto = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, 0)
+
+    def along(*keys: str) -> list[Column]:
+        return [F.asc(k) if forward else F.desc(k) for k in keys]
 
     edges = base.groupBy(file.alias(FILE), seg.alias("__tw_seg"), block(bits).alias("__tw_block")).agg(
         *[nearest(cells[n], F.when(cells[n].isNotNull(), col(POS))).alias(slots[n]) for n in names]
@@ -149,16 +151,16 @@ def fill_from_neighbour(df: DataFrame, names: Sequence[str], forward: bool, bits
     def address(found: Column, number: Column) -> Column:
         return F.when(found.isNotNull(), F.struct(F.col(FILE).alias("file"), number.alias("block")))
 
-    over_segs = Window.orderBy(*seg_key).rowsBetween(*before)
+    over_segs = Window.orderBy(*along(*seg_key)).rowsBetween(*before)
     seg_carry = seg_edges.select(
         *seg_key,
-        *[towards(address(F.col(s), F.col(s)), ignorenulls=True).over(over_segs).alias(f"{s}_seg") for s in slots.values()],
+        *[F.last(address(F.col(s), F.col(s)), ignorenulls=True).over(over_segs).alias(f"{s}_seg") for s in slots.values()],
     )
-    over_blocks = Window.partitionBy(*seg_key).orderBy("__tw_block").rowsBetween(*before)
+    over_blocks = Window.partitionBy(*seg_key).orderBy(*along("__tw_block")).rowsBetween(*before)
     carry = (
         edges.select(
             *seg_key, "__tw_block",
-            *[towards(address(F.col(s), F.col("__tw_block")), ignorenulls=True).over(over_blocks).alias(f"{s}_block") for s in slots.values()],
+            *[F.last(address(F.col(s), F.col("__tw_block")), ignorenulls=True).over(over_blocks).alias(f"{s}_block") for s in slots.values()],
         )
         .join(seg_carry, seg_key)
         .select(FILE, "__tw_block", *[F.coalesce(f"{s}_block", f"{s}_seg").alias(f"{s}_at") for s in slots.values()])
@@ -168,9 +170,9 @@ def fill_from_neighbour(df: DataFrame, names: Sequence[str], forward: bool, bits
             F.struct(F.col(FILE).alias("file"), F.col("__tw_block").alias("block")).alias(f"{s}_at"), F.col(s).alias(f"{s}_carry")
         )
         carry = carry.join(cell, f"{s}_at", "left").drop(f"{s}_at")
-    in_block = Window.partitionBy(FILE, "__tw_block").orderBy(POS).rowsBetween(*upto)
+    in_block = Window.partitionBy(FILE, "__tw_block").orderBy(*along(POS)).rowsBetween(*upto)
     placed = base.withColumn("__tw_block", block(bits))
-    filled = placed.select("*", *[towards(cells[n], ignorenulls=True).over(in_block).alias(slots[n]) for n in names])
+    filled = placed.select("*", *[F.last(cells[n], ignorenulls=True).over(in_block).alias(slots[n]) for n in names])
     joined = filled.join(carry, [FILE, "__tw_block"], "left")
     return joined.select(
         *[

@@ -22,6 +22,7 @@ from tablewright import (
     sort,
     trim,
     visible,
+    with_row_order,
 )
 from tablewright.operators.missing import fill_from_neighbour
 
@@ -128,6 +129,12 @@ def test_fill_over_many_files_matches_pandas(spark, rows, tmp_path):
         assert [r[2] for r in filled] == [None if v != v else int(v) for v in wanted["n"]]
 
 
+def test_fill_next_computes_no_frame_anew_for_each_row(spark):
+    df = with_row_order(spark.range(3).selectExpr("id", "cast(null as string) as s"))
+    plan = fill_missing(df, ["s"], fill_method="next")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
 def test_fill_follows_a_sort(table, rows):
     df = sort(table("k long, v string", [(3, None), (1, "a"), (2, None), (4, "b")]), ["k"], ["desc"])
     assert rows(fill_missing(df, ["v"], fill_method="previous")) == [(4, "b"), (3, "b"), (2, "b"), (1, "a")]
