@@ -105,7 +105,7 @@ class Encoder:
         hidden = [b for b in range(256) if b not in seen]
         byte_of = {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(hidden)}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items()}
-        return tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={_NEVER: 1 << 30})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -113,13 +113,16 @@ class Encoder:
             whole = b""
             for part in _segments(text) if self.cuts else [text]:
                 if self.fast and not _SETTLED.search(part) and not any(t in part for t in self.special):
-                    whole += np.array(self.fast.encode_ordinary(part), "<u4").tobytes()
+                    whole += self.fast.encode_to_numpy(part, disallowed_special=()).astype("<u4", copy=False).tobytes()
                 else:
                     whole += np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
             out.append(whole)
         return out
 
 
+#: tiktoken looks for special tokens where it gives ids as an array, so it gets one, which no text of plain characters holds.
+_NEVER = "\0\0"
+
 #: Fixed value: how byte-level tokenizers split a text.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 

@@ -48,6 +48,13 @@ def test_encoder_gives_the_library_s_ids(tokenizer, library):
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts[at : at + 100]]
 
 
+def test_ids_come_as_arrays_not_as_lists(tokenizer, library, monkeypatch):
+    encoder = Encoder(tokenizer.data.decode())
+    monkeypatch.setattr(type(encoder.fast), "encode_ordinary", lambda *_: pytest.fail("a Python list of ids"))
+    texts = ["", "Plain words, 12 of them.", "a" * 300, "a\0\0b", "\0\0", "<|endoftext|> x", "caf\u00e9 \u2014 ok\n\n  end "]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [ids_of(library, t)[:-1] for t in texts]
+
+
 def test_long_texts_are_encoded_in_parts(tokenizer, library, monkeypatch):
     from tablewright.llm import packing
 
