@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import Scratch, mix, shuffle_parts
+from tablewright.llm.common import Scratch, estimated_bytes, mix, shuffle_parts
 
 #: All that separates pieces becomes a full stop, which so is never part of a word; what separates words becomes a space.
 _FOLD = bytearray(range(256))
@@ -40,7 +41,7 @@ _SLICE = 1 << 20
 class Collocations:
     """support: least count; longest: words of a phrase; absorbed: a longer candidate with this share (hundredths) of a phrase's
     count takes its place; top: rows of a language; shard_words: words that a task mines at a time; count_words: that it counts at a
-    time, with their spelling; part_words: words of a stored row; bits: the bitmap has 2 ** bits."""
+    time, with their spelling; held: phrases whose counts a task holds before it sends them; part_words: words of a stored row; bits: the bitmap has 2 ** bits."""
 
     support: int = 100
     longest: int = 5
@@ -48,6 +49,7 @@ class Collocations:
     top: int = 2000
     shard_words: int = 1 << 21
     count_words: int = 1 << 19
+    held: int = 1 << 17
     part_words: int = 1 << 18
     bits: int = 25
 
@@ -181,11 +183,15 @@ def _shards(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[_Sh
             codes.append(own)
             n += len(own)
             if n >= shard_words:
-                yield _Shard(np.concatenate(codes), np.concatenate(keys), langs, words)
+                shard = _Shard(np.concatenate(codes), np.concatenate(keys), langs, words)
                 codes, keys, numbers, langs, words, n = [], [], {}, [""], [b"."], 0
+                yield shard
+                del shard
                 pa.default_memory_pool().release_unused()
     if n:
-        yield _Shard(np.concatenate(codes), np.concatenate(keys), langs, words)
+        shard = _Shard(np.concatenate(codes), np.concatenate(keys), langs, words)
+        del codes, keys, numbers
+        yield shard
 
 
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -194,9 +200,12 @@ _FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 def _phrase_keys(keys: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """64-bit keys of the phrases of `size` words at the places `at`; keys: those of the words at all places."""
     out = np.full(len(at), size, np.uint64)
-    for i in range(size):
-        out += keys[at + i] * _FACTORS[i]
-    return mix(out)
+    for start in range(0, len(at), 1 << 16):  # so that what is computed on the way stays small
+        own, places = out[start : start + (1 << 16)], at[start : start + (1 << 16)]
+        for i in range(size):
+            own += keys[places + i] * _FACTORS[i]
+        own[:] = mix(own)
+    return out
 
 
 def _known(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
@@ -250,14 +259,14 @@ PHRASES = "lang string, phrase string, f long"
 _PHRASES = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 
 
-def _told(counts: dict[tuple[str, bytes], int]) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, f) of counts, which are emptied."""
-    found = list(counts.items())
-    counts.clear()
-    for at in range(0, len(found), 20_000):
-        part = found[at : at + 20_000]
-        columns = [[lang for (lang, _), _ in part], [phrase.decode("utf-8", "replace") for (_, phrase), _ in part], [f for _, f in part]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, field.type) for c, field in zip(columns, _PHRASES, strict=True)], schema=_PHRASES)
+def _told(counts: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, f) of the counts of each language, which are emptied."""
+    while counts:
+        lang, own = counts.popitem()
+        found = iter(own.items())
+        while part := list(islice(found, 20_000)):
+            columns = [[lang] * len(part), [phrase.decode("utf-8", "replace") for phrase, _ in part], [f for _, f in part]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, field.type) for c, field in zip(columns, _PHRASES, strict=True)], schema=_PHRASES)
 
 
 def _count_words(corpus: DataFrame, settings: Collocations) -> DataFrame:
@@ -362,13 +371,16 @@ def _candidates(scratch: Scratch, mined: DataFrame, settings: Collocations):
     return _sent(blocks, settings.bits)
 
 
-def _count(corpus: DataFrame, settings: Collocations, sizes: range, words, pairs, candidates) -> DataFrame:
-    """(lang, phrase, f) of every phrase whose bit is set in the candidates; counts are exact."""
+def _told_counts(corpus: DataFrame, settings: Collocations, sizes: range, words, pairs, candidates) -> DataFrame:
+    """(lang, phrase, f): what tasks tell of every phrase whose bit is set in the candidates.
+
+    A phrase is told once by each task, as long as its counts fit; so there are about as many tasks as cores, and more only where each
+    would read more than a gigabyte.
+    """
     bits = settings.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[tuple[str, bytes], int] = {}
-        n = 0
+        totals: dict[str, dict[bytes, int]] = {}
         for shard in _shards(batches, settings.count_words):
             ok = _joined(shard, words.value, pairs.value if pairs else None, bits)
             for size in sizes:
@@ -380,17 +392,24 @@ def _count(corpus: DataFrame, settings: Collocations, sizes: range, words, pairs
                     own = np.unique(own, return_inverse=True)[1] if i > 1 else own
                     own = own * len(shard.words) + shard.codes[at + i]
                 _, first, counts = np.unique(own, return_index=True, return_counts=True)
-                for row, times in zip(shard.codes[at[first][:, None] + np.arange(size)].tolist(), counts.tolist(), strict=True):
-                    phrase = (shard.langs[row[0]], b" ".join([shard.words[c] for c in row]))
-                    totals[phrase] = totals.get(phrase, 0) + times
-            n += len(shard.codes)
+                for start in range(0, len(first), 10_000):
+                    places, every = at[first[start : start + 10_000]], counts[start : start + 10_000]
+                    for row, times in zip(shard.codes[places[:, None] + np.arange(size)].tolist(), every.tolist(), strict=True):
+                        of_lang = totals.setdefault(shard.langs[row[0]], {})
+                        phrase = b" ".join([shard.words[c] for c in row])
+                        of_lang[phrase] = of_lang.get(phrase, 0) + times
             # Counts of several shards are told together.
-            if n >= settings.shard_words:
+            if sum(map(len, totals.values())) >= settings.held:
                 yield from _told(totals)
-                n = 0
         yield from _told(totals)
 
-    counted = corpus.mapInArrow(run, PHRASES).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    tasks = max(corpus.sparkSession.sparkContext.defaultParallelism, estimated_bytes(corpus) >> 30)
+    return corpus.coalesce(tasks).mapInArrow(run, PHRASES)
+
+
+def _count(corpus: DataFrame, settings: Collocations, sizes: range, words, pairs, candidates) -> DataFrame:
+    """(lang, phrase, f) of every phrase of the least support whose bit is set in the candidates; counts are exact."""
+    counted = _told_counts(corpus, settings, sizes, words, pairs, candidates).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     return counted.where(F.col("f") >= settings.support)
 
 

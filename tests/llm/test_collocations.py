@@ -4,9 +4,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tablewright.llm.collocations import Collocations, collocations
+from tablewright.llm.collocations import Collocations, _told_counts, coded, collocations
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -96,3 +98,15 @@ def test_nothing_to_find(spark):
     assert run(spark, [], settings) == []
     assert run(spark, [(None, None), ("en", ""), ("en", " .\n")], settings) == []
     assert run(spark, [("en", "a b")], settings) == []
+
+
+def test_a_phrase_is_told_once_by_each_core_not_by_each_shard(spark):
+    texts = [f"one two three four five {i % 7}" for i in range(400)]
+    source = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").repartition(40)
+    settings = Collocations(support=2, shard_words=16, count_words=16, part_words=16, bits=20)
+    every = spark.sparkContext.broadcast(np.full(1 << 17, 255, np.uint8))
+    told = _told_counts(coded(source, settings.part_words), settings, range(2, 3), every, None, every)
+    by_phrase = told.groupBy("phrase").agg(F.count("*").alias("n"), F.sum("f").alias("f")).collect()
+    wanted = Counter(" ".join(t.split()[i : i + 2]) for t in texts for i in range(5))
+    assert {r["phrase"]: r["f"] for r in by_phrase} == wanted
+    assert max(r["n"] for r in by_phrase) <= spark.sparkContext.defaultParallelism
