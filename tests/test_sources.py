@@ -252,3 +252,18 @@ def test_cells_that_a_declared_type_does_not_fit_are_not_lost(spark, rows, tmp_p
         rows(read_table(spark, path, types={"a": "int"}))
     assert rows(read_table(spark, path, types={"a": "int"}, misfits="null")) == [(1, "x"), (None, "y"), (None, "w")]
     assert rows(read_table(spark, path, types={"b": "string"})) == [("1", "x"), ("z", "y"), (None, "w")]
+
+
+def test_only_parts_of_rows_over_a_split_s_end_leave_their_task():
+    import pyarrow as pa
+
+    from tablewright.sources.records import _joined
+
+    # a row of one line, a row of two, and one that goes on in the next split; before them the end of a row of an earlier split
+    names = ["file", "split", "value", "opens", "stays", "start", "from_split", "from_seq"]
+    lines = [('end"', 1, 0), ("1,x", 0, 1), ('2,"a', 1, 0), ('b"', 1, 0), ('3,"c', 1, 0)]
+    batch = pa.table([pa.array([v] * 5 if not isinstance(v, list) else v) for v in ("f", 64, *map(list, zip(*lines, strict=True)), 1, 0, 7)], names).to_batches()[0]
+    batch = batch.set_column(3, "opens", batch.column("opens").cast("int32"))
+    batch = batch.set_column(4, "stays", batch.column("stays").cast("int32"))
+    got = [(r["split"], r["seq"], r["whole"], r["value"]) for b in _joined(iter([batch])) for r in b.to_pylist()]
+    assert got == [(0, 7, False, 'end"'), (64, 1, True, "1,x"), (64, 2, True, '2,"a\nb"'), (64, 4, False, '3,"c')]
