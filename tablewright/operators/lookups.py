@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.columns import col, dtype, exact_names, replace_columns, require_columns, visible_columns
@@ -61,13 +61,13 @@ def _measured_bytes(source: DataFrame) -> int:
     return asked(lambda: source.agg(F.sum(size.cast("bigint"))).first()[0]) or 0
 
 
-def _salted_join(left: DataFrame, first: DataFrame, hot_rows: int) -> DataFrame:
+def _salted_join(left: DataFrame, first: DataFrame, hot_rows: int, no_key: Column) -> DataFrame:
     """Shuffle join in which the rows of frequent keys are spread over many tasks.
 
     Every salt of a frequent key has its copy of the key's one source row, so the result is the same. Rows without a key match
-    nothing; they stay out of the join and are not shuffled.
+    nothing; they stay out of the join and are not shuffled. ``no_key`` finds them by the cell, as a filter would spell the key anew.
     """
-    keyed = left.where(F.col(KEY).isNotNull())
+    keyed = left.where(~no_key)
     counts = keyed.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
     total = asked(lambda: counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     each = max(hot_rows, total // HOT_SHARE)
@@ -78,7 +78,7 @@ def _salted_join(left: DataFrame, first: DataFrame, hot_rows: int) -> DataFrame:
     right = first.join(F.broadcast(hot), KEY, "left")
     right = right.withColumn(_SALT, F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop(_SALTS)
     joined = keyed.join(right.hint("merge"), [KEY, _SALT], "left").drop(_SALT)
-    alone = left.where(F.col(KEY).isNull()).withColumn(VALUE, F.lit(None).cast(dtype(first, VALUE)))
+    alone = left.where(no_key).drop(KEY).withColumn(KEY, F.lit(None).cast("string")).withColumn(VALUE, F.lit(None).cast(dtype(first, VALUE)))
     return joined.unionByName(alone)
 
 
@@ -110,7 +110,7 @@ def match_first(
     elif _measured_bytes(keyed) <= broadcast_bytes:
         joined = df.withColumn(KEY, key).join(F.broadcast(first), KEY, "left")
     else:
-        joined = _salted_join(with_row_order(df).withColumn(KEY, key), first, hot_rows)
+        joined = _salted_join(with_row_order(df).withColumn(KEY, key), first, hot_rows, is_blank(col(key_column), left_type))
     return joined.select(*[col(c) for c in df.columns], VALUE)
 
 

@@ -210,3 +210,13 @@ def test_sorted_tables_are_stacked_without_a_write(spark, rows, tmp_path, monkey
     assert rows(limit(sort(stacked, ["k"]), 5), "n", "k") == sorted(want, key=lambda r: r[1])[:5]
     both = merge({"groups": groups, "down": sort(a, ["n"], ["desc"])})
     assert rows(both, "k") == [*range(7), *[n % 7 for n in reversed(range(50))]]
+
+
+def test_no_filter_spells_the_keys_of_a_large_lookup(spark):
+    left = spark.createDataFrame([(1.5,), (2.0,), (None,), (float("nan"),), (3.0,)], "x double")
+    right = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    found = lookup(left, right, "x", "k", "v", broadcast_bytes=0)
+    assert sorted((str(r["x"]), r["v"]) for r in found.collect()) == [("1.5", "Not found"), ("2.0", "b"), ("3.0", "Not found"), ("None", "Not found"), ("nan", "Not found")]
+    filters = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+    # Only the two counts of hot keys do, not the rows that are joined and not those without a key.
+    assert sum("transform(" in line for line in filters) <= 2

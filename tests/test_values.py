@@ -98,3 +98,11 @@ def test_names():
     assert unused_name("a", {"a", "a (2)"}) == "a (3)"
     assert sheet_label("a:b/c" + "x" * 40, {}) == ("a b c" + "x" * 40)[:28]
     assert sheet_label("s", {"s"}) == "s 2"
+
+
+def test_a_number_is_taken_apart_once(spark):
+    df = spark.createDataFrame([(x,) for x in (1.5e-7, -1.5e-7, 1e20, -2.5e12, 1234567890.5, 12.0, 1e7)], "x double")
+    shown = df.select(values.number_text(F.col("x"), DoubleType()).alias("t"))
+    assert [r[0] for r in shown.collect()] == ["0.00000015", "-0.00000015", "1" + "0" * 20, "-2500000000000", "1234567890.5", "12", "10000000"]
+    plan = shown._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 0 and plan.count("substring_index(") == 2
