@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import Scratch, estimated_bytes, mix, shuffle_parts
+from tablewright.llm.common import Scratch, estimated_bytes, mix, shuffle_parts, small_batches
 
 #: All that separates pieces becomes a full stop, which so is never part of a word; what separates words becomes a space.
 _FOLD = bytearray(range(256))
@@ -473,7 +473,9 @@ def collocations(docs: DataFrame, settings: Collocations = Collocations(), text_
     scratch = Scratch(docs.sparkSession, "collocations", docs)
     lang = F.coalesce(F.col(f"`{lang_column}`").cast("string"), F.lit("und"))
     source = docs.select(lang.alias("lang"), F.col(f"`{text_column}`").cast("string").alias("text"))
-    found, totals = _frequent(scratch, source, settings)
+    # All its tables are written inside; rows of the corpus take some MB each.
+    with small_batches(docs.sparkSession):
+        found, totals = _frequent(scratch, source, settings)
     frequent = scratch.save(found.select("lang", "phrase", F.col("size").cast("int").alias("size"), "f"))
     candidates = frequent.where("size > 1")
     # A count never grows with the phrase, so a longer candidate that takes a phrase's place has one of a single word more inside.

@@ -5,9 +5,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright.llm import collocations as module
 from tablewright.llm.collocations import Collocations, _told_counts, coded, collocations
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -110,3 +112,33 @@ def test_a_phrase_is_told_once_by_each_core_not_by_each_shard(spark):
     wanted = Counter(" ".join(t.split()[i : i + 2]) for t in texts for i in range(5))
     assert {r["phrase"]: r["f"] for r in by_phrase} == wanted
     assert max(r["n"] for r in by_phrase) <= spark.sparkContext.defaultParallelism
+
+
+def test_tasks_get_the_corpus_in_small_batches(spark, tmp_path, monkeypatch):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    spark.range(0, 40, 1, 1).selectExpr("cast(repeat('x', 1000000) as binary) as codes").write.parquet(str(tmp_path / "rows"))
+    largest = []
+
+    class Probed(module.Scratch):
+        def save(self, df, *args, **kwargs):
+            largest.append(spark.read.parquet(str(tmp_path / "rows")).coalesce(1).mapInArrow(sizes, "n long").agg(F.max("n")).first()[0])
+            return super().save(df, *args, **kwargs)
+
+    monkeypatch.setattr(module, "Scratch", Probed)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    rows = [("en", "big apple pie")] * 5
+    assert run(spark, rows, Collocations(support=3)) == by_hand(rows, Collocations(support=3))
+    # All but the last save are of steps that hand Python the corpus or what it told.
+    assert len(largest) > 5 and max(largest[:-1]) <= 10_000_000
+    assert spark.conf.get(key) == before
+    spark.conf.set(key, "2m")
+    try:
+        largest.clear()
+        run(spark, rows, Collocations(support=3))
+        assert max(largest) <= 4_000_000 and spark.conf.get(key) == "2m"
+    finally:
+        spark.conf.set(key, before)
