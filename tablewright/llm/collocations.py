@@ -49,7 +49,7 @@ class Collocations:
     top: int = 2000
     shard_words: int = 1 << 21
     count_words: int = 1 << 19
-    held: int = 1 << 17
+    held: int = 1 << 19
     part_words: int = 1 << 18
     bits: int = 25
 

@@ -142,3 +142,14 @@ def test_tasks_get_the_corpus_in_small_batches(spark, tmp_path, monkeypatch):
         assert max(largest) <= 4_000_000 and spark.conf.get(key) == "2m"
     finally:
         spark.conf.set(key, before)
+
+
+def test_a_task_tells_many_phrases_once(spark):
+    words = 560
+    rows = [("en", ".".join(f"{a} {b}" for b in range(a + 1, words))) for a in range(words)] * 2
+    settings = Collocations(support=2, count_words=1 << 14, part_words=1 << 12, bits=20)
+    source = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    every = spark.sparkContext.broadcast(np.full(1 << 17, 255, np.uint8))
+    told = _told_counts(coded(source, settings.part_words), settings, range(2, 3), every, None, every)
+    pairs = words * (words - 1) // 2
+    assert tuple(told.agg(F.count("*"), F.sum("f"), F.min("f")).first()) == (pairs, 2 * pairs, 2)
